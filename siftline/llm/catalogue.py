@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import encoding, mixing
+from siftline.llm import encoding, history_dedup, mixing
 from siftline.runtime import work_dir
 
 
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch rows that report a finding which is known already."""
+    return history_dedup.repeated_items(table(spark, sf_dir, "issues"), table(spark, sf_dir, "issue_batches"), work_dir(spark, "history"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the public 50k byte-level vocabulary."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), work_dir(spark, "encode"))
@@ -33,5 +38,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
