@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import encoding, history_dedup, mixing
+from siftline.llm import consensus, encoding, history_dedup, mixing
 from siftline.runtime import work_dir
 
 
@@ -17,6 +17,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_dedup.repeated_items(table(spark, sf_dir, "issues"), table(spark, sf_dir, "issue_batches"), work_dir(spark, "history"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus of every finding key with verdicts of at least three labelers."""
+    return p5_items(spark, sf_dir).where("labels >= 3").select("finding_key", "kind")
+
+
+def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus, confidence and agreement per finding key."""
+    fitted = consensus.Consensus(table(spark, sf_dir, "feedback_entries"), work_dir(spark, "consensus"))
+    return fitted.items().withColumnRenamed("item", "finding_key")
+
+
+def p5_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability and guesses per labeler."""
+    return consensus.Consensus(table(spark, sf_dir, "feedback_entries"), work_dir(spark, "consensus")).annotators()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the public 50k byte-level vocabulary."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), work_dir(spark, "encode"))
@@ -38,5 +54,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p8_ids, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
