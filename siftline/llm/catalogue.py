@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import consensus, encoding, history_dedup, mixing
+from siftline.llm import consensus, encoding, history_dedup, matching, mixing
 from siftline.runtime import work_dir
 
 
@@ -33,6 +33,19 @@ def p5_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.Consensus(table(spark, sf_dir, "feedback_entries"), work_dir(spark, "consensus")).annotators()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the pattern scanner and findings of the tree analyser about the same defect."""
+    return p7_confidence(spark, sf_dir).select("hit_id", "ast_id")
+
+
+def p7_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their confidence."""
+    left = matching.parts(table(spark, sf_dir, "yaml_hits"), "hit_id", "message")
+    right = matching.parts(table(spark, sf_dir, "ast_findings"), "ast_id", "description")
+    found = matching.matches(left, right, work_dir(spark, "matching"))
+    return found.withColumnsRenamed({"left_id": "hit_id", "right_id": "ast_id"})
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the public 50k byte-level vocabulary."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"), work_dir(spark, "encode"))
@@ -54,5 +67,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p7_found, p7_confidence, p8_ids, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import re
 
 #: Words before the kind of defect in a rule's name (languages, scanners, packs).
 PREFIXES = frozenset(
-    "yaml ast deep scan semgrep l0 python py java javascript js typescript ts go golang ruby rb php kotlin kt csharp cs c cpp rust scala swift dart".split()
+    "yaml ast deep top10 top25 owasp cert scan semgrep l0 python py java javascript js typescript ts go golang ruby rb php kotlin kt csharp cs c cpp rust scala swift dart".split()
 )
 
 _WORDS = re.compile(r"[a-z0-9]+")
