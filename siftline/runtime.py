@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("siftline")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -28,6 +28,8 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,3 +80,24 @@ def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors, once per context, wherever the driver was started."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_siftline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not root.endswith(".zip") and os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(prefix="siftline-"), "siftline.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("siftline", os.path.relpath(full, root)))
+        sc.addPyFile(path)
+    sc._siftline_shipped = True
