@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import consensus, encoding, history_dedup, matching, mixing
+from siftline.llm import consensus, encoding, history_dedup, language, matching, mixing
 from siftline.runtime import work_dir
 
 
@@ -67,5 +68,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p7_found, p7_confidence, p8_ids, p9_mix, p9_shares)}
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.segments(docs, language.train(docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or tells only part."""
+    return language.mislabelled(language.found_languages(_languages(spark, sf_dir)))
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and confidence of every document."""
+    return language.found_languages(_languages(spark, sf_dir)).withColumn("langs", F.concat_ws(",", "langs"))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    parts = _languages(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment_no", "s"))
+    return parts.select("doc_id", "segment_no", "s.lang", "s.confidence", "s.sentences", "s.chars")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p7_found, p7_confidence, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}
