@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 #: Words before the kind of defect in a rule's name (languages, scanners, packs).
@@ -10,20 +11,20 @@ PREFIXES = frozenset(
 )
 
 _WORDS = re.compile(r"[a-z0-9]+")
-_BLANK = re.compile(r"\s+")
 _ODD = re.compile(r"[^a-z0-9]+")
 #: Places where a message or description names the function.
-_CUES = tuple(re.compile(p) for p in (
-    r"\(\s*function\s+([a-z0-9_.]+)\s*\)?",
-    r"(?<![a-z0-9_.])([a-z0-9_.]+)\(\)",
-    r"^(?:\[[^\]]*\] )?in ([a-z0-9_.]+)\s*:",
-    r"^(?:\[[^\]]*\] )?([a-z0-9_.]+)\s*:",
-    r"\(([a-z0-9_.]+), [a-z0-9_]+\)",
-    r"\bin ['`]([a-z0-9_.]+)['`]\.?$",
+_CUES = tuple((mark, re.compile(p)) for mark, p in (
+    ("function", r"\(\s*function\s+([a-z0-9_.]+)\s*\)?"),
+    ("()", r"(?<![a-z0-9_.])([a-z0-9_.]+)\(\)"),
+    (":", r"^(?:\[[^\]]*\] )?in ([a-z0-9_.]+)\s*:"),
+    (":", r"^(?:\[[^\]]*\] )?([a-z0-9_.]+)\s*:"),
+    (", ", r"\(([a-z0-9_.]+), [a-z0-9_]+\)"),
+    ("in ", r"\bin ['`]([a-z0-9_.]+)['`]\.?$"),
 ))
 _SUFFIX = re.compile(r"(?:_v\d+|_?impl|_?async|_new|_old)$")
 
 
+@functools.lru_cache(maxsize=65536)
 def kind_of(rule: str | None) -> str:
     """Rule name without scanner, pack and language; blank for none."""
     words = _WORDS.findall((rule or "").lower())
@@ -37,6 +38,7 @@ def path_parts(path: str | None) -> list[str]:
     return [p for p in (path or "").lower().replace("\\", "/").strip().split("/") if p not in ("", ".")]
 
 
+@functools.lru_cache(maxsize=65536)
 def base_name(path: str | None) -> str:
     parts = path_parts(path)
     return parts[-1].strip() if parts else ""
@@ -48,9 +50,9 @@ def squeeze(text: str | None) -> str:
 
 def function_of(message: str | None) -> str:
     """The function a message names, without separators, qualifier and version suffix; blank when none is recognised."""
-    m = _BLANK.sub(" ", (message or "").lower()).strip()
-    for cue in _CUES:
-        found = cue.search(m)
+    m = " ".join((message or "").lower().split())
+    for mark, cue in _CUES:
+        found = cue.search(m) if mark in m else None
         if found:
             name = found.group(1).strip(".").split(".")[-1]
             return _ODD.sub("", _SUFFIX.sub("", name))

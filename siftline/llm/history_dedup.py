@@ -35,16 +35,18 @@ from siftline.llm import findings
 from siftline.operators.skew import hot_keys, salted_join
 from siftline.runtime import materialise, shuffle_partitions
 
-GRAM, WINDOW = 3, 2
+GRAM, WINDOW = 3, 3
 LINES, BAND = 25, 50
 EDITS = 3
-COVERAGE = 0.2
+COVERAGE = 0.1
 BITS, HASHES = 10, 4
 #: Order of everything that was accepted before the first delivery.
 BEFORE = -1
 
 FEATURES = "ord long, g long, line int, name string, c binary"
-PRINTS = "f long, c binary, g long, ord long, line int, name string, grams int"
+STORE = "f long, ord long, line int, name string"
+PROBE = "f long, c binary, line int, own boolean"
+POSITIVE = "f long, c binary, line int"
 
 
 def _h64(text: str) -> int:
@@ -86,90 +88,149 @@ def classes(of: DataFrame) -> DataFrame:
     return of.groupBy("c", "g", "line", "name").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
 
 
-def winnow(name: str) -> set[int]:
-    """Hashes of the kept grams of a name."""
-    text = name.lstrip("~")
-    grams = [_h64(text[i : i + GRAM]) for i in range(max(1, len(text) - GRAM + 1))]
-    if name[:1] == "~":  # any function may hide in it, so every gram is kept
-        return set(grams)
-    return {min(grams[i : i + WINDOW]) for i in range(max(1, len(grams) - WINDOW + 1))}
-
-
-def _mix(g: int, band: int, gram: int) -> int:
-    x = (g * 0x9E3779B97F4A7C15 + band * 0xC2B2AE3D27D4EB4F + gram * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF
-    x ^= x >> 31
-    x = (x * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x ^= x >> 29
-    return x - (1 << 63)
-
-
-def _prints_of(probe: bool):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, g, line, name, order = (batch.column(i).to_pylist() for i in range(5))
-            f, at, n = [], [], []
-            for i, (gi, li, ni) in enumerate(zip(g, line, name)):
-                grams = winnow(ni)
-                if li is None:
-                    bands = {-(2**31)}
-                else:
-                    bands = {(li - LINES) // BAND, (li + LINES) // BAND} if probe else {li // BAND}
-                made = [_mix(gi, b, x) for b in bands for x in grams]
-                f.extend(made)
-                at.extend([i] * len(made))
-                n.extend([len(grams)] * len(made))
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(f, pa.int64()), *(batch.column(k).take(at) for k in (0, 1, 4, 2, 3)), pa.array(n, pa.int32()),
-                ],
-                names=["f", "c", "g", "ord", "line", "name", "grams"],
-            )
-
-    return make
-
-
-def prints(of_classes: DataFrame, probe: bool) -> DataFrame:
-    return of_classes.select("c", "g", "line", "name", "ord").mapInArrow(_prints_of(probe), PRINTS)
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixing of whole numbers."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def winnowed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the kept grams of names: the smallest of every WINDOW neighbours; of wording (~) all, as any function may hide in it."""
+    bodies = [n.lstrip("~").encode().ljust(GRAM, b"_") for n in names]
+    sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+    data = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.uint64)
+    if not len(data):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(names)), sizes)
+    ends = np.cumsum(sizes)[owner]
+    at = np.arange(len(data))
+    n = len(data) - GRAM + 1
+    gram = np.zeros(n, dtype=np.uint64)
+    for j in range(GRAM):
+        gram = gram * np.uint64(256) + data[j : j + n]
+    whole = at[:n] + GRAM <= ends[:n]
+    h = np.where(whole, _spread(gram), np.uint64(2**64 - 1))
+    low = np.concatenate([h, np.full(WINDOW, 2**64 - 1, dtype=np.uint64)])
+    smallest = np.min([low[j : j + n] for j in range(WINDOW)], axis=0)
+    # a window counts when it lies in one name, or is the name's first and the name is shorter
+    first = at[:n] == (ends - sizes[owner])[:n]
+    inside = (at[:n] + WINDOW + GRAM - 1 <= ends[:n]) | first
+    keep = np.zeros(n, dtype=bool)
+    for j in range(WINDOW):
+        keep[j:] |= inside[: n - j] & (smallest[: n - j] == h[j:]) & (owner[: n - j] == owner[j:n])
+    wording = np.array([x[:1] == "~" for x in names], dtype=bool)
+    keep = whole & (keep | wording[owner[:n]])
+    return owner[:n][keep], h[keep]
+
+
+def _fingerprints(g: np.ndarray, band: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return _spread(_spread(g.astype(np.int64).view(np.uint64) ^ _spread(band.astype(np.int64).view(np.uint64))) ^ gram).view(np.int64)
+
+
+def _once(owner: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint of an owner once."""
+    order = np.lexsort((f, owner))
+    owner, f = owner[order], f[order]
+    new = np.ones(len(f), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (f[1:] != f[:-1])
+    return owner[new], f[new]
+
+
+NO_LINE = -(2**40)
+
+
+def _lines(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(NO_LINE).to_numpy(zero_copy_only=False)
+
+
+def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        owner, gram = winnowed(batch.column(2).to_pylist())
+        g, line = batch.column(0).to_numpy(zero_copy_only=False), _lines(batch.column(1))
+        owner, f = _once(owner, _fingerprints(g[owner], (line // BAND)[owner], gram))
+        at = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(f), *(batch.column(i).take(at) for i in (3, 1, 2))], names=["f", "ord", "line", "name"])
+
+
+def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        owner, gram = winnowed(batch.column(2).to_pylist())
+        g, line = batch.column(0).to_numpy(zero_copy_only=False), _lines(batch.column(1))
+        here = line // BAND
+        sides = []
+        for band in ((line - LINES) // BAND, (line + LINES) // BAND):
+            # a line's own band is among the two; without a line there is one
+            band = np.where(line == NO_LINE, here, band)
+            o, f = _once(owner, _fingerprints(g[owner], band[owner], gram))
+            sides.append((o, f, (band == here)[o]))
+        (o1, f1, own1), (o2, f2, own2) = sides
+        other = ((line - LINES) // BAND != (line + LINES) // BAND)[o2] & (line != NO_LINE)[o2]
+        owner, f, own = np.concatenate([o1, o2[other]]), np.concatenate([f1, f2[other]]), np.concatenate([own1, own2[other]])
+        at = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(at), batch.column(1).take(at), pa.array(own)], names=["f", "c", "line", "own"])
+
+
+def store_rows(of_classes: DataFrame) -> DataFrame:
+    return of_classes.select("g", "line", "name", "ord").mapInArrow(_store_rows, STORE)
+
+
+def probe_rows(of_classes: DataFrame) -> DataFrame:
+    return of_classes.select("g", "line", "name", "c").mapInArrow(_probe_rows, PROBE)
 
 
 def _places(f: np.ndarray, size: int) -> np.ndarray:
     u = f.astype(np.int64).view(np.uint64)
     step = (u >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(u + np.uint64(i) * step) & np.uint64(size - 1) for i in range(HASHES)])
+    with np.errstate(over="ignore"):
+        return np.stack([(u + np.uint64(i) * step) & np.uint64(size - 1) for i in range(HASHES)]).astype(np.int64)
 
 
 def _bloom(g: pd.DataFrame) -> pd.DataFrame:
     f = g["f"].to_numpy()
     size = max(64, 1 << int(np.ceil(np.log2(BITS * len(f)))))
     bits = np.zeros(size, dtype=bool)
-    bits[_places(f, size).ravel().astype(np.int64)] = True
+    bits[_places(f, size).ravel()] = True
     return pd.DataFrame({"bucket": g["bucket"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
 
-def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (bucket, filters first); fingerprints that no filter of their bucket holds are dropped."""
-    at, filters = None, []
+FILTER, OWN, ASKED = 0, 1, 2
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (bucket, kind): filters, the delivery's own fingerprints, then what is asked for.
+
+    Kept is what some filter holds or what another class of the delivery has.
+    """
+    at, filters, own, sorted_own = None, [], [], None
     for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(batch)]
-        for lo, hi in zip(cuts, cuts[1:]):
+        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        f = batch.column(2).to_numpy()
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
             if lo == hi:
                 continue
             if bucket[lo] != at:
-                at, filters = bucket[lo], []
-            part = batch.iloc[lo:hi]
-            own = part["bits"].notna().to_numpy()
-            filters.extend(np.unpackbits(np.frombuffer(b, dtype=np.uint8)).astype(bool) for b in part["bits"][own])
-            part = part[~own]
-            if not len(part) or not filters:
-                continue
-            f = part["f"].to_numpy()
-            hit = np.zeros(len(f), dtype=bool)
-            for bits in filters:
-                hit |= bits[_places(f, len(bits)).astype(np.int64)].all(axis=0)
-            if hit.any():
-                yield part.loc[hit, ["f", "c", "g", "ord", "line", "name", "grams"]].astype({"line": "Int32"})
+                at, filters, own, sorted_own = bucket[lo], [], [], None
+            if kind[lo] == FILTER:
+                filters.extend(np.unpackbits(np.frombuffer(b, dtype=np.uint8)).astype(bool) for b in batch.column(5)[lo:hi].to_pylist())
+            elif kind[lo] == OWN:
+                own.append(f[lo:hi])
+            else:
+                if sorted_own is None:
+                    sorted_own = np.sort(np.concatenate(own)) if own else np.empty(0, dtype=np.int64)
+                ask = f[lo:hi]
+                # in its own band, one of the equal fingerprints is the asking class's
+                times = np.searchsorted(sorted_own, ask, "right") - np.searchsorted(sorted_own, ask, "left")
+                hit = times > batch.column(6)[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64)
+                for bits in filters:
+                    hit |= bits[_places(ask, len(bits))].all(axis=0)
+                if hit.any():
+                    keep = pa.array(np.flatnonzero(hit) + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (2, 3, 4)], names=["f", "c", "line"])
 
 
 def _odd_names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -200,34 +261,36 @@ class HistoryIndex:
 
     def accept(self, of_classes: DataFrame) -> None:
         """Append classes to the store and their filters to the filters."""
-        store = materialise(prints(of_classes, probe=False), f"{self.path}/store-{self.parts}")
+        store = materialise(store_rows(of_classes), f"{self.path}/store-{self.parts}")
         blooms = store.select("f", self._bucket().alias("bucket")).groupBy("bucket").applyInPandas(_bloom, "bucket int, bits binary")
         materialise(blooms, f"{self.path}/filters-{self.parts}")
         self.parts += 1
 
     def candidates(self, of_classes: DataFrame) -> DataFrame:
-        """(c, name, ord, o_name, o_ord): pairs of a class and one that shares enough fingerprints within LINES lines."""
-        probes = prints(of_classes, probe=True)
-        other = lambda df: df.select("f", *[F.col(x).alias(f"o_{x}") for x in ("c", "ord", "line", "name", "grams", "g")])
-        pairs = probes.join(other(prints(of_classes, probe=False)), "f").where("c <> o_c")
+        """(c, name, ord, o_name, o_ord): pairs of a class and an earlier one that shares enough fingerprints within LINES lines."""
+        own = store_rows(of_classes)
+        asked = probe_rows(of_classes).withColumn("kind", F.lit(ASKED)).unionByName(
+            own.select("f").withColumn("kind", F.lit(OWN)), allowMissingColumns=True
+        ).withColumn("bucket", self._bucket())
+        store = own
         if self.parts:
-            # whole numbers stay whole in the workers: no nulls but in line
-            filters = self._read("filters", "bucket int, bits binary").withColumns({n: F.lit(0).cast(t) for n, t in probes.dtypes if t in ("bigint", "int") and n != "line"})
-            routed = probes.withColumn("bucket", self._bucket()).unionByName(filters, allowMissingColumns=True)
-            ordered = routed.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", F.col("bits").isNull())
-            positive = ordered.mapInPandas(_screen, PRINTS)
-            pairs = pairs.unionByName(positive.join(other(self._read("store", PRINTS)), "f"))
+            filters = self._read("filters", "bucket int, bits binary").withColumns({"kind": F.lit(FILTER), "f": F.lit(0).cast("long")})
+            asked = asked.unionByName(filters, allowMissingColumns=True)
+            store = own.unionByName(self._read("store", STORE))
+        else:
+            asked = asked.withColumn("bits", F.lit(None).cast("binary"))
+        ordered = asked.select("bucket", "kind", "f", "c", "line", "bits", "own").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        positive = ordered.mapInArrow(_screen, POSITIVE)
+        other = store.select("f", *[F.col(x).alias(f"o_{x}") for x in ("ord", "line", "name")])
         near = F.col("line").eqNullSafe(F.col("o_line")) | (F.abs(F.col("line") - F.col("o_line")) <= LINES)
-        pairs = pairs.where(near & (F.col("g") == F.col("o_g")) & (F.col("o_ord") < F.col("ord")))
-        per_pair = pairs.groupBy("c", "o_c").agg(
-            F.countDistinct("f").alias("shared"), *[F.first(x).alias(x) for x in ("name", "ord", "o_name", "o_ord", "grams", "o_grams")]
-        )
-        enough = F.col("shared") >= COVERAGE * F.least("grams", "o_grams")
-        return per_pair.where(enough).select("c", "name", "ord", "o_name", "o_ord")
+        shared = positive.join(other, "f").where(near).groupBy("c", "o_ord", "o_line", "o_name").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = shared.join(of_classes.select("c", "name", "ord"), "c").where("o_ord < ord")
+        grams = F.greatest(F.lit(1), F.least(F.length("name"), F.length("o_name")) - GRAM + 1)
+        return pairs.where(F.col("shared") >= COVERAGE * grams).select("c", "name", "ord", "o_name", "o_ord")
 
     def screen(self, rows: DataFrame, order: str) -> DataFrame:
         """The orders of delivered rows that repeat something accepted, or an earlier row of the delivery; then accepts them."""
-        of = features(rows, order)
+        of = materialise(features(rows, order), f"{self.path}/rows-{self.parts}")
         known = materialise(classes(of), f"{self.path}/classes-{self.parts}")
         pairs = self.candidates(known.drop("n"))
         plain = (F.substring("name", 1, 1) != "~") & (F.substring("o_name", 1, 1) != "~")
@@ -244,7 +307,7 @@ class HistoryIndex:
         return found
 
 
-def repeated_items(history: DataFrame, batches: DataFrame, path: str, deliveries: int = 3, order: str = "item_id", batch: str = "batch_no") -> DataFrame:
+def repeated_items(history: DataFrame, batches: DataFrame, path: str, deliveries: int = 1, order: str = "item_id", batch: str = "batch_no") -> DataFrame:
     """(item_id) of batch rows that report what the history or an earlier row reports already.
 
     The batches come in ``deliveries`` consecutive groups, each screened against all before it.
