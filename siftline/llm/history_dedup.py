@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import findings
 from siftline.operators.skew import hot_keys, salted_join
-from siftline.runtime import materialise, shuffle_partitions
+from siftline.runtime import materialise, release, shuffle_partitions
 
 GRAM, WINDOW = 3, 3
 LINES, BAND = 25, 50
@@ -45,8 +45,8 @@ BEFORE = -1
 
 FEATURES = "ord long, g long, line int, name string, c binary"
 STORE = "f long, ord long, line int, name string"
-PROBE = "f long, c binary, line int, own boolean"
-POSITIVE = "f long, c binary, line int"
+PROBE = "f long, k long, line int, own boolean"
+SHARED = "k long, o_ord long, o_line int, o_name string"
 
 
 def _h64(text: str) -> int:
@@ -171,7 +171,7 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = ((line - LINES) // BAND != (line + LINES) // BAND)[o2] & (line != NO_LINE)[o2]
         owner, f, own = np.concatenate([o1, o2[other]]), np.concatenate([f1, f2[other]]), np.concatenate([own1, own2[other]])
         at = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(at), batch.column(1).take(at), pa.array(own)], names=["f", "c", "line", "own"])
+        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(at), batch.column(1).take(at), pa.array(own)], names=["f", "k", "line", "own"])
 
 
 def store_rows(of_classes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def store_rows(of_classes: DataFrame) -> DataFrame:
 
 
 def probe_rows(of_classes: DataFrame) -> DataFrame:
-    return of_classes.select("g", "line", "name", "c").mapInArrow(_probe_rows, PROBE)
+    return of_classes.select("g", "line", "name", "k").mapInArrow(_probe_rows, PROBE)
 
 
 def _places(f: np.ndarray, size: int) -> np.ndarray:
@@ -197,40 +197,85 @@ def _bloom(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": g["bucket"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
 
-FILTER, OWN, ASKED = 0, 1, 2
+FILTER, OWN, STORED, ASKED = 0, 1, 2, 3
+BLOCK = 500_000
+
+
+class _Bucket:
+    """Filters and fingerprints of one hash bucket, as they come in."""
+
+    def __init__(self):
+        self.filters: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        self.parts: list[pa.RecordBatch] = []
+        self.ready = False
+
+    def close(self) -> None:
+        table = pa.Table.from_batches(self.parts) if self.parts else pa.table({"f": pa.array([], pa.int64()), "num": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "name": pa.array([], pa.string())})
+        table = table.take(pa.array(np.argsort(table["f"].to_numpy(), kind="stable"))).combine_chunks()
+        self.f, self.ord, self.name, self.line = table["f"].to_numpy(), table["num"], table["name"], table["line"]
+        self.at = _lines(self.line.combine_chunks() if isinstance(self.line, pa.ChunkedArray) else self.line)
+        self.own_f = np.sort(np.concatenate(self.own)) if self.own else np.empty(0, dtype=np.int64)
+        self.parts, self.ready = [], True
+
+    def screen(self, f: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether some filter holds it, or another class of the delivery has it."""
+        # in its own band, one of the equal fingerprints is the asking class's
+        hit = np.searchsorted(self.own_f, f, "right") - np.searchsorted(self.own_f, f, "left") > own
+        for bits in self.filters:
+            hit |= bits[_places(f, len(bits))].all(axis=0)
+        return hit
+
+    def look_up(self, f: np.ndarray, k: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.searchsorted(self.f, f, "left"), np.searchsorted(self.f, f, "right")
+        some = hi > lo
+        lo, n, k, line = lo[some], (hi - lo)[some], k[some], line[some]
+        upto = np.cumsum(n)
+        start = 0
+        while start < len(n):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BLOCK, "right")))
+            m = n[start:end]
+            ask = np.repeat(np.arange(start, end), m)
+            other = np.repeat(lo[start:end] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            near = np.abs(line[ask] - self.at[other]) <= LINES
+            ask, other = ask[near], pa.array(other[near])
+            if len(ask):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[ask]), *(pa.concat_arrays(c.take(other).chunks) if isinstance(c, pa.ChunkedArray) else c.take(other) for c in (self.ord, self.line, self.name))],
+                    names=["k", "o_ord", "o_line", "o_name"],
+                )
+            start = end
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, kind): filters, the delivery's own fingerprints, then what is asked for.
+    """Rows (bucket, kind, f, num, line, own, name, bits) come sorted by (bucket, kind).
 
-    Kept is what some filter holds or what another class of the delivery has.
+    Kinds: filters, the delivery's own fingerprints, those of the store, then what is asked for; only asked
+    fingerprints that pass the screen are looked up.
     """
-    at, filters, own, sorted_own = None, [], [], None
+    at, b = None, _Bucket()
     for batch in batches:
-        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        f = batch.column(2).to_numpy()
+        bucket, kind, f = (batch.column(i).to_numpy() for i in range(3))
         cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
             if lo == hi:
                 continue
             if bucket[lo] != at:
-                at, filters, own, sorted_own = bucket[lo], [], [], None
+                at, b = bucket[lo], _Bucket()
+            part = batch.slice(lo, hi - lo)
             if kind[lo] == FILTER:
-                filters.extend(np.unpackbits(np.frombuffer(b, dtype=np.uint8)).astype(bool) for b in batch.column(5)[lo:hi].to_pylist())
-            elif kind[lo] == OWN:
-                own.append(f[lo:hi])
+                b.filters.extend(np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(bool) for x in part.column(7).to_pylist())
+            elif kind[lo] in (OWN, STORED):
+                b.parts.append(part.select(["f", "num", "line", "name"]))
+                if kind[lo] == OWN:
+                    b.own.append(f[lo:hi])
             else:
-                if sorted_own is None:
-                    sorted_own = np.sort(np.concatenate(own)) if own else np.empty(0, dtype=np.int64)
-                ask = f[lo:hi]
-                # in its own band, one of the equal fingerprints is the asking class's
-                times = np.searchsorted(sorted_own, ask, "right") - np.searchsorted(sorted_own, ask, "left")
-                hit = times > batch.column(6)[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64)
-                for bits in filters:
-                    hit |= bits[_places(ask, len(bits))].all(axis=0)
+                if not b.ready:
+                    b.close()
+                ask, own = f[lo:hi], part.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = b.screen(ask, own)
                 if hit.any():
-                    keep = pa.array(np.flatnonzero(hit) + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (2, 3, 4)], names=["f", "c", "line"])
+                    yield from b.look_up(ask[hit], part.column(3).to_numpy()[hit], _lines(part.column(4))[hit])
 
 
 def _odd_names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -265,33 +310,33 @@ class HistoryIndex:
         blooms = store.select("f", self._bucket().alias("bucket")).groupBy("bucket").applyInPandas(_bloom, "bucket int, bits binary")
         materialise(blooms, f"{self.path}/filters-{self.parts}")
         self.parts += 1
+        release(self.spark)
 
     def candidates(self, of_classes: DataFrame) -> DataFrame:
         """(c, name, ord, o_name, o_ord): pairs of a class and an earlier one that shares enough fingerprints within LINES lines."""
-        own = store_rows(of_classes)
-        asked = probe_rows(of_classes).withColumn("kind", F.lit(ASKED)).unionByName(
-            own.select("f").withColumn("kind", F.lit(OWN)), allowMissingColumns=True
-        ).withColumn("bucket", self._bucket())
-        store = own
+        def routed(df: DataFrame, kind: int, num: str | None) -> DataFrame:
+            has = set(df.columns)
+            return df.select(
+                F.lit(kind).alias("kind"), F.col("f") if "f" in has else F.lit(0).cast("long").alias("f"),
+                (F.col(num) if num else F.lit(0).cast("long")).alias("num"),
+                *[F.col(x) if x in has else F.lit(None).cast(t).alias(x) for x, t in (("line", "int"), ("own", "boolean"), ("name", "string"), ("bits", "binary"))],
+                (F.col("bucket") if "bucket" in has else self._bucket()).alias("bucket"),
+            )
+
+        rows = routed(store_rows(of_classes), OWN, "ord").unionByName(routed(probe_rows(of_classes), ASKED, "k"))
         if self.parts:
-            filters = self._read("filters", "bucket int, bits binary").withColumns({"kind": F.lit(FILTER), "f": F.lit(0).cast("long")})
-            asked = asked.unionByName(filters, allowMissingColumns=True)
-            store = own.unionByName(self._read("store", STORE))
-        else:
-            asked = asked.withColumn("bits", F.lit(None).cast("binary"))
-        ordered = asked.select("bucket", "kind", "f", "c", "line", "bits", "own").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        positive = ordered.mapInArrow(_screen, POSITIVE)
-        other = store.select("f", *[F.col(x).alias(f"o_{x}") for x in ("ord", "line", "name")])
-        near = F.col("line").eqNullSafe(F.col("o_line")) | (F.abs(F.col("line") - F.col("o_line")) <= LINES)
-        shared = positive.join(other, "f").where(near).groupBy("c", "o_ord", "o_line", "o_name").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = shared.join(of_classes.select("c", "name", "ord"), "c").where("o_ord < ord")
+            rows = rows.unionByName(routed(self._read("store", STORE), STORED, "ord"))
+            rows = rows.unionByName(routed(self._read("filters", "bucket int, bits binary"), FILTER, None))
+        ordered = rows.select("bucket", "kind", "f", "num", "line", "own", "name", "bits").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        shared = ordered.mapInArrow(_screen, SHARED).groupBy("k", "o_ord", "o_line", "o_name").agg(F.count(F.lit(1)).alias("shared"))
+        pairs = shared.join(of_classes.select("k", "c", "name", "ord"), "k").where("o_ord < ord")
         grams = F.greatest(F.lit(1), F.least(F.length("name"), F.length("o_name")) - GRAM + 1)
         return pairs.where(F.col("shared") >= COVERAGE * grams).select("c", "name", "ord", "o_name", "o_ord")
 
     def screen(self, rows: DataFrame, order: str) -> DataFrame:
         """The orders of delivered rows that repeat something accepted, or an earlier row of the delivery; then accepts them."""
         of = materialise(features(rows, order), f"{self.path}/rows-{self.parts}")
-        known = materialise(classes(of), f"{self.path}/classes-{self.parts}")
+        known = materialise(classes(of).withColumn("k", F.monotonically_increasing_id()), f"{self.path}/classes-{self.parts}")
         pairs = self.candidates(known.drop("n"))
         plain = (F.substring("name", 1, 1) != "~") & (F.substring("o_name", 1, 1) != "~")
         most = F.least(F.lit(EDITS), (F.least(F.length("name"), F.length("o_name")) / 4).cast("int"))
