@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.schema import BLAST_CODE, lookup
+from siftline.schema import severity_score as score_of
 
 #: The terms of every input as corner points and footprint of uncertainty.
 TRAPEZOIDS = {
@@ -89,38 +90,45 @@ def membership(x: Column, name: str, term: str, closed_shoulders: bool = False)
     return lower, F.greatest(lower, clamp(_shape(x, a, *wide, d)))
 
 
-def decision(severity: Column, confidence: Column, blast_radius: Column, exploitability: Column, reliability: Column, closed_shoulders: bool = False) -> dict[str, Column]:
-    """``lower``, ``upper``, ``score`` and ``decision`` of the rule base over one finding's inputs."""
-    values = dict(zip(INPUTS, (severity, confidence, lookup(blast_radius, BLAST_CODE, 0.0), exploitability, reliability)))
-    terms = {
-        (i, t): membership(values[i], i, t, closed_shoulders) for i, ts in {**TRAPEZOIDS, **TRIANGLES}.items() for t in ts
-    }
-    fired: dict[str, list[tuple[Column, Column]]] = {d: [] for d in CENTROIDS}
-    for *premises, outcome in RULES:
-        used = [terms[i, p] for i, p in zip(INPUTS, premises) if p]
-        low, up = [u[0] for u in used], [u[1] for u in used]
-        fired[outcome].append((F.least(*low) if len(low) > 1 else low[0], F.least(*up) if len(up) > 1 else up[0]))
-    lows = {d: F.greatest(*[f[0] for f in fs]) for d, fs in fired.items()}
-    ups = {d: F.greatest(*[f[1] for f in fs]) for d, fs in fired.items()}
-    total = lambda m, w: sum((m[d] * (CENTROIDS[d] if w else 1.0) for d in CENTROIDS), F.lit(0.0))
-    return {"num_lower": total(lows, True), "num_upper": total(ups, True), "den_lower": total(lows, False), "den_upper": total(ups, False)}
+def add_decision(df: DataFrame, reliability: Column, severity_score: Column | None = None, closed_shoulders: bool = False) -> DataFrame:
+    """Append fis_lower, fis_upper, fis_score and decision to findings.
 
-
-def add_decision(df, reliability: Column, severity_score: Column | None = None, closed_shoulders: bool = False):
-    """Append fis_lower, fis_upper, fis_score and decision to findings."""
-    from siftline.schema import severity_score as score_of
-
-    sev = severity_score if severity_score is not None else score_of(F.col("severity"))
-    sums = decision(sev, F.col("confidence"), F.col("blast_radius"), F.col("exploitability"), reliability, closed_shoulders)
-    df = df.withColumns({f"__{k}": v for k, v in sums.items()})
-    one = F.when(F.col("__den_upper") == 0, 0.5).otherwise(F.try_divide("__num_lower", "__den_upper"))
-    two = F.when((F.col("__den_upper") == 0) | (F.col("__den_lower") == 0), 0.5).otherwise(F.try_divide("__num_upper", "__den_lower"))
-    df = df.withColumns({"__one": one, "__two": two}).drop(*[f"__{k}" for k in sums])
-    low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least("__one", "__two")))
-    df = df.withColumn("fis_lower", low)
-    df = df.withColumn("fis_upper", F.greatest("fis_lower", F.least(F.lit(1.0), F.greatest("__one", "__two")))).drop("__one", "__two")
+    The steps are separate projections, so a membership is computed once and used by all its rules.
+    """
+    kept = df.columns
+    inputs = (
+        severity_score if severity_score is not None else score_of(F.col("severity")), F.col("confidence"),
+        lookup(F.col("blast_radius"), BLAST_CODE, 0.0), F.col("exploitability"), reliability,
+    )
+    df = df.withColumns({f"__{i}": v for i, v in zip(INPUTS, inputs)})
+    terms = {}
+    for i, ts in {**TRAPEZOIDS, **TRIANGLES}.items():
+        for t in ts:
+            terms[f"__{i}_{t}_l"], terms[f"__{i}_{t}_u"] = membership(F.col(f"__{i}"), i, t, closed_shoulders)
+    df = df.withColumns(terms)
+    fired = {}
+    for side in "lu":
+        for outcome in CENTROIDS:
+            strengths = []
+            for *premises, then in RULES:
+                if then == outcome:
+                    used = [F.col(f"__{i}_{p}_{side}") for i, p in zip(INPUTS, premises) if p]
+                    strengths.append(F.least(*used) if len(used) > 1 else used[0])
+            fired[f"__{outcome}_{side}"] = F.greatest(*strengths)
+    df = df.withColumns(fired)
+    weighed = lambda side, by: sum((F.col(f"__{d}_{side}") * (c if by else 1.0) for d, c in CENTROIDS.items()), F.lit(0.0))
+    df = df.withColumns({"__nl": weighed("l", True), "__nu": weighed("u", True), "__dl": weighed("l", False), "__du": weighed("u", False)})
+    none = F.col("__du") == 0
+    df = df.withColumns({
+        "__one": F.when(none, 0.5).otherwise(F.try_divide("__nl", "__du")),
+        "__two": F.when(none | (F.col("__dl") == 0), 0.5).otherwise(F.try_divide("__nu", "__dl")),
+    })
+    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    df = df.withColumn("fis_lower", clamp(F.least("__one", "__two")))
+    df = df.withColumn("fis_upper", F.greatest("fis_lower", F.least(F.lit(1.0), F.greatest("__one", "__two"))))
     df = df.withColumn("fis_score", (F.col("fis_lower") + F.col("fis_upper")) / 2)
     s = F.col("fis_score")
     plain = F.when(s < 0.30, "pass").when(s < 0.70, "warn").otherwise("block")
     unsure = (F.col("fis_upper") - F.col("fis_lower") > 0.5) & (s > 0.35) & (s < 0.65)
-    return df.withColumn("decision", F.when(unsure, "uncertain").otherwise(plain))
+    df = df.withColumn("decision", F.when(unsure, "uncertain").otherwise(plain))
+    return df.select(*kept, "fis_lower", "fis_upper", "fis_score", "decision")

@@ -54,13 +54,13 @@ def line_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
 def all_matches(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per distinct match of a rule in a line: adds rule_id, severity, confidence and value."""
     text = F.col("text")
-    per_rule = [
-        F.transform(
-            F.array_distinct(F.when(_fits(r, text), F.regexp_extract_all(text, F.lit(f"({r.regex()})" if not r.ignore_case else f"(?i)({r.pattern})"), F.lit(1))).otherwise(F.array())),
-            lambda v, r=r: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), v.alias("value")),
-        )
-        for r in rules
-    ]
+
+    def matches(r: Rule) -> Column:
+        pattern = f"(?i)({r.pattern})" if r.ignore_case else f"({r.pattern})"
+        values = F.when(_fits(r, text), F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), v.alias("value")))
+
+    per_rule = [matches(r) for r in rules]
     any_rule = _any(rules, text)
     return lines.where(any_rule).withColumn("__hit", F.explode(F.concat(*per_rule))).select(*lines.columns, "__hit.*")
 
