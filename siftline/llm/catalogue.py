@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import consensus, encoding, history_dedup, language, matching, mixing
-from siftline.runtime import work_dir
+from siftline.runtime import spread, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch rows that report a finding which is known already."""
     return history_dedup.repeated_items(table(spark, sf_dir, "issues"), table(spark, sf_dir, "issue_batches"), work_dir(spark, "history"))
@@ -49,12 +53,12 @@ def p7_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the public 50k byte-level vocabulary."""
-    return encoding.encode_corpus(table(spark, sf_dir, "documents"), work_dir(spark, "encode"))
+    return encoding.encode_corpus(texts(spark, sf_dir), work_dir(spark, "encode"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    units = mixing.units(table(spark, sf_dir, "documents"), targets, work_dir(spark, "mix"))
+    units = mixing.units(texts(spark, sf_dir), targets, work_dir(spark, "mix"))
     return mixing.mixture(units, targets), units, targets
 
 
@@ -69,7 +73,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return language.segments(docs, language.train(docs))
 
 
