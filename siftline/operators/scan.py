@@ -33,9 +33,38 @@ class Rule:
         return f"(?i){self.pattern}" if self.ignore_case else self.pattern
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern contains; blank when none is sure."""
+    from re import _constants, _parser
+
+    def longest(nodes) -> str:
+        best, run = "", ""
+        for op, arg in [*nodes, (None, None)]:
+            if op is _constants.LITERAL and arg < 128:
+                run += chr(arg)
+                continue
+            best, run = max(best, run, key=len), ""
+            if op is _constants.SUBPATTERN:
+                best = max(best, longest(arg[3]), key=len)
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and arg[0] >= 1:
+                best = max(best, longest(arg[2]), key=len)
+        return best
+
+    try:
+        return longest(_parser.parse(pattern))
+    except Exception:  # Java knows forms that Python does not
+        return ""
+
+
 def _fits(rule: Rule, text: Column) -> Column:
+    """The pattern behind a plain substring test, which turns most lines away far more cheaply."""
     hit = text.rlike(rule.regex())
-    return text.contains(rule.needs) & hit if rule.needs else hit
+    if rule.needs:
+        return text.contains(rule.needs) & hit
+    literal = required_literal(rule.pattern)
+    if len(literal) < 2:
+        return hit
+    return (F.lower(text).contains(literal.lower()) if rule.ignore_case else text.contains(literal)) & hit
 
 
 def line_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:

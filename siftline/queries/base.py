@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import schema
+from siftline.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, line_no, text, doc_id) of all documents."""
     from siftline.sources.files import lines_of
 
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id").alias("file"), F.col("text").alias("content"), "doc_id"
     )
     return lines_of(docs)

@@ -90,6 +90,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows of a source with fewer partitions than cores, such as one small file; a larger source stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable on the executors, once per context, wherever the driver was started."""
     import os

@@ -48,7 +48,6 @@ def matches_any(path: Column, globs: list[str]) -> Column:
 def lines_of(files: DataFrame) -> DataFrame:
     """Explode (file, content, ...) to (file, line_no, text, ...); one trailing empty line is dropped, as a text's last line end starts none."""
     other = [c for c in files.columns if c not in ("file", "content")]
-    parts = files.where("content is not null and content <> ''").select(*other, "file", F.split("content", LINE_ENDS).alias("parts"))
-    last = F.element_at("parts", -1) == ""
-    parts = parts.withColumn("parts", F.when(last, F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts")))
-    return parts.select("file", *other, F.posexplode("parts").alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line_no"), "text", *other)
+    whole = F.regexp_replace("content", rf"(?:{LINE_ENDS})\z", "")
+    parts = files.where("content is not null and content <> ''").select("file", *other, F.posexplode(F.split(whole, LINE_ENDS)).alias("pos", "text"))
+    return parts.select("file", (F.col("pos") + 1).alias("line_no"), "text", *other)
