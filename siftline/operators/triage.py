@@ -104,7 +104,7 @@ def corroborated(findings: DataFrame) -> DataFrame:
     ).where("at > 0")
     groups = around.groupBy("file", "at").agg(F.countDistinct("who").alias("engines")).where("engines >= 2")
     boosts = around.join(groups, ["file", "at"]).groupBy("fingerprint").agg(F.max_by("engines", "at").alias("engines"))
-    boost = F.coalesce(F.least(F.lit(0.2), 0.05 * F.col("engines")), F.lit(0.0))
+    boost = F.when(F.col("engines").isNotNull(), F.least(F.lit(0.2), 0.05 * F.col("engines"))).otherwise(0.0)  # least skips nulls
     return findings.join(boosts, "fingerprint", "left").withColumn("boost", boost).withColumn(
         "confidence", F.least(F.lit(1.0), F.col("confidence") + F.col("boost"))
     ).drop("engines")

@@ -100,7 +100,7 @@ b as (select fingerprint, arg_max(engines, pos) engines from a join g using (fil
 """
 
 
-@query(_CORR + "select fingerprint, round(least(1.0, confidence + coalesce(least(0.2, 0.05 * engines), 0.0)), 6) confidence, round(cast(coalesce(least(0.2, 0.05 * engines), 0.0) as double), 6) boost from f left join b using (fingerprint)")
+@query(_CORR + "select fingerprint, round(least(1.0, confidence + case when engines is null then 0.0 else least(0.2, 0.05 * engines) end), 6) confidence, round(cast(case when engines is null then 0.0 else least(0.2, 0.05 * engines) end as double), 6) boost from f left join b using (fingerprint)")
 def corroborate_band(spark, sf):
     """Confidence raised where engines agree within one line."""
     return t.corroborated(findings(spark, sf).distinct()).select("fingerprint", F.round("confidence", 6).alias("confidence"), F.round("boost", 6).alias("boost"))
