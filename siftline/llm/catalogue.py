@@ -53,7 +53,7 @@ def p7_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the public 50k byte-level vocabulary."""
-    return encoding.encode_corpus(texts(spark, sf_dir), work_dir(spark, "encode"))
+    return encoding.encode_corpus(texts(spark, sf_dir))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,15 +1,15 @@
 """Encoding a corpus with a public byte-level tokenizer, reusing content-defined chunks.
 
 Texts are cut where a rolling hash of the preceding bytes says so, so equal passages of different
-documents give equal chunks.  Every distinct chunk is encoded once; documents are put together from
-the ids of their chunks.  Most cuts lie between a visible ASCII character and a blank, which the
+documents give equal chunks.  A chunk is encoded once, per task or in the whole corpus, and documents are
+put together from the ids of their chunks.  Most cuts lie between a visible ASCII character and a blank, which the
 tokenizer's own splitting never crosses, so the ids simply follow each other.  A stretch without
 such a place is cut at a hashed character boundary instead, and the ids around that join are
 repaired: the splitting is run again from the last place that the left part settles alone, until
 it agrees with a boundary of the right part's own splitting; from there on both are the same.
 
-Hot chunks: distinct chunks are counted with a partial aggregation, and the join back is salted for
-the heaviest of them.  A task holds one batch of documents or one document's ids.
+Hot chunks are what the cache is for; where chunks are exchanged, they are counted with a partial
+aggregation and the join back is salted for the heaviest.  A task holds one batch of documents and the cache.
 
 Defined results: null and empty texts give an empty list; strings of special tokens are ordinary
 text; rows with equal doc_id are encoded each; other columns are ignored.
@@ -36,7 +36,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 12
-MEAN_WORDS = 6
+MEAN_WORDS = 24
 LONGEST = 4096
 
 
@@ -243,8 +243,65 @@ def _repairer_of(path: str):
     return repair
 
 
-def encode_corpus(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of every text, null and empty ones as empty lists."""
+CACHED_BYTES = 48_000_000
+
+
+class ChunkCache:
+    """Ids of the chunks a worker has seen, bounded by the size of their texts."""
+
+    def __init__(self, path: str):
+        self.enc, self.ids, self.held = encoder(path), {}, 0
+
+    def __getitem__(self, chunk: bytes) -> np.ndarray:
+        found = self.ids.get(chunk)
+        if found is None:
+            found = np.array(self.enc.encode_ordinary(chunk.decode()), dtype=np.int32)
+            if self.held > CACHED_BYTES:
+                self.ids, self.held = {}, 0
+            self.ids[chunk] = found
+            self.held += len(chunk)
+        return found
+
+
+def _in_place_of(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, fix = ChunkCache(path), JoinRepair(path)
+        for batch in batches:
+            column, n = batch.column(1), len(batch)
+            body, lo, hi, rows = _texts(column)
+            places, safe = cut_places(np.frombuffer(body, dtype=np.uint8), lo)
+            ends = np.append(places[1:], len(body))
+            parts = [cache[body[a:b]] for a, b in zip(places.tolist(), ends.tolist())]
+            owner = rows[np.searchsorted(lo, places, side="right") - 1] if len(places) else np.empty(0, dtype=np.int64)
+            for row in np.unique(owner[~safe]):  # texts with a join that needs repair
+                at = np.flatnonzero(owner == row)
+                whole = fix.whole([(bool(safe[i]), parts[i].tolist()) for i in at])
+                for i in at:
+                    parts[i] = np.empty(0, dtype=np.int32)
+                parts[at[0]] = np.array(whole, dtype=np.int32)
+            sizes = np.bincount(owner, weights=[len(p) for p in parts], minlength=n).astype(np.int64) if parts else np.zeros(n, dtype=np.int64)
+            values = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+
+    return run
+
+
+def encode_corpus(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids): the ids of every text, null and empty ones as empty lists; one narrow pass.
+
+    A chunk shared by documents of one task is encoded once, within a bounded cache; nothing is shuffled.
+    """
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return chosen.mapInArrow(_in_place_of(vocabulary or vocabulary_path()), "doc_id long, ids array<int>")
+
+
+def encode_corpus_once(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """The same with every distinct chunk encoded once in the whole corpus: chunks and ids go through exchanges.
+
+    For tokenizers so slow that moving ids costs less than encoding a chunk once per task.
+    """
     path = vocabulary or vocabulary_path()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     full = texts.where("text is not null and text <> ''")

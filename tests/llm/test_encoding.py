@@ -41,10 +41,11 @@ def test_corpus_agrees_with_encoding_whole_texts(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "   ", 0), (4, "x" * 20000, 1), (5, "日本" * 6000, 1), (6, "a b " * 5000, 1), (7, "<|endoftext|> it's", 1), (8, " " * 9000 + "end", 1)]
     rows += [(10 + i, random_text(i, 300), 1) for i in range(30)] + [(50, random_text(3, 300), 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    got = {r["doc_id"]: r["ids"] for r in encoding.encode_corpus(docs, work_dir(spark, "t")).collect()}
-    assert got == {i: brute(t) for i, t, _ in rows}
+    want = {i: brute(t) for i, t, _ in rows}
+    for frame in (encoding.encode_corpus(docs), encoding.encode_corpus_once(docs, work_dir(spark, "t"))):
+        assert {r["doc_id"]: r["ids"] for r in frame.collect()} == want
 
 
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert encoding.encode_corpus(docs, work_dir(spark, "t")).collect() == []
+    assert encoding.encode_corpus(docs).collect() == encoding.encode_corpus_once(docs, work_dir(spark, "t")).collect() == []
