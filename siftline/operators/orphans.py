@@ -6,8 +6,8 @@ spread over salts, and batches are probed with a vectorised binary search.  Only
 (``ranges`` strings) reach the driver.
 
 Defined results: a null or blank key is no reference; a reference without a date is never early
-and never after a purge, and its period is null; repeated reference rows are reported once; several
-rows of a parent count with the earliest first sight; empty tables give no rows or, for parents,
+and never after a purge, and its period is null; repeated reference rows are reported once; a reference
+without a row number is reported without one; several rows of a parent count with the earliest first sight; empty tables give no rows or, for parents,
 only misses; other columns are ignored.
 """
 
@@ -58,6 +58,8 @@ def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 STORE_SCHEMA = "lo string, keys array<string>, here array<boolean>, first_seen array<long>, purged array<long>, purges array<long>"
 #: Stands for "no time" in the arrays, so that no comparison with it is true.
 NO_LOW, NO_HIGH = -(2**62), 2**62
+#: Stands for a missing row number while rows pass through the workers, where whole numbers must stay whole.
+NO_ID = -(2**63)
 
 
 def _longs(s: pd.Series) -> np.ndarray:
@@ -142,12 +144,12 @@ def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int
     spread = F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("range_id")] if heavy else F.lit(None).cast("long")
     routed = routed.select(
         "range_id", F.when(spread.isNotNull(), F.pmod(F.xxhash64("row_id"), spread)).otherwise(0).cast("int").alias("salt"),
-        F.lit(PROBE).alias("kind"), "ref_table", "row_id", "k", F.unix_micros("dated").alias("micros"),
+        F.lit(PROBE).alias("kind"), "ref_table", F.coalesce("row_id", F.lit(NO_ID)).alias("row_id"), "k", F.unix_micros("dated").alias("micros"),
     )
     if bounds:
         arrays = store.withColumn("range_id", range_of("lo")).select(
             "range_id", F.explode(F.sequence(F.lit(0), (F.coalesce(spread, F.lit(1)) - 1).cast("int"))).alias("salt"),
-            F.lit(PARENT).alias("kind"), "keys", "here", "first_seen", "purged", "purges",
+            F.lit(PARENT).alias("kind"), F.lit(NO_ID).alias("row_id"), "keys", "here", "first_seen", "purged", "purges",
         )
         both = routed.unionByName(arrays, allowMissingColumns=True)
     else:
@@ -156,7 +158,7 @@ def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int
     ordered = both.repartition(ranges, "range_id", "salt").sortWithinPartitions("range_id", "salt", "kind")
     found = ordered.mapInPandas(_probe, "ref_table string, row_id long, micros long, reason string")
     return found.select(
-        "ref_table", F.date_format(F.timestamp_micros("micros"), "yyyy-MM").alias("period"), "row_id", "reason"
+        "ref_table", F.date_format(F.timestamp_micros("micros"), "yyyy-MM").alias("period"), F.nullif("row_id", F.lit(NO_ID)).alias("row_id"), "reason"
     ).distinct()
 
 

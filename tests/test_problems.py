@@ -121,16 +121,16 @@ def test_orphans(spark):
     issues = spark.createDataFrame([("A", DAY), (" a", DAY + dt.timedelta(9)), ("b", DAY), (None, DAY), ("n", None)], "fingerprint string, first_seen timestamp")
     hist = spark.createDataFrame(
         [(1, "x", DAY, "purge"), (2, "x", DAY + dt.timedelta(2), "PURGE "), (3, "x", DAY + dt.timedelta(3), "comment"), (4, "x", DAY, "open"), (5, "a", DAY - dt.timedelta(1), "open"),
-         (5, "a", DAY - dt.timedelta(1), "open"), (6, "a", DAY, "open"), (7, "zz", None, "open"), (8, " ", DAY, "open"), (9, None, DAY, None), (10, "n", DAY, "open"), (11, "b", None, "open")],
+         (5, "a", DAY - dt.timedelta(1), "open"), (6, "a", DAY, "open"), (7, "zz", None, "open"), (8, " ", DAY, "open"), (9, None, DAY, None), (10, "n", DAY, "open"), (11, "b", None, "open"), (2**60 + 1, "yy", DAY, "open"), (None, "yy", DAY, "open")],
         "id long, fingerprint string, timestamp timestamp, action string",
     )
     refs = orphans.references(hist, "h", "fingerprint", "id", "timestamp")
     for ranges in (1, 3):
         got = {tuple(r) for r in orphans.orphan_rows(refs, orphans.parents(issues, hist), work_dir(spark, "t"), ranges).collect()}
-        assert got == {("h", "2026-01", 3, "deleted"), ("h", "2025-12", 5, "early"), ("h", None, 7, "missing")}
+        assert got == {("h", "2026-01", 3, "deleted"), ("h", "2025-12", 5, "early"), ("h", None, 7, "missing"), ("h", "2026-01", 2**60 + 1, "missing"), ("h", "2026-01", None, "missing")}
     none = spark.createDataFrame([], hist.schema)
     got = orphans.orphan_rows(refs, orphans.parents(spark.createDataFrame([], issues.schema), none), work_dir(spark, "t")).collect()
-    assert {r["reason"] for r in got} == {"missing"} and len(got) == 9
+    assert {r["reason"] for r in got} == {"missing"} and len(got) == 11
     assert orphans.orphan_rows(orphans.references(none, "h", "fingerprint", "id", "timestamp"), orphans.parents(issues, hist), work_dir(spark, "t")).collect() == []
 
 
