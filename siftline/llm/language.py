@@ -51,10 +51,10 @@ NAMES = {n: k for k, ns in LANGUAGES.items() for n in (k, *ns)}
 
 _SEPARATORS = re.compile(r"[,;/+&]|\band\b")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
-_FINISHED = re.compile(r"[\w)\"'”»`]\s?[.!?…][\"'”»)]*$")
 _CODE = re.compile(r"[={}]|\S\t\S|^\d{4}-\d\d-\d\d|^\[\w+\]|;$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _EDGE = "\"'`“”„«»().,:;!?…*"
+_WORDS = re.compile(rf"(?<!\S)[{re.escape(_EDGE)}]*([^\W\d_]+(?:['’-][^\W\d_]+)*)[{re.escape(_EDGE)}]*(?!\S)")
+_CLOSING, _STOPS, _BEFORE_STOP = "\"'”»)", ".!?…", ")\"'”»`_"
 _LEAD = " \t>#*-/|+•"
 
 
@@ -68,14 +68,18 @@ def languages_of(label: str | None) -> frozenset[str]:
     return frozenset(out)
 
 
+def finished(text: str) -> bool:
+    """Whether a text ends as a sentence does: a word or closing mark, perhaps a blank, a stop, perhaps closing marks."""
+    t = text.rstrip(_CLOSING)
+    if t[-1:] not in _STOPS or not t:
+        return False
+    before = t[:-2] if t[-2:-1] == " " else t[:-1]
+    return before[-1:].isalnum() or (before != "" and before[-1] in _BEFORE_STOP)
+
+
 def masked(sentence: str) -> str:
     """The plain words of a sentence, lower case, single blanks; names, paths and numbers are left out."""
-    out = []
-    for token in sentence.split():
-        word = token.strip(_EDGE)
-        if _WORD.fullmatch(word) and (word.islower() or word.isupper() or word.istitle()):
-            out.append(word)
-    return " ".join(out).lower()
+    return " ".join([w for w in _WORDS.findall(sentence) if w[1:].islower() or w.islower() or w.isupper()]).lower()
 
 
 def sentences(text: str | None) -> list[str]:
@@ -94,8 +98,8 @@ def sentences(text: str | None) -> list[str]:
     def close() -> None:
         if held:
             for s in _END.split(" ".join(held)):
-                if _FINISHED.search(s):
-                    m = masked(unicodedata.normalize("NFC", s))
+                if finished(s):
+                    m = masked(s if s.isascii() else unicodedata.normalize("NFC", s))
                     if m.count(" ") >= LEAST_WORDS - 1:
                         out.append(m)
             held.clear()
@@ -104,9 +108,11 @@ def sentences(text: str | None) -> list[str]:
         line = line.strip().lstrip(_LEAD)
         if not line or _CODE.search(line):
             close()
-        elif held or _FINISHED.search(line) or masked(line).count(" ") >= LEAST_WORDS - 1:
+            continue
+        whole = finished(line)
+        if whole or held or masked(line).count(" ") >= LEAST_WORDS - 1:
             held.append(line)
-            if _FINISHED.search(line):
+            if whole:
                 close()
     close()
     return out
@@ -166,7 +172,8 @@ class ContextTrees:
         grams = self._windows(data, ORDER + 1)
         owner = np.repeat(np.arange(len(texts)), sizes)[ORDER:]
         real = np.arange(ORDER, len(data)) - starts[owner] >= ORDER
-        grams, owner = grams[real], owner[real]
+        # texts repeat few contexts, so each is resolved once
+        grams, back = np.unique(grams[real], return_inverse=True)
         cost = np.zeros((len(grams), n), dtype=np.float32)
         open_at = np.arange(len(grams))
         for k in range(ORDER, -1, -1):
@@ -182,8 +189,11 @@ class ContextTrees:
             seen = self.contexts[k][at] == c
             cost[open_at[seen]] += self.escapes[k][at[seen]]
         cost[open_at] += 8.0
-        out = np.zeros((len(texts), n))
-        np.add.at(out, owner, cost)
+        out, lengths = np.zeros((len(texts), n)), sizes - ORDER
+        some = lengths > 0
+        if some.any():
+            ends = np.cumsum(lengths[some])
+            out[some] = np.add.reduceat(cost[back].astype(np.float64), ends - lengths[some], axis=0)
         return out
 
     def classify(self, texts: list[str]) -> list[tuple[str, float]]:
