@@ -445,6 +445,14 @@ def python_taint(spark, sf):
     return taint_of(python_facts(spark, sf))
 
 
+@query()
+def python_checks(spark, sf):
+    """Defects of those sources found by the parser."""
+    from siftline.operators import pychecks
+
+    return pychecks.python_checks(spark.createDataFrame(_SOURCES, "file string, content string"))
+
+
 @query("select lower(trim(severity)) severity, count(*) n from issues where severity is not null group by 1")
 def severity_spelling(spark, sf):
     """Issues by trimmed severity."""
