@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +46,21 @@ def parents(issues: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row of aligned sorted arrays from a partition that is one sorted range."""
+    """One row of aligned sorted arrays, as one block of bytes, from a partition that is one sorted range."""
     parts = [b for b in batches if len(b)]
     if parts:
         g = pd.concat(parts, ignore_index=True)
-        yield pd.DataFrame({
-            "lo": [g["k"].iloc[0]], "keys": [g["k"].to_numpy()], "here": [g["here"].to_numpy(dtype=bool)],
-            "first_seen": [_longs(g["first_seen"])], "purged": [_longs(g["purged"])], "purges": [g["purges"].to_numpy(dtype=np.int64)],
+        table = pa.table({
+            "keys": pa.array(g["k"], pa.string()), "here": pa.array(g["here"].to_numpy(dtype=bool)), "first_seen": pa.array(_longs(g["first_seen"])),
+            "purged": pa.array(_longs(g["purged"])), "purges": pa.array(g["purges"].to_numpy(dtype=np.int64)),
         })
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        yield pd.DataFrame({"lo": [g["k"].iloc[0]], "arrays": [sink.getvalue().to_pybytes()]})
 
 
-STORE_SCHEMA = "lo string, keys array<string>, here array<boolean>, first_seen array<long>, purged array<long>, purges array<long>"
+STORE_SCHEMA = "lo string, arrays binary"
 #: Stands for "no time" in the arrays, so that no comparison with it is true.
 NO_LOW, NO_HIGH = -(2**62), 2**62
 #: Stands for a missing row number while rows pass through the workers, where whole numbers must stay whole.
@@ -93,12 +98,9 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if place[lo] != at:
                 at, keys = place[lo], np.empty(0, dtype=object)
             if part["kind"].iloc[0] == PARENT:
-                row = part.iloc[0]
-                keys, here, first, purged, purges = (
-                    row["keys"], np.asarray(row["here"], dtype=bool), np.asarray(row["first_seen"], dtype=np.int64),
-                    np.asarray(row["purged"], dtype=np.int64), np.asarray(row["purges"], dtype=np.int64),
-                )
-                keys = np.asarray(keys, dtype=object)
+                table = pa.ipc.open_stream(part["arrays"].iloc[0]).read_all()
+                keys = table["keys"].to_pandas().to_numpy(dtype=object)
+                here, first, purged, purges = (table[c].to_numpy() for c in ("here", "first_seen", "purged", "purges"))
                 part = part.iloc[1:]
             if not len(part):
                 continue
@@ -149,12 +151,11 @@ def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int
     if bounds:
         arrays = store.withColumn("range_id", range_of("lo")).select(
             "range_id", F.explode(F.sequence(F.lit(0), (F.coalesce(spread, F.lit(1)) - 1).cast("int"))).alias("salt"),
-            F.lit(PARENT).alias("kind"), F.lit(NO_ID).alias("row_id"), "keys", "here", "first_seen", "purged", "purges",
+            F.lit(PARENT).alias("kind"), F.lit(NO_ID).alias("row_id"), "arrays",
         )
         both = routed.unionByName(arrays, allowMissingColumns=True)
     else:
-        nothing = {c: F.lit(None).cast(t) for c, t in store.dtypes if c != "lo"}
-        both = routed.withColumns(nothing)
+        both = routed.withColumn("arrays", F.lit(None).cast("binary"))
     ordered = both.repartition(ranges, "range_id", "salt").sortWithinPartitions("range_id", "salt", "kind")
     found = ordered.mapInPandas(_probe, "ref_table string, row_id long, micros long, reason string")
     return found.select(
