@@ -60,10 +60,9 @@ def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_columns, p4_found, p4_report, p6_found, p6_profile)}
 
 _P1 = f"""
-with c as (
-  select {sql_key('fingerprint')} fp, "timestamp" ts, {sql_squeezed('action')} a, {sql_state('old_state')} o, {sql_state('new_state')} s, min(id) id
-  from issue_history group by all having fp is not null
-), k as (
+with n as (
+  select {sql_key('fingerprint')} fp, "timestamp" ts, {sql_squeezed('action')} a, {sql_state('old_state')} o, {sql_state('new_state')} s, id from issue_history
+), c as (select fp, ts, a, o, s, min(id) id from n where fp is not null group by fp, ts, a, o, s), k as (
   select *, max(case when a = 'purge' then row(ts, id) end) over (partition by fp) p from c
 ), live as (select * from k where p is null or row(ts, id) > p),
 o as (select fp, min(row(ts, id)) o, arg_min(coalesce(s, 'open'), row(ts, id)) s from live where a = 'open' group by fp),
