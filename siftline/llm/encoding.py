@@ -36,7 +36,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 12
-MEAN_WORDS = 24
+MEAN_WORDS = 10
 LONGEST = 4096
 
 
