@@ -34,7 +34,7 @@ def pii_rules():
     return [r for r in d.PII if r.rule_id != "ssn"]
 
 
-@query(f"with {LINES_SQL} select file, count(*) lines, sum(length(text)) chars from lines group by file")
+@query(f"with {LINES_SQL} select file, count(*) lines, cast(sum(length(text)) as bigint) chars from lines group by file")
 def lines_explode(spark, sf):
     """Line source: lines and characters per file."""
     return lines(spark, sf).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
