@@ -9,9 +9,9 @@ so a batch of sentences is scored by binary searches over all its bytes at once.
 Labels are partly wrong, so the sample cleans itself: its sentences are scored under the first trees, each
 goes to the language that codes it shortest, and the trees are counted again.
 
-A text is cut into sentences; comment and quotation marks before a line are no part of it, lines of code and
-logs are none, and names, paths and numbers inside a sentence are left out of the score.  A sentence's
-confidence is its language's share of 2^-bits.  Neighbouring sentences of one language make a segment.
+A text is cut into sentences; comment and quotation marks before a line are no part of it, pieces of lines that
+are code or logs are none (finished sentences before and after them and in comments behind code are), and names,
+paths and numbers inside a sentence are left out of the score.  A sentence's confidence is its language's share of 2^-bits.  Neighbouring sentences of one language make a segment.
 
 The sample is at most SAMPLE documents of at most SAMPLE_CHARS characters per language, chosen by a hash of
 doc_id; everything else runs over all texts, whole, without a shuffle.
@@ -52,6 +52,11 @@ NAMES = {n: k for k, ns in LANGUAGES.items() for n in (k, *ns)}
 _SEPARATORS = re.compile(r"[,;/+&]|\band\b")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
 _CODE = re.compile(r"[={}]|\S\t\S|^\d{4}-\d\d-\d\d|^\[\w+\]|;$")
+#: Inside a line a log begins with a time or a bracket after a stop; a date or a bracket may as well begin a sentence.
+_INSIDE = re.compile(r"[={}]|\S\t\S|^\d{4}-\d\d-\d\dT|;$")
+_TAIL = re.compile(r"\s\d{4}-\d\d-\d\dT\d\d:|[.!?…]\s+\[\w+\]")
+_PIECES = re.compile(_END.pattern + r"|\s+(?=\d{4}-\d\d-\d\dT\d\d:)")
+_COMMENT = re.compile(r"\s(?:#+|//+|/?\*+|--+)\s+")
 _EDGE = "\"'`“”„«»().,:;!?…*"
 _WORDS = re.compile(rf"(?<!\S)[{re.escape(_EDGE)}]*([^\W\d_]+(?:['’-][^\W\d_]+)*)[{re.escape(_EDGE)}]*(?!\S)")
 _CLOSING, _STOPS, _BEFORE_STOP = "\"'”»)", ".!?…", ")\"'”»`_"
@@ -104,16 +109,29 @@ def sentences(text: str | None) -> list[str]:
                         out.append(m)
             held.clear()
 
-    for line in text.splitlines():
-        line = line.strip().lstrip(_LEAD)
-        if not line or _CODE.search(line):
-            close()
-            continue
+    def take(line: str) -> None:
         whole = finished(line)
         if whole or held or masked(line).count(" ") >= LEAST_WORDS - 1:
             held.append(line)
             if whole:
                 close()
+
+    for line in text.splitlines():
+        line = line.strip().lstrip(_LEAD)
+        if not line:
+            close()
+        elif not _CODE.search(line) and not (("[" in line or ":" in line and "-" in line) and _TAIL.search(line)):
+            take(line)
+        else:
+            for i, piece in enumerate(_PIECES.split(line)):
+                code = (_INSIDE if i else _CODE).search(piece) or (i and piece[:1] == "[" and not finished(piece))
+                if not code:
+                    take(piece)
+                    continue
+                close()
+                comment = _COMMENT.split(piece)[-1]
+                if comment != piece and not _CODE.search(comment):
+                    take(comment)
     close()
     return out
 

@@ -44,6 +44,28 @@ def test_sentences_leave_out_code_logs_and_names():
     assert language.sentences(None) == language.sentences("") == language.sentences(" \n ") == []
 
 
+def test_sentences_beside_code_and_logs_are_kept():
+    german, dutch = "der leser schließt die datei nie", "de lezer sluit het bestand nooit"
+    log = "2026-06-24T23:48:45Z ERROR [w5] checkKiholodu(limit) rc=3279"
+    for tail in (log, "java-path-escape\tcore/a.js\t4\t0.4", "[w7] a/b.cs ... 26/26", "2026-05-26T02:55:57Z WARN  [w5] a/b.js:3539 python-path-escape", "x = call(1);", "if (a == null) { return; }"):
+        assert language.sentences(f"Der Leser schließt die Datei nie. De lezer sluit het bestand nooit. {tail}\nfoo") == [german, dutch]
+    assert language.sentences(f"Der Leser schließt\ndie Datei nie. {log}\nDe lezer sluit het bestand nooit.") == [german, dutch]
+    assert language.sentences("x = open(a). De lezer sluit het bestand nooit.") == [dutch]
+    assert language.sentences(f"De lezer sluit {log}\nhet bestand nooit.") == ["het bestand nooit"]
+    assert language.sentences("Gut so. [sic] Der Leser schließt die Datei nie. 2026-02-23 schließt der Leser nicht. x = 1")[-2:] == [german, "schließt der leser nicht"]
+    for mark in ("#", "  //", " *"):
+        assert language.sentences(f"x = call(1); {mark} Der Leser schließt die Datei nie. De lezer sluit het\n{mark} bestand nooit.") == [german, dutch]
+    assert language.sentences(f"{log}\nx = a * b;\ny = a # b = c\nSELECT a FROM t WHERE k = ?") == []
+
+
+def test_a_language_only_on_lines_with_a_log_tail_is_reported(spark):
+    docs = [(i * 10 + j, TEXTS[k], k, None, None) for i, k in enumerate(TEXTS) for j in range(5)]
+    docs.append((100, TEXTS["fr"] + "\n" + TEXTS["de"] + " 2026-06-24T23:48:45Z ERROR [w5] check(limit) rc=3279", "fr", "x", "y"))
+    frame = spark.createDataFrame(docs, COLUMNS)
+    got = language.mislabelled(language.found_languages(language.segments(frame, language.train(frame)))).collect()
+    assert {(r["doc_id"], r["lang"]) for r in got} == {(100, "de"), (100, "fr")}
+
+
 def test_labels():
     named = language.languages_of
     assert named("EN") == named("en-US") == named("eng") == named(" English ") == named("en_GB") == {"en"}
