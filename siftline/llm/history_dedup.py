@@ -1,15 +1,15 @@
 """Deduplicating new batches against all history, with Bloom filters and a persistent fingerprint store.
 
 A finding's content is its kind of defect, file name, line and function.  Equal contents are one
-class with its earliest order, so copies never multiply.  A class is winnowed: of every WINDOW
-neighbouring GRAM-grams of the function name the one with the smallest hash is kept and hashed
-together with kind, file name and band of lines.  The store holds one row per kept fingerprint; the
+class with its earliest order, so copies never multiply.  A class is winnowed: of the GRAM-grams of
+the function name those with the smallest hashes are kept, so many that names the verification accepts
+always have one in common, and hashed together with kind, file name and band of lines.  The store holds one row per kept fingerprint; the
 Bloom filters, one per hash bucket and accepted delivery, hold the same fingerprints in ten bits each.
 
 A new delivery is screened by the filters first; only positive fingerprints are looked up in the
 store.  Fingerprints that occur again within the delivery are looked up there.  Candidates are
-verified: lines at most LINES apart, enough of the fingerprints shared, function names at most EDITS
-edits apart.  Then the delivery's classes are appended to both, so no delivery reads the texts of the
+verified: lines at most LINES apart, function names at most EDITS edits apart; one shared fingerprint
+makes a candidate, so none that would be accepted is lost.  Then the delivery's classes are appended to both, so no delivery reads the texts of the
 history again.  The result does not depend on how batches are grouped into deliveries.
 
 Hot keys: the fingerprint contains the band of lines, so a hot file or rule is spread over its bands;
@@ -35,10 +35,9 @@ from siftline.llm import findings
 from siftline.operators.skew import hot_keys, salted_join
 from siftline.runtime import materialise, release, shuffle_partitions
 
-GRAM, WINDOW = 3, 3
+GRAM = 2
 LINES, BAND = 25, 50
 EDITS = 3
-COVERAGE = 0.1
 BITS, HASHES = 10, 4
 #: Order of everything that was accepted before the first delivery.
 BEFORE = -1
@@ -98,33 +97,48 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def most_edits(length: int | np.ndarray) -> np.ndarray:
+    """Edits allowed to a name of a length."""
+    return np.minimum(EDITS, np.asarray(length) // 4)
+
+
 def winnowed(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the kept grams of names: the smallest of every WINDOW neighbours; of wording (~) all, as any function may hide in it."""
+    """(owner, hash) of the kept grams of names; of wording (~) all, as any function may hide in it.
+
+    An edit changes at most GRAM grams, so of any GRAM * edits + 1 of a name one is left in whatever the name
+    agrees with.  The smallest hashes are kept, so two names also keep the same one.  Equal grams of a name are
+    numbered, as they change one by one.
+    """
     bodies = [n.lstrip("~").encode().ljust(GRAM, b"_") for n in names]
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
     data = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.uint64)
     if not len(data):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    owner = np.repeat(np.arange(len(names)), sizes)
-    ends = np.cumsum(sizes)[owner]
-    at = np.arange(len(data))
     n = len(data) - GRAM + 1
+    owner = np.repeat(np.arange(len(names)), sizes)[:n]
     gram = np.zeros(n, dtype=np.uint64)
     for j in range(GRAM):
         gram = gram * np.uint64(256) + data[j : j + n]
-    whole = at[:n] + GRAM <= ends[:n]
-    h = np.where(whole, _spread(gram), np.uint64(2**64 - 1))
-    low = np.concatenate([h, np.full(WINDOW, 2**64 - 1, dtype=np.uint64)])
-    smallest = np.min([low[j : j + n] for j in range(WINDOW)], axis=0)
-    # a window counts when it lies in one name, or is the name's first and the name is shorter
-    first = at[:n] == (ends - sizes[owner])[:n]
-    inside = (at[:n] + WINDOW + GRAM - 1 <= ends[:n]) | first
-    keep = np.zeros(n, dtype=bool)
-    for j in range(WINDOW):
-        keep[j:] |= inside[: n - j] & (smallest[: n - j] == h[j:]) & (owner[: n - j] == owner[j:n])
+    whole = np.arange(n) + GRAM <= np.cumsum(sizes)[owner]
+    owner, gram = owner[whole], gram[whole]
+    order = np.lexsort((gram, owner))
+    owner, gram = owner[order], gram[order]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    h = _spread(gram | (_rank(new).astype(np.uint64) << np.uint64(8 * GRAM)))
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = owner[1:] != owner[:-1]
     wording = np.array([x[:1] == "~" for x in names], dtype=bool)
-    keep = whole & (keep | wording[owner[:n]])
-    return owner[:n][keep], h[keep]
+    keep = wording[owner] | (_rank(new) <= GRAM * most_edits(sizes)[owner])
+    return owner[keep], h[keep]
+
+
+def _rank(new: np.ndarray) -> np.ndarray:
+    """Places of rows within their runs, from where runs begin."""
+    at = np.arange(len(new))
+    return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
 def _fingerprints(g: np.ndarray, band: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -313,7 +327,7 @@ class HistoryIndex:
         release(self.spark)
 
     def candidates(self, of_classes: DataFrame) -> DataFrame:
-        """(c, name, ord, o_name, o_ord): pairs of a class and an earlier one that shares enough fingerprints within LINES lines."""
+        """(c, name, ord, o_name, o_ord): pairs of a class and an earlier one that shares a fingerprint within LINES lines."""
         def routed(df: DataFrame, kind: int, num: str | None) -> DataFrame:
             has = set(df.columns)
             return df.select(
@@ -328,10 +342,8 @@ class HistoryIndex:
             rows = rows.unionByName(routed(self._read("store", STORE), STORED, "ord"))
             rows = rows.unionByName(routed(self._read("filters", "bucket int, bits binary"), FILTER, None))
         ordered = rows.select("bucket", "kind", "f", "num", "line", "own", "name", "bits").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        shared = ordered.mapInArrow(_screen, SHARED).groupBy("k", "o_ord", "o_line", "o_name").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = shared.join(of_classes.select("k", "c", "name", "ord"), "k").where("o_ord < ord")
-        grams = F.greatest(F.lit(1), F.least(F.length("name"), F.length("o_name")) - GRAM + 1)
-        return pairs.where(F.col("shared") >= COVERAGE * grams).select("c", "name", "ord", "o_name", "o_ord")
+        shared = ordered.mapInArrow(_screen, SHARED).groupBy("k", "o_name").agg(F.min("o_ord").alias("o_ord"))
+        return shared.join(of_classes.select("k", "c", "name", "ord"), "k").where("o_ord < ord").select("c", "name", "ord", "o_name", "o_ord")
 
     def screen(self, rows: DataFrame, order: str) -> DataFrame:
         """The orders of delivered rows that repeat something accepted, or an earlier row of the delivery; then accepts them."""

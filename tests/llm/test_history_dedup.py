@@ -53,6 +53,40 @@ def test_agrees_with_brute_force_however_batches_are_delivered(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def mistyped(r, name, times):
+    for _ in range(times):
+        k = r.randrange(len(name))
+        name = r.choice([name[:k] + name[k + 1 :], name[:k] + r.choice("abcxyz") + name[k:], name[:k] + r.choice("abcxyz") + name[k + 1 :]])
+    return name
+
+
+def test_every_accepted_pair_of_names_shares_a_fingerprint():
+    r, pairs = random.Random(5), [("routejehiopi", "routjehivopi"), ("abababababab", "abaabbababba"), ("abcd", "abxd")]
+    while len(pairs) < 4000:
+        a = "".join(r.choice("bdfgk") + r.choice("aeiou") for _ in range(9))[: r.randrange(4, 19)]
+        b = mistyped(r, a, r.randrange(1, 4))
+        most = min(3, min(len(a), len(b)) // 4)
+        if findings.edits(a, b, most) <= most:
+            pairs.append((a, b))
+    for hidden in ("", "~badthingin"):
+        kept = [set() for _ in range(2 * len(pairs))]
+        for i, h in zip(*history_dedup.winnowed([x for a, b in pairs for x in (a, hidden + b)])):
+            kept[i].add(int(h))
+        assert [p for i, p in enumerate(pairs) if not kept[2 * i] & kept[2 * i + 1]] == []
+
+
+def test_agrees_with_brute_force_on_names_with_two_and_three_typing_errors(spark):
+    r, rows = random.Random(7), []
+    for i in range(240):
+        name = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(9))[: r.randrange(4, 19)]
+        for name in (name, mistyped(r, name, r.randrange(1, 4))):
+            rows.append((len(rows), i // 40, "python-path-escape", f"a/f{i % 60}.py", r.randrange(1, 60), f"In {name}: bad thing.", "x"))
+    want = brute([], rows)
+    assert len(want) > 50
+    got = history_dedup.repeated_items(spark.createDataFrame([], COLUMNS), spark.createDataFrame(rows, COLUMNS), work_dir(spark, "t"))
+    assert {r[0] for r in got.collect()} == want
+
+
 def test_names_that_are_not_recognised_are_found_in_the_wording(spark):
     history = [(1, 0, "go-path-escape", "a/x.go", 10, "In load_kumavezi: bad thing.", "")]
     rows = [
