@@ -347,6 +347,42 @@ def taint_bounded(spark, sf):
     return found.where("source <> sink")
 
 
+def _trade_edges(spark, sf):
+    """Nations to customers to orders to parts, each node once per kind and key; rows without a key are no edge."""
+    def edges(name, src, src_kind, dst, dst_kind):
+        rows = table(spark, sf, name).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+        return rows.select(F.concat(F.lit(src_kind), src).alias("src"), F.concat(F.lit(dst_kind), dst).alias("dst"))
+
+    return edges("customer", "c_nationkey", "n", "c_custkey", "c").unionByName(edges("orders", "o_custkey", "c", "o_orderkey", "o")).unionByName(
+        edges("lineitem", "l_orderkey", "o", "l_partkey", "p")
+    )
+
+
+def _trade_nodes(spark, sf, name, key, kind):
+    return table(spark, sf, name).where(F.col(key).isNotNull()).select(F.concat(F.lit(kind), key).alias("node"))
+
+
+@query()
+def trade_reach(spark, sf):
+    """Customers, orders and parts within three steps of every nation, over the whole tables."""
+    return g.reach(_trade_nodes(spark, sf, "nation", "n_nationkey", "n"), _trade_edges(spark, sf), 3)
+
+
+@query()
+def trade_blast_radius(spark, sf):
+    """Orders, customers and nations within three steps against the edges of every part, as a risk."""
+    return g.blast_radius(_trade_nodes(spark, sf, "part", "p_partkey", "p"), _trade_edges(spark, sf))
+
+
+@query()
+def trade_taint(spark, sf):
+    """Every fourth part that a nation of region 0 reaches through orders that are not finished."""
+    n = table(spark, sf, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    sinks = table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    finished = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    return g.tainted(n, sinks, _trade_edges(spark, sf), finished)
+
+
 @query("select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_partkey is not null and l_quantity >= 45)")
 def dead_entities(spark, sf):
     """Parts that no large line refers to."""
@@ -415,10 +451,16 @@ _SOURCES = [
 ]
 
 
+def _python_sources(spark, sf):
+    """(file, content): all documents of kind source, and the small sources kept in this module."""
+    d = table(spark, sf, "documents").where("doc_kind = 'source'")
+    return d.select(F.concat(F.lit("documents/"), "doc_id").alias("file"), F.col("text").alias("content")).unionByName(spark.createDataFrame(_SOURCES, "file string, content string"))
+
+
 @query()
 def python_facts(spark, sf):
-    """Facts of small Python sources kept in this module: functions, calls, flows, errors."""
-    return pysource.python_facts(spark.createDataFrame(_SOURCES, "file string, content string"))
+    """Facts of all source documents and of small sources kept in this module: functions, calls, flows, errors."""
+    return pysource.python_facts(_python_sources(spark, sf))
 
 
 @query()
@@ -450,7 +492,7 @@ def python_checks(spark, sf):
     """Defects of those sources found by the parser."""
     from siftline.operators import pychecks
 
-    return pychecks.python_checks(spark.createDataFrame(_SOURCES, "file string, content string"))
+    return pychecks.python_checks(_python_sources(spark, sf))
 
 
 @query("select lower(trim(severity)) severity, count(*) n from issues where severity is not null group by 1")
