@@ -17,7 +17,8 @@ copies collapse into classes in a partial aggregation; joins of rows with classe
 
 Defined results: a row without file or kind can only repeat a row that lacks the same; without a line
 it repeats rows without a line; where no function is recognised, the other's function must be found in
-the squeezed wording, or both wordings must agree; repeated deliveries of an item_id are one row; empty
+the squeezed wording, or both whole wordings must agree up to EDITS edits, of one that visibly ends in an
+ellipsis as much as it has; repeated deliveries of an item_id are one row; empty
 deliveries give no rows; other columns are ignored.
 """
 
@@ -64,7 +65,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = f"{findings.kind_of(r)}|{findings.base_name(p)}"
             name = findings.function_of(m)
             if not name:
-                name = "~" + findings.squeeze(m)
+                name = "~" + findings.squeeze(m) + ("…" if (m or "").rstrip().endswith(("...", "…")) else "")
             gs.append(_h64(block))
             names.append(name)
             cs.append(xxhash.xxh3_128_digest(f"{block}|{n}|{name}"))
@@ -293,11 +294,15 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _odd_names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    """For names of which one at least is squeezed wording (marked by ~)."""
+    """For names of which one at least is squeezed wording (marked by ~, and by … at the end where it was visibly cut off)."""
     def same(x: str, y: str) -> bool:
         if x[:1] == "~" and y[:1] == "~":
-            n = min(len(x), len(y))
-            return x[1:] == y[1:] or (n > 12 and findings.edits(x[1:n], y[1:n], EDITS) <= EDITS)
+            a, b = sorted((x[1:], y[1:]), key=len)
+            if a.endswith("…"):
+                a, b = a[:-1], b.rstrip("…")[: len(a) - 1]
+            else:
+                b = b.rstrip("…")
+            return a == b or (min(len(a), len(b)) >= 12 and findings.edits(a, b, EDITS) <= EDITS)
         text, name = (x[1:], y) if x[:1] == "~" else (y[1:], x)
         most = min(EDITS, len(name) // 4)
         return bool(name) and findings.edits_inside(name, text, most) <= most

@@ -106,3 +106,14 @@ def test_empty_tables(spark):
     assert history_dedup.repeated_items(none, none, work_dir(spark, "t")).collect() == []
     assert history_dedup.repeated_items(some, none, work_dir(spark, "t")).collect() == []
     assert [r[0] for r in history_dedup.repeated_items(none, some, work_dir(spark, "t")).collect()] == [2]
+
+
+def test_wordings_without_a_function_agree_as_a_whole(spark):
+    cut, whole = "The value is never checked before", "The value is never checked before the record of the customer is written"
+    history = [(1, 0, "path-escape", "a/x.go", 10, whole, ""), (2, 0, "path-escape", "a/y.go", 10, whole, "")]
+    rows = [
+        (1, 1, "path-escape", "x.go", 12, cut, ""), (2, 1, "path-escape", "y.go", 12, cut + "...", ""), (3, 2, "path-escape", "x.go", 12, whole.replace("never", "nver"), ""),
+        (4, 2, "path-escape", "z.go", 12, cut, ""), (5, 2, "path-escape", "z.go", 12, cut + " its use there", ""),
+    ]
+    got = history_dedup.repeated_items(spark.createDataFrame(history, COLUMNS), spark.createDataFrame(rows, COLUMNS), work_dir(spark, "t"))
+    assert {r[0] for r in got.collect()} == {2, 3}
