@@ -49,6 +49,11 @@ def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
                 c[np.asarray(qids)[:, None] == np.asarray(rids)[None, :]] = -np.inf
                 m = min(k, c.shape[1])
                 best = np.argpartition(-c, m - 1, axis=1)[:, :m]
+                # where more are equal at the last place than fit, the smallest ids are taken
+                least = np.take_along_axis(c, best, axis=1).min(axis=1, keepdims=True)
+                for i in np.flatnonzero((c >= least).sum(axis=1) > m):
+                    some = np.flatnonzero(c[i] >= least[i])
+                    best[i] = some[np.lexsort((np.asarray(rids)[some], -c[i, some]))[:m]]
                 out = pd.DataFrame({
                     "query": np.repeat(np.asarray(qids), m), "neighbour": np.asarray(rids)[best].ravel(), "cosine": np.take_along_axis(c, best, axis=1).ravel(),
                 })

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from siftline.operators import analytics
 from siftline.queries import records
 
 SOURCE = "def show(request):\n    name = request.get('name')\n    return eval(name)\n\ndef lonely():\n    return show(1)\n"
@@ -50,3 +53,11 @@ def test_graph_queries_over_whole_tables_agree_with_brute_force(spark, tmp_path)
     finished = {f"o{o}" for o, _, s in orders if s == "F"}
     clean = brute([f"n{n}" for n, k in nations if k == 0], {(a, b) for a, b in edges if b not in finished}, 8)
     assert got("trade_taint") == {(s, x, d) for (s, x), d in clean.items() if x[0] == "p" and int(x[1:]) % 4 == 0}
+
+
+def test_nearest_takes_the_smallest_ids_of_equal_vectors(spark):
+    ids = list(range(200))
+    random.Random(1).shuffle(ids)
+    rows = spark.createDataFrame([(i, [1.0, 0.0] if i else [1.0, 1.0]) for i in ids], "id long, v array<double>").coalesce(1)
+    got = analytics.nearest(rows, "id", "v", F.col("id") == 0, 5).orderBy("rank").collect()
+    assert [r["neighbour"] for r in got] == [1, 2, 3, 4, 5]
