@@ -18,21 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.runtime import materialise
+
 
 def frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
     """(k, v, w): the number of rows of every (key, value)."""
     return df.groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
 
 
-def distinct_and_mode(freq: DataFrame, distinct: str, mode: str) -> DataFrame:
-    """Distinct count and mode per key from weighted values."""
-    best = F.max(F.when(F.col("v").isNotNull(), F.col("w")))
-    top = freq.groupBy("k").agg(F.count("v").alias(distinct), best.alias("__w"))
-    at = freq.join(top, (freq["k"].eqNullSafe(top["k"])) & (freq["w"] == top["__w"])).where(freq["v"].isNotNull())
-    modes = at.groupBy(freq["k"]).agg(F.min(freq["v"]).alias(mode))
-    return top.join(modes, top["k"].eqNullSafe(modes["k"]), "left").select(top["k"], distinct, mode)
-
-
 def mode_of(freq: DataFrame, mode: str) -> DataFrame:
     """(k, mode): the heaviest value per key, the smallest of equals; one partial aggregation."""
     order = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("w")).alias("w"), F.col("v").alias("v"))))
@@ -69,18 +62,38 @@ def heavy_values(df: DataFrame, fields: list[str], share: float) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, field: str) -> DataFrame:
-    """Counts, first and last sight, distinct records, most frequent severity and line percentiles per value of a field."""
-    base = df.groupBy(F.col(field).alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+#: The value columns of a profile and their normal forms.
+VALUES = {"fingerprint": lambda: F.col("fingerprint"), "severity": lambda: F.lower(F.btrim("severity")), "line": lambda: F.col("line").cast("string")}
+
+
+def value_frequencies(df: DataFrame, fields: list[str], path: str) -> DataFrame:
+    """(field_name, k, value_name, v, w, first_seen, last_seen): every value column's frequencies under every field, in one scan and one exchange.
+
+    The table is written, as all results of a profile read it.
+    """
+    one = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("k"), F.lit(n).alias("value_name"), v().alias("v")) for f in fields for n, v in VALUES.items()
+    ]))
+    rows = df.select(one.alias("x"), "first_seen", "last_seen").select("x.*", "first_seen", "last_seen")
+    return materialise(
+        rows.groupBy("field_name", "k", "value_name", "v").agg(
+            F.count(F.lit(1)).alias("w"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+        ), path,
     )
-    keys = frequencies(df, field, "fingerprint").groupBy("k").agg(F.count("v").alias("records"))
-    mode = mode_of(frequencies(df.withColumn("__sev", F.lower(F.btrim("severity"))), field, "__sev"), "severity")
-    cuts = weighted_percentiles(frequencies(df, field, "line"), {"line_p50": 0.5, "line_p90": 0.9})
+
+
+def profile(df: DataFrame, fields: list[str], path: str) -> DataFrame:
+    """Counts, first and last sight, distinct records, most frequent severity and line percentiles per value of each field."""
+    freq = value_frequencies(df, fields, path).withColumn("k", F.struct("field_name", "k"))
+    of = lambda n: freq.where(F.col("value_name") == n)
+    base = of("line").groupBy("k").agg(F.sum("w").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    keys = of("fingerprint").groupBy("k").agg(F.count("v").alias("records"))
+    mode = mode_of(of("severity"), "severity")
+    cuts = weighted_percentiles(of("line").withColumn("v", F.col("v").cast("int")).select("k", "v", "w"), {"line_p50": 0.5, "line_p90": 0.9})
     out = base
     for part in (keys, mode, cuts):
         p = part.withColumnRenamed("k", "__k")
         out = out.join(p, out["k"].eqNullSafe(p["__k"]), "left").drop("__k")
     return out.select(
-        F.lit(field).alias("field_name"), F.col("k").alias("key_value"), "n", "records", "severity", "line_p50", "line_p90", "first_seen", "last_seen"
+        F.col("k.field_name").alias("field_name"), F.col("k.k").alias("key_value"), "n", "records", "severity", "line_p50", "line_p90", "first_seen", "last_seen"
     )

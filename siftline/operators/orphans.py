@@ -3,7 +3,7 @@
 Parent keys are cut into ranges; each range is stored as one row of aligned sorted arrays (key,
 first sight, last purge).  References are routed to their range, heavy ranges of references are
 spread over salts, and batches are probed with a vectorised binary search.  Only the range bounds
-(``ranges`` strings) reach the driver.
+reach the driver, one string per RANGE_ROWS parents and partition.
 
 Defined results: a null or blank key is no reference; a reference without a date is never early
 and never after a purge, and its period is null; repeated reference rows are reported once; a reference
@@ -26,6 +26,7 @@ from siftline.runtime import materialise, shuffle_partitions
 
 PARENT, PROBE = 0, 1
 SALT_ROWS = 500_000
+RANGE_ROWS = 500_000
 
 
 def parents(issues: DataFrame, history: DataFrame) -> DataFrame:
@@ -45,19 +46,28 @@ def parents(issues: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row of aligned sorted arrays, as one block of bytes, from a partition that is one sorted range."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        g = pd.concat(parts, ignore_index=True)
-        table = pa.table({
-            "keys": pa.array(g["k"], pa.string()), "here": pa.array(g["here"].to_numpy(dtype=bool)), "first_seen": pa.array(_longs(g["first_seen"])),
-            "purged": pa.array(_longs(g["purged"])), "purges": pa.array(g["purges"].to_numpy(dtype=np.int64)),
-        })
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of aligned sorted arrays, as bytes, of at most RANGE_ROWS rows each, from a sorted partition; a block is a range of its own."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def block() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        yield pd.DataFrame({"lo": [g["k"].iloc[0]], "arrays": [sink.getvalue().to_pybytes()]})
+        return pa.RecordBatch.from_arrays([table["keys"].slice(0, 1).combine_chunks().cast(pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["lo", "arrays"])
+
+    for batch in batches:
+        while len(batch):
+            part = batch.slice(0, RANGE_ROWS - n)
+            held.append(part)
+            n, batch = n + len(part), batch.slice(len(part))
+            if n == RANGE_ROWS:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
 
 
 STORE_SCHEMA = "lo string, arrays binary"
@@ -67,14 +77,12 @@ NO_LOW, NO_HIGH = -(2**62), 2**62
 NO_ID = -(2**63)
 
 
-def _longs(s: pd.Series) -> np.ndarray:
-    return s.astype("Int64").fillna(NO_LOW).to_numpy(dtype=np.int64)
-
-
 def parent_store(parent_rows: DataFrame, path: str, ranges: int) -> DataFrame:
-    """Write the parents as one row of sorted arrays per key range."""
+    """Write the parents as one row of sorted arrays per key range, cut into ``ranges`` partitions and within them by RANGE_ROWS."""
+    no_time = lambda c: F.coalesce(c, F.lit(NO_LOW)).alias(c)
     ordered = parent_rows.repartitionByRange(ranges, "k").sortWithinPartitions("k")
-    return materialise(ordered.mapInPandas(_store, STORE_SCHEMA), path)
+    chosen = ordered.select(F.col("k").alias("keys"), "here", no_time("first_seen"), no_time("purged"), "purges")
+    return materialise(chosen.mapInArrow(_store, STORE_SCHEMA), path)
 
 
 def references(table: DataFrame, name: str, key: str, row_id: str, dated: str) -> DataFrame:
@@ -129,9 +137,9 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int | None = None) -> DataFrame:
     """(ref_table, period, row_id, reason) of every reference whose record does not exist for it."""
     spark = refs.sparkSession
-    ranges = ranges or min(4096, 2 * shuffle_partitions(spark))
+    ranges = ranges or 2 * shuffle_partitions(spark)
     store = parent_store(parent_rows, path, ranges)
-    bounds = [r["lo"] for r in store.select("lo").orderBy("lo").collect()]  # at most `ranges` strings
+    bounds = [r["lo"] for r in store.select("lo").orderBy("lo").collect()]  # a string per range: one per RANGE_ROWS parents, and per partition
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series) -> pd.Series:
@@ -141,7 +149,7 @@ def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int
     routed = refs.withColumn("range_id", range_of("k") if bounds else F.lit(0))
     heavy = {
         r["range_id"]: 1 + r["count"] // SALT_ROWS
-        for r in routed.groupBy("range_id").count().where(F.col("count") > SALT_ROWS).collect()  # at most `ranges` rows
+        for r in routed.groupBy("range_id").count().where(F.col("count") > SALT_ROWS).collect()  # a row per range
     }
     spread = F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("range_id")] if heavy else F.lit(None).cast("long")
     routed = routed.select(
@@ -156,7 +164,7 @@ def orphan_rows(refs: DataFrame, parent_rows: DataFrame, path: str, ranges: int
         both = routed.unionByName(arrays, allowMissingColumns=True)
     else:
         both = routed.withColumn("arrays", F.lit(None).cast("binary"))
-    ordered = both.repartition(ranges, "range_id", "salt").sortWithinPartitions("range_id", "salt", "kind")
+    ordered = both.repartitionById(max(ranges, len(bounds)), F.col("range_id") + F.col("salt")).sortWithinPartitions("range_id", "salt", "kind")
     found = ordered.mapInPandas(_probe, "ref_table string, row_id long, micros long, reason string")
     return found.select(
         "ref_table", F.date_format(F.timestamp_micros("micros"), "yyyy-MM").alias("period"), F.nullif("row_id", F.lit(NO_ID)).alias("row_id"), "reason"

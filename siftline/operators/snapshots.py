@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.keys import key_of, state_of, text_of
 from siftline.runtime import materialise, shuffle_partitions
+from siftline.sources.bucketed import Manifests
 
 PAGE = 8192
 #: The compared columns.
@@ -57,33 +58,44 @@ def speaking_rows(snapshots: DataFrame) -> DataFrame:
 
 
 class KeyOrdinals:
-    """Persistent numbering of keys: (bucket, ordinal, fingerprint) in a shared folder, only ever extended."""
+    """Persistent numbering of keys: (bucket, ordinal, fingerprint) in a shared folder, only ever extended.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets, self.parts = spark, path, buckets, 0
+    A manifest names the parts that were written and the number of buckets, so another process that opens the same
+    folder goes on where the last one ended, and a part without a manifest counts for nothing.
+    """
+
+    ROWS = 2_000_000
+
+    def __init__(self, spark: SparkSession, path: str, least: int = 8):
+        self.spark, self.path, self.least = spark, path, least
+        self.manifests = Manifests(spark, f"{path}/manifest")
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema("bucket int, ordinal long, fingerprint string").parquet(*[f"{self.path}/{p}" for p in parts])
 
     def read(self) -> DataFrame | None:
-        if not self.parts:
-            return None
-        return self.spark.read.schema("bucket int, ordinal long, fingerprint string").parquet(
-            *[f"{self.path}/part-{i}" for i in range(self.parts)]
-        )
-
-    def extend(self, keys: DataFrame) -> DataFrame:
-        """Number the keys that have no ordinal yet; returns the whole numbering."""
-        known = self.read()
+        have = self.manifests.read()
+        return self._read(have["parts"]) if have else None
+
+    def extend(self, keys: DataFrame, rows: int = 0) -> DataFrame:
+        """Number the keys that have no ordinal yet; returns the whole numbering.  ``rows`` sizes the buckets of a new numbering."""
+        version = self.manifests.version()
+        have = self.manifests.read(version) or {"parts": [], "buckets": max(self.least, -(-rows // self.ROWS))}
+        known = self._read(have["parts"]) if have["parts"] else None
         new = keys.select("fingerprint").distinct()
         if known is not None:
             new = new.join(known.select("fingerprint"), "fingerprint", "left_anti")
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("fingerprint"), F.lit(self.buckets)).cast("int"))
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("fingerprint"), F.lit(have["buckets"])).cast("int"))
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("fingerprint")).cast("long") - 1
         new = new.withColumn("ordinal", rank)
         if known is not None:
             top = known.groupBy("bucket").agg((F.max("ordinal") + 1).alias("top"))  # at most `buckets` rows
             new = new.join(F.broadcast(top), "bucket", "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("top", F.lit(0)))
-        materialise(new.select("bucket", "ordinal", "fingerprint"), f"{self.path}/part-{self.parts}")
-        self.parts += 1
-        return self.read()
+        part = f"part-{version + 1}"
+        materialise(new.select("bucket", "ordinal", "fingerprint"), f"{self.path}/{part}")
+        have["parts"].append(part)
+        self.manifests.publish(have, version + 1)
+        return self._read(have["parts"])
 
 
 def _page(g: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +157,7 @@ def snapshot_changes(snapshots: DataFrame, path: str, ordinals: KeyOrdinals | No
     spark = snapshots.sparkSession
     rows = speaking_rows(snapshots)
     ordinals = ordinals or KeyOrdinals(spark, f"{path}/ordinals", shuffle_partitions(spark))
-    numbering = ordinals.extend(rows)
+    numbering = ordinals.extend(rows, snapshots.count())
     page_table = materialise(pages(rows, numbering), f"{path}/pages")
     # one row per snapshot
     steps = page_table.select("snapshot_no").distinct().withColumn("next", F.lead("snapshot_no").over(W.orderBy("snapshot_no")))

@@ -8,6 +8,7 @@ never loses the only copy of an intermediate result.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -33,12 +34,14 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where it is unset (tests) a local one is made and set."""
+    """The cluster's shared checkpoint folder; where it is unset a local session makes and sets one, a cluster raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="siftline-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext.getCheckpointDir()
@@ -78,14 +81,6 @@ def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner remove the shuffle files of finished steps, which otherwise stay until the driver happens to collect garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

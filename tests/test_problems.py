@@ -59,24 +59,35 @@ def test_changes_in_any_order_and_delivery(spark, seed):
     shuffled = kept[:]
     random.Random(seed).shuffle(shuffled)
     for parts in (1, 3):
-        t = changes.ChangeTable(spark, work_dir(spark, "t"), 4)
+        t = changes.ChangeTable(spark, work_dir(spark, "t"))
         for p in range(parts):
             t.apply(spark.createDataFrame(shuffled[p::parts], FEED))
         assert {r["fingerprint"]: r["state"] for r in t.state().collect()} == want
 
 
 def test_changes_empty_and_untouched_buckets(spark):
-    t = changes.ChangeTable(spark, work_dir(spark, "t"), 4)
+    t = changes.ChangeTable(spark, work_dir(spark, "t"))
     t.apply(spark.createDataFrame([], FEED))
     assert t.state().collect() == []
     t.apply(spark.createDataFrame([(1, k, DAY, "open", None, "open", "", "", "") for k in "abcdefgh"], FEED))
-    before = t.table.manifest()
+    before = t.table.manifest()["at"]
     t.apply(spark.createDataFrame([(2, "a", DAY + dt.timedelta(1), "resolve", None, "fixed", "", "", "")], FEED))
-    after = t.table.manifest()
+    after = t.table.manifest()["at"]
     assert sum(before[b] != after[b] for b in before) == 1
     assert {r["fingerprint"]: r["state"] for r in t.state().collect()} == {k: "fixed" if k == "a" else "open" for k in "abcdefgh"}
 
 
+def test_a_table_that_outgrew_its_buckets_is_spread(spark):
+    path = work_dir(spark, "t")
+    t = changes.ChangeTable(spark, path)
+    t.apply(spark.createDataFrame([(i, f"k{i}", DAY, "open", None, "open", "", "", "") for i in range(100)], FEED))
+    t = changes.ChangeTable(spark, path)  # another process goes on
+    t.table.ROWS = 10
+    t.apply(spark.createDataFrame([(200, "k1", DAY + dt.timedelta(1), "purge", None, None, "", "", "")], FEED))
+    assert t.table.manifest()["buckets"] == 10
+    assert {r[0] for r in t.state().collect()} == {f"k{i}" for i in range(100) if i != 1}
+
+
 def test_salted_join_equals_plain_join(spark):
     big = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(300)], "k string, v long")
     small = spark.createDataFrame([("h", 1), ("k3", 2)], "k string, w long")
@@ -111,8 +122,10 @@ def test_snapshots(spark):
 
 
 def test_ordinals_persist(spark):
-    o = snapshots.KeyOrdinals(spark, work_dir(spark, "t"), 3)
+    path = work_dir(spark, "t")
+    o = snapshots.KeyOrdinals(spark, path, 3)
     one = {r["fingerprint"]: (r["bucket"], r["ordinal"]) for r in o.extend(spark.createDataFrame([("a",), ("b",)], "fingerprint string")).collect()}
+    o = snapshots.KeyOrdinals(spark, path)  # another process goes on
     two = {r["fingerprint"]: (r["bucket"], r["ordinal"]) for r in o.extend(spark.createDataFrame([("c",), ("a",), ("d",), ("e",)], "fingerprint string")).collect()}
     assert {k: two[k] for k in one} == one and len(set(two.values())) == 5
 
