@@ -3,17 +3,23 @@
 A finding's content is its kind of defect, file name, line and function.  Equal contents are one
 class with its earliest order, so copies never multiply.  A class is winnowed: of the GRAM-grams of
 the function name those with the smallest hashes are kept, so many that names the verification accepts
-always have one in common, and hashed together with kind, file name and band of lines.  The store holds one row per kept fingerprint; the
-Bloom filters, one per hash bucket and accepted delivery, hold the same fingerprints in ten bits each.
+always have one in common, and hashed together with kind, file name and band of lines.
 
-A new delivery is screened by the filters first; only positive fingerprints are looked up in the
-store.  Fingerprints that occur again within the delivery are looked up there.  Candidates are
-verified: lines at most LINES apart, function names at most EDITS edits apart; one shared fingerprint
-makes a candidate, so none that would be accepted is lost.  Then the delivery's classes are appended to both, so no delivery reads the texts of the
-history again.  The result does not depend on how batches are grouped into deliveries.
+The index is a folder: per accepted delivery a table of its classes, a store of (fingerprint, class) laid out by
+bucket, and Bloom filters, one per bucket and delivery, with ten bits a fingerprint.  A manifest names the parts, so
+another process that opens the folder goes on where the last one ended.  Buckets are sized by rows; their number doubles as the
+store grows, and a filter of fewer buckets serves all buckets its own was split into.
 
-Hot keys: the fingerprint contains the band of lines, so a hot file or rule is spread over its bands;
-copies collapse into classes in a partial aggregation; joins of rows with classes are salted.
+A new delivery's fingerprints are routed to their buckets and screened by the filters there; only filters and the delivery
+travel, no row of the store is read.  Positive fingerprints are then looked up in the files of the buckets that have any, which
+are scanned where they lie.  Fingerprints that occur again within the delivery are positive too, and are looked up
+in its own part.  Candidates are verified: lines at most LINES apart, function names at most EDITS edits apart; one shared
+fingerprint makes a candidate, so none that would be accepted is lost.  Then the manifest with the delivery's part is published.
+No delivery reads the texts of the history again, and the result does not depend on how batches are grouped into deliveries.
+
+Hot keys: the fingerprint contains the band of lines, so a hot file or rule is spread over its bands, and buckets follow the
+whole fingerprint, so a band with very many names is spread over buckets; copies collapse into classes in a partial
+aggregation; what is broadcast is at most MOST_SENT rows, beyond which rows are exchanged, those of hot classes salted.
 
 Defined results: a row without file or kind can only repeat a row that lacks the same; without a line
 it repeats rows without a line; where no function is recognised, the other's function must be found in
@@ -34,7 +40,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm import findings
 from siftline.operators.skew import hot_keys, salted_join
-from siftline.runtime import materialise, release, shuffle_partitions
+from siftline.runtime import hadoop_fs, materialise, shuffle_partitions
+from siftline.sources.bucketed import Manifests
 
 GRAM = 2
 LINES, BAND = 25, 50
@@ -43,10 +50,15 @@ BITS, HASHES = 10, 4
 #: Order of everything that was accepted before the first delivery.
 BEFORE = -1
 
+#: Rows of a bucket, and the most rows that are sent to every executor.
+BUCKET_ROWS = 1_000_000
+MOST_SENT = 500_000
+
 FEATURES = "ord long, g long, line int, name string, c binary"
-STORE = "f long, ord long, line int, name string"
-PROBE = "f long, k long, line int, own boolean"
-SHARED = "k long, o_ord long, o_line int, o_name string"
+CLASSES = "cid long, g long, line int, name string, ord long, n long"
+PRINTS = "f long, cid long"
+PROBE = "f long, cid long, own boolean"
+SCREENED = "kind int, f long, cid long, bucket int, bits binary"
 
 
 def _h64(text: str) -> int:
@@ -167,8 +179,7 @@ def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, gram = winnowed(batch.column(2).to_pylist())
         g, line = batch.column(0).to_numpy(zero_copy_only=False), _lines(batch.column(1))
         owner, f = _once(owner, _fingerprints(g[owner], (line // BAND)[owner], gram))
-        at = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(f), *(batch.column(i).take(at) for i in (3, 1, 2))], names=["f", "ord", "line", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(pa.array(owner))], names=["f", "cid"])
 
 
 def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +196,7 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (o1, f1, own1), (o2, f2, own2) = sides
         other = ((line - LINES) // BAND != (line + LINES) // BAND)[o2] & (line != NO_LINE)[o2]
         owner, f, own = np.concatenate([o1, o2[other]]), np.concatenate([f1, f2[other]]), np.concatenate([own1, own2[other]])
-        at = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(at), batch.column(1).take(at), pa.array(own)], names=["f", "k", "line", "own"])
-
-
-def store_rows(of_classes: DataFrame) -> DataFrame:
-    return of_classes.select("g", "line", "name", "ord").mapInArrow(_store_rows, STORE)
-
-
-def probe_rows(of_classes: DataFrame) -> DataFrame:
-    return of_classes.select("g", "line", "name", "k").mapInArrow(_probe_rows, PROBE)
+        yield pa.RecordBatch.from_arrays([pa.array(f), batch.column(3).take(pa.array(owner)), pa.array(own)], names=["f", "cid", "own"])
 
 
 def _places(f: np.ndarray, size: int) -> np.ndarray:
@@ -204,98 +206,112 @@ def _places(f: np.ndarray, size: int) -> np.ndarray:
         return np.stack([(u + np.uint64(i) * step) & np.uint64(size - 1) for i in range(HASHES)]).astype(np.int64)
 
 
-def _bloom(g: pd.DataFrame) -> pd.DataFrame:
-    f = g["f"].to_numpy()
+def _filter(f: np.ndarray) -> bytes:
     size = max(64, 1 << int(np.ceil(np.log2(BITS * len(f)))))
     bits = np.zeros(size, dtype=bool)
     bits[_places(f, size).ravel()] = True
-    return pd.DataFrame({"bucket": g["bucket"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+    return np.packbits(bits).tobytes()
 
 
-FILTER, OWN, STORED, ASKED = 0, 1, 2, 3
-BLOCK = 500_000
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter per bucket from (bucket, f), of what a task holds of it."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        bucket, f = (batch.column(i).to_numpy() for i in range(2))
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                held.setdefault(int(bucket[lo]), []).append(f[lo:hi].copy())
+    for b, parts in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_filter(np.concatenate(parts))], pa.binary())], names=["bucket", "bits"])
+
+
+FILTER, ASKED = 0, 1
+POSITIVE, STORED = 1, 2
+
+
+def _rows(kind: int, f: np.ndarray, cid: np.ndarray, bucket: int, bits: bytes | None = None) -> pa.RecordBatch:
+    n = len(f)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, dtype=np.int32)), pa.array(f, pa.int64()), pa.array(cid, pa.int64()), pa.array(np.full(n, bucket, dtype=np.int32)), pa.array([bits] * n, pa.binary())],
+        names=["kind", "f", "cid", "bucket", "bits"],
+    )
 
 
 class _Bucket:
-    """Filters and fingerprints of one hash bucket, as they come in."""
-
-    def __init__(self):
-        self.filters: list[np.ndarray] = []
-        self.own: list[np.ndarray] = []
-        self.parts: list[pa.RecordBatch] = []
-        self.ready = False
-
-    def close(self) -> None:
-        table = pa.Table.from_batches(self.parts) if self.parts else pa.table({"f": pa.array([], pa.int64()), "num": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "name": pa.array([], pa.string())})
-        table = table.take(pa.array(np.argsort(table["f"].to_numpy(), kind="stable"))).combine_chunks()
-        self.f, self.ord, self.name, self.line = table["f"].to_numpy(), table["num"], table["name"], table["line"]
-        self.at = _lines(self.line.combine_chunks() if isinstance(self.line, pa.ChunkedArray) else self.line)
-        self.own_f = np.sort(np.concatenate(self.own)) if self.own else np.empty(0, dtype=np.int64)
-        self.parts, self.ready = [], True
-
-    def screen(self, f: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Whether some filter holds it, or another class of the delivery has it."""
-        # in its own band, one of the equal fingerprints is the asking class's
-        hit = np.searchsorted(self.own_f, f, "right") - np.searchsorted(self.own_f, f, "left") > own
+    """Filters of one bucket, and the delivery's fingerprints as they come in."""
+
+    def __init__(self, number: int):
+        self.number, self.filters, self.own = number, [], []
+        # the run of equal fingerprints at the end of what was seen, its own rows, and one of them that waits for a second
+        self.run, self.seen, self.waits = None, 0, None
+
+    def known(self, f: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(f), dtype=bool)
         for bits in self.filters:
             hit |= bits[_places(f, len(bits))].all(axis=0)
         return hit
 
-    def look_up(self, f: np.ndarray, k: np.ndarray, line: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lo, hi = np.searchsorted(self.f, f, "left"), np.searchsorted(self.f, f, "right")
-        some = hi > lo
-        lo, n, k, line = lo[some], (hi - lo)[some], k[some], line[some]
-        upto = np.cumsum(n)
-        start = 0
-        while start < len(n):
-            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BLOCK, "right")))
-            m = n[start:end]
-            ask = np.repeat(np.arange(start, end), m)
-            other = np.repeat(lo[start:end] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-            near = np.abs(line[ask] - self.at[other]) <= LINES
-            ask, other = ask[near], pa.array(other[near])
-            if len(ask):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[ask]), *(pa.concat_arrays(c.take(other).chunks) if isinstance(c, pa.ChunkedArray) else c.take(other) for c in (self.ord, self.line, self.name))],
-                    names=["k", "o_ord", "o_line", "o_name"],
-                )
-            start = end
+    def ask(self, f: np.ndarray, cid: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mine = own == 1
+        if mine.any():
+            self.own.append(f[mine].copy())
+            yield _rows(STORED, f[mine], cid[mine], self.number)
+        if self.waits:
+            f, cid, own = np.append(self.waits[0], f), np.append(self.waits[1], cid), np.append(1, own)
+        start = np.ones(len(f), dtype=bool)
+        start[1:] = f[1:] != f[:-1]
+        run = np.cumsum(start) - 1
+        owns = np.bincount(run, weights=own).astype(np.int64)
+        if f[0] == self.run:
+            owns[0] += self.seen
+        # in its own band, one of the equal fingerprints is the asking class's
+        hit = (owns[run] > own) | self.known(f)
+        self.run, self.seen, self.waits = f[-1], int(owns[-1]), None
+        if own[-1] == 1 and owns[-1] == 1:
+            self.waits, self.seen, hit[-1] = (f[-1], cid[-1]), 0, False
+        if hit.any():
+            yield _rows(POSITIVE, f[hit], cid[hit], self.number)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.waits:
+            f, cid = np.array([self.waits[0]]), np.array([self.waits[1]])
+            if self.known(f)[0]:
+                yield _rows(POSITIVE, f, cid, self.number)
+        if self.own:
+            yield _rows(FILTER, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), self.number, _filter(np.concatenate(self.own)))
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, kind, f, num, line, own, name, bits) come sorted by (bucket, kind).
+    """Rows (bucket, kind, f, cid, own, bits) come sorted by (bucket, kind, f, own first): a bucket's filters, then the delivery's fingerprints.
 
-    Kinds: filters, the delivery's own fingerprints, those of the store, then what is asked for; only asked
-    fingerprints that pass the screen are looked up.
+    Gives the positive fingerprints, the delivery's own ones for its store, and a filter of those.
     """
-    at, b = None, _Bucket()
+    b = None
     for batch in batches:
-        bucket, kind, f = (batch.column(i).to_numpy() for i in range(3))
-        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)]):
-            if lo == hi:
+        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1), len(bucket)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi <= lo:
                 continue
-            if bucket[lo] != at:
-                at, b = bucket[lo], _Bucket()
+            if b is None or bucket[lo] != b.number:
+                if b:
+                    yield from b.close()
+                b = _Bucket(int(bucket[lo]))
             part = batch.slice(lo, hi - lo)
             if kind[lo] == FILTER:
-                b.filters.extend(np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(bool) for x in part.column(7).to_pylist())
-            elif kind[lo] in (OWN, STORED):
-                b.parts.append(part.select(["f", "num", "line", "name"]))
-                if kind[lo] == OWN:
-                    b.own.append(f[lo:hi])
+                b.filters.extend(np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(bool) for x in part.column(5).to_pylist())
             else:
-                if not b.ready:
-                    b.close()
-                ask, own = f[lo:hi], part.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
-                hit = b.screen(ask, own)
-                if hit.any():
-                    yield from b.look_up(ask[hit], part.column(3).to_numpy()[hit], _lines(part.column(4))[hit])
+                yield from b.ask(part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False).astype(np.int64))
+    if b:
+        yield from b.close()
 
 
-def _odd_names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    """For names of which one at least is squeezed wording (marked by ~, and by … at the end where it was visibly cut off)."""
+def _names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether names agree: plain ones were compared before; for names of which one at least is squeezed wording (marked by ~, and by … at the end where it was visibly cut off)."""
     def same(x: str, y: str) -> bool:
+        if x[:1] != "~" and y[:1] != "~":
+            return True
         if x[:1] == "~" and y[:1] == "~":
             a, b = sorted((x[1:], y[1:]), key=len)
             if a.endswith("…"):
@@ -311,81 +327,137 @@ def _odd_names_agree(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class HistoryIndex:
-    """Everything accepted so far: the fingerprint store and its Bloom filters, in a shared folder."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.parts = spark, path, 0
-        self.buckets = buckets or max(8, shuffle_partitions(spark))
-
-    def _bucket(self):
-        return F.pmod(F.col("f"), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}-{i}" for i in range(self.parts)])
-
-    def accept(self, of_classes: DataFrame) -> None:
-        """Append classes to the store and their filters to the filters."""
-        store = materialise(store_rows(of_classes), f"{self.path}/store-{self.parts}")
-        blooms = store.select("f", self._bucket().alias("bucket")).groupBy("bucket").applyInPandas(_bloom, "bucket int, bits binary")
-        materialise(blooms, f"{self.path}/filters-{self.parts}")
-        self.parts += 1
-        release(self.spark)
-
-    def candidates(self, of_classes: DataFrame) -> DataFrame:
-        """(c, name, ord, o_name, o_ord): pairs of a class and an earlier one that shares a fingerprint within LINES lines."""
-        def routed(df: DataFrame, kind: int, num: str | None) -> DataFrame:
-            has = set(df.columns)
-            return df.select(
-                F.lit(kind).alias("kind"), F.col("f") if "f" in has else F.lit(0).cast("long").alias("f"),
-                (F.col(num) if num else F.lit(0).cast("long")).alias("num"),
-                *[F.col(x) if x in has else F.lit(None).cast(t).alias(x) for x, t in (("line", "int"), ("own", "boolean"), ("name", "string"), ("bits", "binary"))],
-                (F.col("bucket") if "bucket" in has else self._bucket()).alias("bucket"),
-            )
-
-        rows = routed(store_rows(of_classes), OWN, "ord").unionByName(routed(probe_rows(of_classes), ASKED, "k"))
-        if self.parts:
-            rows = rows.unionByName(routed(self._read("store", STORE), STORED, "ord"))
-            rows = rows.unionByName(routed(self._read("filters", "bucket int, bits binary"), FILTER, None))
-        ordered = rows.select("bucket", "kind", "f", "num", "line", "own", "name", "bits").repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        shared = ordered.mapInArrow(_screen, SHARED).groupBy("k", "o_name").agg(F.min("o_ord").alias("o_ord"))
-        return shared.join(of_classes.select("k", "c", "name", "ord"), "k").where("o_ord < ord").select("c", "name", "ord", "o_name", "o_ord")
+    """Everything accepted so far, in a shared folder: classes, fingerprint store and Bloom filters of every accepted delivery."""
+
+    def __init__(self, spark: SparkSession, path: str, least: int | None = None):
+        self.spark, self.path, self.least = spark, path, least or max(8, shuffle_partitions(spark))
+        self.manifests = Manifests(spark, f"{path}/manifest")
+        # {"parts": [{"name", "buckets", "prints", "classes"}]}; kept between deliveries of one writer
+        self.version = self.manifests.version()
+        self.parts = (self.manifests.read(self.version) or {"parts": []})["parts"]
+
+    def _buckets(self, more: int) -> int:
+        """Number of buckets for the store with so many more classes: a least number, doubled until a bucket is small."""
+        n = max([self.least, *(p["buckets"] for p in self.parts)])
+        while sum(p["classes"] for p in self.parts) + more > n * BUCKET_ROWS // 8:  # a class has about seven fingerprints
+            n *= 2
+        return n
+
+    def _read(self, name: str, schema: str, parts: list[dict]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p['name']}/{name}" for p in parts])
+
+    def _publish(self, part: dict) -> None:
+        self.parts.append(part)
+        self.version = self.manifests.publish({"parts": self.parts}, self.version + 1)
+
+    def _numbered(self, of: DataFrame, name: str) -> DataFrame:
+        """Classes of a delivery with numbers that no other delivery has, written."""
+        number = F.lit(self.version + 1).cast("long") * 2**50 + F.monotonically_increasing_id()
+        return materialise(classes(of).withColumn("cid", number), f"{self.path}/{name}/classes")
+
+    def accept(self, rows: DataFrame) -> None:
+        """Add rows that count as accepted before the first delivery."""
+        name = f"part-{self.version + 1}"
+        known = self._numbered(features(rows, None), name)
+        n = known.count()
+        buckets = self._buckets(n)
+        bucket = F.pmod(F.col("f"), F.lit(buckets)).cast("int")
+        prints = known.select("g", "line", "name", "cid").mapInArrow(_store_rows, PRINTS).withColumn("bucket", bucket)
+        prints = prints.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("f")
+        prints.write.partitionBy("bucket").parquet(f"{self.path}/{name}/prints")
+        stored = self.spark.read.schema(PRINTS + ", bucket int").parquet(f"{self.path}/{name}/prints").select("bucket", "f")
+        materialise(stored.mapInArrow(_filters, "bucket int, bits binary"), f"{self.path}/{name}/filters")
+        self._publish({"name": name, "buckets": buckets, "prints": "prints", "filters": "filters", "classes": n})
+
+    def _screened(self, known: DataFrame, name: str, buckets: int) -> DataFrame:
+        """Positive fingerprints (f, cid, bucket) of a delivery's classes; its store and filters are written beside them."""
+        bucket = F.pmod(F.col("f"), F.lit(buckets)).cast("int")
+        asked = known.select("g", "line", "name", "cid").mapInArrow(_probe_rows, PROBE)
+        rows = asked.select(bucket.alias("bucket"), F.lit(ASKED).alias("kind"), "f", "cid", "own", F.lit(None).cast("binary").alias("bits"))
+        for size in sorted({p["buckets"] for p in self.parts}):
+            some = [p for p in self.parts if p["buckets"] == size]
+            filters = self.spark.read.schema("bucket int, bits binary").parquet(*[f"{self.path}/{p['name']}/{p['filters']}" for p in some])
+            # a bucket of a smaller number of buckets was split into these
+            split = filters.select(F.explode(F.sequence(F.col("bucket"), F.lit(buckets - 1), F.lit(size))).alias("bucket"), "bits")
+            rows = rows.unionByName(split.select(
+                "bucket", F.lit(FILTER).alias("kind"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("cid"), F.lit(True).alias("own"), "bits"
+            ))
+        ordered = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "f", F.col("own").desc())
+        ordered.mapInArrow(_screen, SCREENED).write.partitionBy("kind").parquet(f"{self.path}/{name}/screened")
+        return self._part(f"{name}/screened/kind={POSITIVE}", PRINTS + ", bucket int")
+
+    def _part(self, name: str, schema: str) -> DataFrame:
+        """A written table, empty where nothing was written."""
+        fs, p = hadoop_fs(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
 
     def screen(self, rows: DataFrame, order: str) -> DataFrame:
         """The orders of delivered rows that repeat something accepted, or an earlier row of the delivery; then accepts them."""
-        of = materialise(features(rows, order), f"{self.path}/rows-{self.parts}")
-        known = materialise(classes(of).withColumn("k", F.monotonically_increasing_id()), f"{self.path}/classes-{self.parts}")
-        pairs = self.candidates(known.drop("n"))
-        plain = (F.substring("name", 1, 1) != "~") & (F.substring("o_name", 1, 1) != "~")
-        most = F.least(F.lit(EDITS), (F.least(F.length("name"), F.length("o_name")) / 4).cast("int"))
-        sure = pairs.where(plain & (F.levenshtein("name", "o_name") <= most)).select("c", "o_ord")
-        agree = F.pandas_udf(_odd_names_agree, "boolean")
-        odd = pairs.where(~plain).where(agree("name", "o_name")).select("c", "o_ord")
-        repeats = sure.unionByName(odd).groupBy("c").agg(F.min("o_ord").alias("earlier"))
-        first = known.join(repeats, "c", "left").select("c", F.least("ord", F.coalesce("earlier", "ord")).alias("first"))
-        hot = hot_keys(known, "c", "n")
-        found = salted_join(of.select("ord", "c"), first, "c", hot, F.xxhash64("ord"), "inner").where("ord > first")
-        found = materialise(found.select("ord").distinct(), f"{self.path}/found-{self.parts}")
-        self.accept(known.drop("n"))
+        name = f"part-{self.version + 1}"
+        of = materialise(features(rows, order), f"{self.path}/{name}/rows")
+        known = self._numbered(of, name)
+        n = known.count()
+        if not n:
+            return self.spark.createDataFrame([], "ord long")
+        buckets = self._buckets(n)
+        positive = self._screened(known, name, buckets)
+        here = {"name": name, "buckets": buckets, "prints": f"screened/kind={STORED}", "filters": f"screened/kind={FILTER}", "classes": n}
+        first = self._first(known, positive, [*self.parts, here])
+        found = materialise(self._repeated(of, first, n), f"{self.path}/{name}/found")
+        self._publish(here)
         return found
 
-
-def repeated_items(history: DataFrame, batches: DataFrame, path: str, deliveries: int = 3, order: str = "item_id", batch: str = "batch_no") -> DataFrame:
-    """(item_id) of batch rows that report what the history or an earlier row reports already.
-
-    The batches come in ``deliveries`` consecutive groups, each screened against all before it.
-    """
+    def _first(self, known: DataFrame, positive: DataFrame, parts: list[dict]) -> DataFrame:
+        """(c, first): classes with the earliest order of what they repeat, their own where that is nothing earlier."""
+        sizes = positive.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a row per bucket
+        asked, touched = sum(r["n"] for r in sizes), {r["bucket"] for r in sizes}
+        if not asked:
+            return known.select("c", "n", F.col("ord").alias("first"))
+        few = asked <= MOST_SENT
+        sent = F.broadcast if few else lambda df: df
+        pairs = None
+        for p in parts:
+            # read only the buckets that have positives; a part of fewer buckets holds them in what was split
+            own = sorted({b % p["buckets"] for b in touched})
+            store = self.spark.read.schema(PRINTS + ", bucket int").parquet(f"{self.path}/{p['name']}/{p['prints']}")
+            if len(own) < p["buckets"]:
+                store = store.where(F.col("bucket").isin(own))
+            store = store.select("f", F.col("cid").alias("o_cid"))
+            pairs = store if pairs is None else pairs.unionByName(store)
+        pairs = pairs.join(sent(positive.select("f", "cid")), "f").where("cid <> o_cid").select("cid", "o_cid").distinct()
+        asking = known.select("cid", "ord", "line", "name")
+        pairs = pairs.join(F.broadcast(asking) if few else asking, "cid")  # no more classes than fingerprints
+        pairs = materialise(pairs, f"{self.path}/{parts[-1]['name']}/pairs")
+        others = self._read("classes", "cid long, line int, name string, ord long", parts).select(
+            F.col("cid").alias("o_cid"), F.col("line").alias("o_line"), F.col("name").alias("o_name"), F.col("ord").alias("o_ord")
+        )
+        few = pairs.count() <= MOST_SENT
+        near = others.join(F.broadcast(pairs) if few else pairs, "o_cid").where(
+            (F.abs(F.col("line") - F.col("o_line")) <= LINES) | (F.col("line").isNull() & F.col("o_line").isNull())
+        ).where("o_ord < ord")
+        plain = (F.substring("name", 1, 1) != "~") & (F.substring("o_name", 1, 1) != "~")
+        most = F.least(F.lit(EDITS), (F.least(F.length("name"), F.length("o_name")) / 4).cast("int"))
+        fits = near.where(~plain | (F.levenshtein("name", "o_name") <= most)).groupBy("cid", "name", "o_name").agg(F.min("o_ord").alias("o_ord"))
+        agree = F.pandas_udf(_names_agree, "boolean")
+        earlier = fits.where(agree("name", "o_name")).groupBy("cid").agg(F.min("o_ord").alias("earlier"))
+        return known.join(earlier, "cid", "left").select("c", "n", F.least("ord", F.coalesce("earlier", "ord")).alias("first"))
+
+    def _repeated(self, of: DataFrame, first: DataFrame, n: int) -> DataFrame:
+        """Orders of rows later than the first of their class; a class's rows are not brought together where the classes can be sent."""
+        if n <= MOST_SENT:
+            found = of.select("ord", "c").join(F.broadcast(first.select("c", "first")), "c")
+        else:
+            found = salted_join(of.select("ord", "c"), first.select("c", "first"), "c", hot_keys(first, "c", "n"), F.xxhash64("ord"), "inner")
+        return found.where("ord > first").select("ord").distinct()
+
+
+def repeated_items(history: DataFrame, batches: DataFrame, path: str, order: str = "item_id", batch: str = "batch_no") -> DataFrame:
+    """(item_id) of batch rows that report what the history or an earlier row reports already, batch after batch."""
     spark = batches.sparkSession
     index = HistoryIndex(spark, path)
-    index.accept(classes(features(history, None)).drop("n"))
-    numbers = [r[0] for r in batches.select(batch).distinct().orderBy(batch).collect()]  # one per batch
-    groups = [numbers[i * len(numbers) // deliveries : (i + 1) * len(numbers) // deliveries] for i in range(deliveries)]
-    out = None
-    for group in filter(None, groups):
-        some = F.col(batch).isin([n for n in group if n is not None])
-        if None in group:
-            some = some | F.col(batch).isNull()
-        found = index.screen(batches.where(some), order)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "ord long")
+    index.accept(history)
+    numbers = [r[0] for r in batches.select(batch).distinct().orderBy(F.col(batch).asc_nulls_last()).collect()]  # one per batch
+    out = spark.createDataFrame([], "ord long")
+    for n in numbers:
+        out = out.unionByName(index.screen(batches.where(F.col(batch).eqNullSafe(F.lit(n).cast(dict(batches.dtypes)[batch]))), order))
     return out.select(F.col("ord").alias(order))

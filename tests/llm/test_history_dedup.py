@@ -48,8 +48,8 @@ def test_agrees_with_brute_force_however_batches_are_delivered(spark):
     h, b = spark.createDataFrame(history, COLUMNS), spark.createDataFrame(rows, COLUMNS)
     want = brute(history, rows)
     assert 20 < len(want) < 190
-    for deliveries in (1, 3):
-        got = [r[0] for r in history_dedup.repeated_items(h, b, work_dir(spark, "t"), deliveries).collect()]
+    for some in (b, b.selectExpr("item_id", "batch_no div 3 batch_no", "rule_id", "file", "line", "message")):
+        got = [r[0] for r in history_dedup.repeated_items(h, some, work_dir(spark, "t")).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -100,6 +100,40 @@ def test_names_that_are_not_recognised_are_found_in_the_wording(spark):
     assert {r[0] for r in got.collect()} == {1, 4}
 
 
+def test_another_process_goes_on_with_the_index_and_buckets_split(spark, monkeypatch):
+    history, rows = made(3, 80), made(4, 120)
+    path, b = work_dir(spark, "t"), spark.createDataFrame(rows, COLUMNS)
+    history_dedup.HistoryIndex(spark, path, 2).accept(spark.createDataFrame(history, COLUMNS))
+    monkeypatch.setattr(history_dedup, "BUCKET_ROWS", 160)  # the store has to be spread over more buckets
+    found, buckets = set(), []
+    for n in range(7):
+        index = history_dedup.HistoryIndex(spark, path, 2)
+        found |= {r[0] for r in index.screen(b.where(f"batch_no = {n}"), "item_id").collect()}
+        buckets.append(index.parts[-1]["buckets"])
+    assert found == brute(history, rows) and buckets[-1] > index.parts[0]["buckets"]
+
+
+def test_beyond_what_may_be_sent_rows_are_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(history_dedup, "MOST_SENT", 5)
+    history, rows = made(5, 60), made(6, 80)
+    got = history_dedup.repeated_items(spark.createDataFrame(history, COLUMNS), spark.createDataFrame(rows, COLUMNS).selectExpr("*", "1 first").drop("batch_no").withColumnRenamed("first", "batch_no"), work_dir(spark, "t"))
+    assert {r[0] for r in got.collect()} == brute(history, rows)
+
+
+def test_a_run_of_equal_fingerprints_may_be_cut_anywhere():
+    import numpy as np
+
+    f, own = np.array([1, 2, 2, 2, 3, 3, 4, 5, 5, 6]), np.array([1, 1, 1, 0, 1, 0, 0, 1, 1, 1])
+    for cut in range(1, 10):
+        for second in range(cut, 10):
+            b, got = history_dedup._Bucket(0), set()
+            for lo, hi in ((0, cut), (cut, second), (second, 10)):
+                if hi > lo:
+                    got |= {int(c) for batch in b.ask(f[lo:hi], np.arange(lo, hi), own[lo:hi]) if batch.column(0)[0].as_py() == history_dedup.POSITIVE for c in batch.column(2).to_pylist()}
+            got |= {int(c) for batch in b.close() if batch.column(0)[0].as_py() == history_dedup.POSITIVE for c in batch.column(2).to_pylist()}
+            assert got == {1, 2, 3, 5, 7, 8}, (cut, second, got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], COLUMNS)
     some = spark.createDataFrame([(1, 1, "r-a", "f", 1, "In ab_cdefgh: x", ""), (2, 1, "r-a", "f", 1, "In ab_cdefgh: x", "")], COLUMNS)
