@@ -29,6 +29,21 @@ def test_recovers_truth_and_reliability(spark):
     assert all(found[f"good{i}"] > 0.8 for i in range(4)) and all(found[f"spam{i}"] < 0.2 for i in range(5))
 
 
+def test_parameters_that_stay_a_table_give_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, f"k{r.randrange(60)}", r.choice(consensus.LABELS), f"w{r.randrange(7)}", DAY, "x", None) for i in range(300)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    monkeypatch.setattr(consensus, "MOST_ANNOTATORS", 2)
+    monkeypatch.setattr(consensus.Annotators, "beyond", lambda self, a, b: self)
+    far = consensus.Consensus(df, work_dir(spark, "t"), 3)
+    monkeypatch.setattr(consensus, "MOST_ANNOTATORS", 100)
+    near = consensus.Consensus(df, work_dir(spark, "t"), 3)  # without extrapolation
+    for f in ("items", "annotators"):
+        a, b = (sorted(getattr(c, f)().collect(), key=lambda x: x[0]) for c in (near, far))
+        assert [x[:2] for x in a] == [x[:2] for x in b] and len(a) > 6
+        assert all(abs(u - v) < 1e-9 or u != u and v != v for x, y in zip(a, b) for u, v in zip(x[2:], y[2:]))
+
+
 def test_latest_verdict_and_spelling(spark):
     rows = [
         (1, "K1", "tp", "a", DAY, "", ""), (2, " k1\t", "False Positive", "A ", DAY + dt.timedelta(1), "", ""),
