@@ -12,7 +12,8 @@ constraint is enforced: two right records that are different defects cannot both
 record, so their posteriors may not add up to more than one; at the end the same holds from the right.
 
 Repeated rows form classes first, so copies do not multiply candidates; the result is expanded to rows.
-A round reads the stored vectors and returns one row of sums per task.
+The vectors are exchanged once, so that the candidates of a left record lie together, and kept by the executors; a lost part is
+computed again from the stored vectors.  A round reads them where they are and returns one row of sums per task.
 
 Defined results: a row without file or line matches nothing; a missing rule, number, function or wording
 is no evidence either way; repeated ids are reported once; empty tables give no rows; other columns are
@@ -26,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,9 +83,9 @@ def parts(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
 ATTRIBUTES = ("base", "tail", "line", "kind", "cwe", "name", "words")
 
 
-def classes(of: DataFrame) -> DataFrame:
-    """One row per distinct attributes, named by their hash."""
-    return of.select(*ATTRIBUTES).distinct().withColumn("c", F.md5(F.concat_ws("|", *ATTRIBUTES)))
+def classes(of: DataFrame, path: str) -> DataFrame:
+    """One row per distinct attributes, numbered; written, so that the numbers stay."""
+    return materialise(of.select(*ATTRIBUTES).distinct().withColumn("c", F.monotonically_increasing_id()), path)
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def vectors(pairs: DataFrame) -> DataFrame:
     return p.withColumns({
         "x_rule": F.when(both("kind"), F.coalesce("x_rule", F.lit(0.0))),
         "x_cwe": F.when(both("cwe"), F.coalesce("x_cwe", F.lit(0.0))),
-    }).select("a_c", "b_c", F.concat_ws("|", "b_kind", "b_name").alias("b_thing"), F.concat_ws("|", "a_kind", "a_name").alias("a_thing"), *FEATURES)
+    }).select("a_c", "b_c", F.xxhash64("b_kind", "b_name").alias("b_thing"), F.xxhash64("a_kind", "a_name").alias("a_thing"), *FEATURES)
 
 
 class Mixture:
@@ -150,59 +153,78 @@ class Mixture:
 
 
 def transitive(gamma: np.ndarray, owner: np.ndarray, thing: np.ndarray) -> np.ndarray:
-    """Cap posteriors of an owner's other things at what its best thing leaves."""
-    frame = pd.DataFrame({"o": owner, "t": thing, "g": gamma})
-    frame["best"] = frame.groupby(["o", "t"])["g"].transform("max")
-    order = frame.sort_values(["o", "best", "t"], ascending=[True, False, True]).drop_duplicates("o").set_index("o")
-    top_thing, top = frame["o"].map(order["t"]), frame["o"].map(order["best"])
-    return np.where(frame["t"] == top_thing, gamma, np.minimum(gamma, 1 - top))
-
-
-def _whole_owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches cut so that no owner's candidates are split; rows come sorted by owner."""
+    """Cap posteriors of an owner's other things at what its best thing leaves; rows come sorted by owner and thing."""
+    if not len(gamma):
+        return gamma
+    new_owner = np.ones(len(owner), dtype=bool)
+    new_owner[1:] = owner[1:] != owner[:-1]
+    new_thing = new_owner.copy()
+    new_thing[1:] |= thing[1:] != thing[:-1]
+    group = np.cumsum(new_thing) - 1
+    best = np.maximum.reduceat(gamma, np.flatnonzero(new_thing))
+    of = (np.cumsum(new_owner) - 1)[new_thing]  # the owner of each thing
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    top = np.maximum.reduceat(best, first)
+    # of equally good things the first is the best
+    at = np.where(best == top[of], np.arange(len(best)), len(best))
+    own = np.minimum.reduceat(at, first)
+    return np.where(group == own[of][group], gamma, np.minimum(gamma, 1 - top[of][group]))
+
+
+def _whole_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut so that no owner's candidates are split; rows come sorted by owner, the first column."""
     held = None
     for b in batches:
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
-        last = b["a_c"].iloc[-1] if len(b) else None
-        done = b["a_c"] != last
-        held = b[~done]
-        if done.any():
-            yield b[done]
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        owner = t.column(0).to_numpy()
+        cut = int(np.searchsorted(owner, owner[-1], "left")) if len(owner) else 0
+        held = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
     if held is not None and len(held):
         yield held
 
 
+def _vectors_of(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(f).to_numpy() for f in FEATURES], axis=1).astype(float)
+
+
 def _sums(model: Mixture):
     k = len(FEATURES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros((2, k, 3))
         matched = 0.0
-        for b in _whole_owners(batches):
-            x = b[list(FEATURES)].to_numpy(dtype=float)
-            g = transitive(model.posterior(x), b["a_c"].to_numpy(), b["b_thing"].to_numpy())
-            n, matched = n + len(b), matched + g.sum()
+        for t in _whole_owners(batches):
+            x = _vectors_of(t)
+            g = transitive(model.posterior(x), t.column(0).to_numpy(), t.column(1).to_numpy())
+            n, matched = n + len(t), matched + g.sum()
             seen, filled = ~np.isnan(x), np.nan_to_num(x)
             for j, w in ((0, 1 - g), (1, g)):
                 total[j] += np.stack([(w[:, None] * seen).sum(0), (w[:, None] * filled).sum(0), (w[:, None] * filled**2).sum(0)], axis=1)
-        yield pd.DataFrame({"n": [float(n)], "matched": [matched], "sums": [total.ravel()]})
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([float(matched)]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "matched", "sums"])
 
     return run
 
 
+POSTERIORS = "a_c long, b_c long, a_thing long, x_path double, x_function double, confidence double"
+
+
 def _posteriors(model: Mixture):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _whole_owners(batches):
-            g = transitive(model.posterior(b[list(FEATURES)].to_numpy(dtype=float)), b["a_c"].to_numpy(), b["b_thing"].to_numpy())
-            yield b[["a_c", "b_c", "a_thing", "x_path", "x_function"]].assign(confidence=g)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_owners(batches):
+            g = transitive(model.posterior(_vectors_of(t)), t.column(0).to_numpy(), t.column(1).to_numpy())
+            out = t.select(["a_c", "b_c", "a_thing", "x_path", "x_function"]).append_column("confidence", pa.array(g))
+            yield from out.combine_chunks().to_batches()
 
     return run
 
 
 def fit(table: DataFrame, rounds: int = ROUNDS) -> Mixture:
+    """Expectation-maximisation over (a_c, b_thing, features), partitioned by a_c and sorted by both."""
     model, k = Mixture(), len(FEATURES)
     for _ in range(rounds):
-        rows = table.mapInPandas(_sums(model), "n double, matched double, sums array<double>")
+        rows = table.select("a_c", "b_thing", *FEATURES).mapInArrow(_sums(model), "n double, matched double, sums array<double>")
         rows = rows.select("n", "matched", F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("matched").alias("m")).collect()
         if not rows or not rows[0]["n"]:
             break
@@ -221,24 +243,33 @@ def fit(table: DataFrame, rounds: int = ROUNDS) -> Mixture:
     return model
 
 
-def matches(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
-    """(left_id, right_id, confidence) of matched rows; both frames as made by ``parts``."""
-    left, right = materialise(left, f"{path}/left"), materialise(right, f"{path}/right")
-    lc, rc = classes(left), classes(right)
-    pairs = materialise(candidates(lc, rc), f"{path}/pairs")
-    table = materialise(
-        vectors(pairs).repartition("a_c").sortWithinPartitions("a_c"), f"{path}/vectors"
-    ).repartition("a_c").sortWithinPartitions("a_c")
+def posteriors(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
+    """(a_c, b_c, x_path, x_function, confidence) of all candidate pairs of classes, under both transitivity constraints; written."""
+    pairs = materialise(candidates(left, right), f"{path}/pairs")
+    stored = materialise(vectors(pairs), f"{path}/vectors")
+    table = stored.repartition("a_c").sortWithinPartitions("a_c", "b_thing").select("a_c", "b_thing", "b_c", "a_thing", *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     model = fit(table)
-    found = table.mapInPandas(_posteriors(model), "a_c string, b_c string, a_thing string, x_path double, x_function double, confidence double")
-    # the constraint from the right: the best thing of the left per right class
-    thing = W.partitionBy("b_c", "a_thing")
-    found = found.withColumn("best", F.max("confidence").over(thing))
+    found = table.mapInArrow(_posteriors(model), POSTERIORS)
+    # the constraint from the right: the best thing of the left per right class; both windows need one exchange
+    found = found.repartition("b_c").withColumn("best", F.max("confidence").over(W.partitionBy("b_c", "a_thing")))
     found = found.withColumn("top", F.max(F.struct("best", "a_thing")).over(W.partitionBy("b_c")))
     own = F.col("top.a_thing") == F.col("a_thing")
     found = found.withColumn("confidence", F.when(own, F.col("confidence")).otherwise(F.least("confidence", 1 - F.col("top.best"))))
-    sure = found.where("confidence >= 0.5 and x_path = 1 and (x_function is null or x_function >= 0.7)")
-    of_left = left.join(lc.select("c", *ATTRIBUTES), list(ATTRIBUTES)).select(F.col("id").alias("left_id"), F.col("c").alias("a_c"))
-    of_right = right.join(rc.select("c", *ATTRIBUTES), list(ATTRIBUTES)).select(F.col("id").alias("right_id"), F.col("c").alias("b_c"))
+    found = materialise(found.select("a_c", "b_c", "x_path", "x_function", "confidence"), f"{path}/posteriors")
+    table.unpersist()
+    return found
+
+
+#: The exact check that follows the mixture: same path from its end, and the same function where both name one.
+SAME_PLACE = "x_path = 1 and (x_function is null or x_function >= 0.7)"
+
+
+def matches(left: DataFrame, right: DataFrame, path: str, check: str = SAME_PLACE) -> DataFrame:
+    """(left_id, right_id, confidence) of matched rows; both frames as made by ``parts``."""
+    left, right = materialise(left, f"{path}/left"), materialise(right, f"{path}/right")
+    lc, rc = classes(left, f"{path}/left-classes"), classes(right, f"{path}/right-classes")
+    sure = posteriors(lc, rc, path).where("confidence >= 0.5").where(check)
+    of_left = left.join(lc, list(ATTRIBUTES)).select(F.col("id").alias("left_id"), F.col("c").alias("a_c"))
+    of_right = right.join(rc, list(ATTRIBUTES)).select(F.col("id").alias("right_id"), F.col("c").alias("b_c"))
     rows = sure.select("a_c", "b_c", "confidence").join(of_left, "a_c").join(of_right, "b_c")
     return rows.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence"))

@@ -44,7 +44,7 @@ def test_finds_the_true_pairs(spark):
 def test_transitivity():
     import numpy as np
 
-    g = matching.transitive(np.array([0.9, 0.8, 0.7, 0.6]), np.array(["h", "h", "h", "i"]), np.array(["a", "a", "b", "b"]))
+    g = matching.transitive(np.array([0.9, 0.8, 0.7, 0.6]), np.array([1, 1, 1, 2]), np.array([5, 5, 7, 7]))
     assert np.allclose(g, [0.9, 0.8, 0.1, 0.6])
 
 
