@@ -5,8 +5,9 @@ text, so the order is the same on any cluster.  A source whose budget is e times
 rest gets e complete epochs; the rest is filled in key order until the tokens are used up.
 
 The prefix sum over a source is taken in two steps, so that a source with most of the corpus is no
-single task: tokens are summed in SLOTS fixed slots of the keys, the slot where the budget ends is
-found from the slot sums, and only the documents of that slot are put in order.
+single task: tokens are summed in slots of the keys' logarithm, FINE to each factor of e, the slot where the budget ends is
+found from the slot sums, and only the documents of that slot are put in order.  Exponential keys put at most 1 / (e * FINE) of a
+source's documents into a slot, whatever their quality weights.
 
 The total: the largest for which every source with documents can reach its target share within its
 ``max_repeats``.  A target without documents cannot contribute; its share is spread over the others
@@ -28,14 +29,26 @@ from pyspark.sql import functions as F
 from siftline.llm.encoding import token_counts
 from siftline.runtime import materialise
 
-SLOTS = 4096
+FINE = 2048
 SEED = 20
 
 
 def quality(text):
-    """Quality weight in [0.05, 1.05]: the share of letters and blanks in a text."""
-    kept = F.length(F.regexp_replace(text, r"[^\p{L} ]+", ""))
-    return F.lit(0.05) + F.coalesce(kept / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+    """Quality weight in [0.05, 1.05]: letters and blanks among the characters, words of a usual length, distinct words, distinct lines.
+
+    The least of the four decides, so that a text of one repeated line, of figures, or of one endless word has little weight.
+    """
+    length = F.greatest(F.length(text), F.lit(1))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L} ]+", "")) / length
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    n = F.greatest(F.size(words), F.lit(1))
+    mean = length / n
+    usual = F.least(F.lit(1.0), mean / 4, 16 / mean)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
+    distinct = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    # the number of distinct words grows slower than a text; a fourth root of the share is near 1 for plain prose of any length
+    rich = F.sqrt(F.sqrt(F.size(F.array_distinct(words)) / n))
+    return F.lit(0.05) + F.coalesce(F.least(letters, usual, distinct, rich), F.lit(0.0))
 
 
 def units(docs: DataFrame, targets: DataFrame, work: str, vocabulary: str | None = None) -> DataFrame:
@@ -71,22 +84,21 @@ def budgets(of_units: DataFrame, targets: DataFrame) -> DataFrame:
 def mixture(of_units: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, doc_id, tokens, copies): the chosen texts and how often each is used."""
     plan = budgets(of_units, targets).select("source", "epochs", "left_over")
-    slotted = of_units.withColumn("slot", F.floor(F.lit(SLOTS) * (1 - F.exp(-F.col("key")))).cast("int"))
+    slotted = of_units.withColumn("slot", F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * FINE).cast("int"))
     sums = slotted.groupBy("source", "slot").agg(F.sum("tokens").alias("st"))
-    run = F.sum("st").over(W.partitionBy("source").orderBy("slot"))  # at most SLOTS rows a source
-    ends = (
-        sums.withColumn("before", run - F.col("st")).join(F.broadcast(plan), "source")
-        .select("source", "slot", "before", "epochs", "left_over", (F.col("before") + F.col("st") <= F.col("left_over")).alias("full"))
+    run = F.sum("st").over(W.partitionBy("source").orderBy("slot"))  # a source has about 60 * FINE slots, whatever its size
+    edges = (
+        sums.withColumn("before", run - F.col("st")).join(F.broadcast(plan), "source").where("before + st > left_over")
+        .groupBy("source").agg(F.min(F.struct("slot", "before")).alias("edge"))
     )
-    # at most SLOTS rows per target, whatever the corpus
-    placed = slotted.join(F.broadcast(ends), ["source", "slot"])
-    whole = placed.where("full").select("source", "doc_id", "tokens", (F.col("epochs") + 1).alias("copies"))
-    edge = placed.where("not full and before < left_over")
-    upto = F.sum("tokens").over(W.partitionBy("source", "slot").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", F.col("before") + upto)
-    part = edge.select("source", "doc_id", "tokens", (F.col("epochs") + (F.col("upto") <= F.col("left_over")).cast("int")).alias("copies"))
-    rest = placed.where("not full and before >= left_over").select("source", "doc_id", "tokens", F.col("epochs").alias("copies"))
-    return whole.unionByName(part).unionByName(rest).where("copies > 0").withColumn("copies", F.col("copies").cast("int"))
+    # one row per target
+    placed = slotted.join(F.broadcast(plan), "source").join(F.broadcast(edges), "source", "left")
+    inside = F.col("edge").isNull() | (F.col("slot") < F.col("edge.slot"))
+    plain = placed.where(inside | (F.col("slot") > F.col("edge.slot"))).select("source", "doc_id", "tokens", (F.col("epochs") + inside.cast("int")).alias("copies"))
+    edge = placed.where(F.col("slot") == F.col("edge.slot"))
+    upto = F.col("edge.before") + F.sum("tokens").over(W.partitionBy("source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    part = edge.withColumn("upto", upto).select("source", "doc_id", "tokens", (F.col("epochs") + (F.col("upto") <= F.col("left_over")).cast("int")).alias("copies"))
+    return plain.unionByName(part).where("copies > 0").withColumn("copies", F.col("copies").cast("int"))
 
 
 def shares(mix: DataFrame, of_units: DataFrame, targets: DataFrame) -> DataFrame:
