@@ -84,7 +84,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages and confidence of every document."""
-    return language.found_languages(_languages(spark, sf_dir)).withColumn("langs", F.concat_ws(",", "langs"))
+    return language.found_languages(_languages(spark, sf_dir)).drop("named").withColumn("langs", F.concat_ws(",", "langs"))
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -257,6 +258,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS)
     return trees
 
 
+@functools.lru_cache(maxsize=65536)
+def _named(label: str | None) -> list[str]:
+    return sorted(languages_of(label))
+
+
 SEGMENTS = "array<struct<lang string, confidence double, sentences int, chars int>>"
 
 
@@ -282,31 +288,28 @@ def _segments_of(shared):
                     else:
                         segments.append([k, sure * len(s), 1, len(s)])
                 out.append([{"lang": k, "confidence": c / n, "sentences": m, "chars": n} for k, c, m, n in segments])
-            yield b.drop(columns="text").assign(segments=out)
+            yield b.drop(columns="text").assign(named=[_named(x if isinstance(x, str) else None) for x in b["lang"]], segments=out)
 
     return run
 
 
 def segments(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """(doc_id, lang, segments): every document with its label and its segments in order."""
+    """(doc_id, lang, named, segments): every document with its label, the languages that names, and its segments in order; texts are read once."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
-    return docs.select("doc_id", "lang", "text").mapInPandas(_segments_of(shared), f"doc_id long, lang string, segments {SEGMENTS}")
+    return docs.select("doc_id", "lang", "text").mapInPandas(_segments_of(shared), f"doc_id long, lang string, named array<string>, segments {SEGMENTS}")
 
 
 def found_languages(of_segments: DataFrame) -> DataFrame:
-    """(doc_id, label, langs, confidence): the languages in which a document has sure whole sentences."""
+    """(doc_id, label, named, langs, confidence): the languages in which a document has sure whole sentences."""
     sure = F.filter("segments", lambda s: s["confidence"] >= SURE)
     chars = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["chars"])
     weighed = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["chars"] * s["confidence"])
     return of_segments.select(
-        "doc_id", F.col("lang").alias("label"), F.array_sort(F.array_distinct(F.transform(sure, lambda s: s["lang"]))).alias("langs"),
+        "doc_id", F.col("lang").alias("label"), "named", F.array_sort(F.array_distinct(F.transform(sure, lambda s: s["lang"]))).alias("langs"),
         F.try_divide(weighed, chars).alias("confidence"),
     )
 
 
 def mislabelled(found: DataFrame) -> DataFrame:
     """(doc_id, lang): the languages of documents whose label does not name exactly them."""
-    named = F.udf(lambda label: sorted(languages_of(label)), "array<string>")
-    labels = found.select("label").distinct().withColumn("named", named("label"))  # few distinct labels
-    joined = found.join(labels.withColumnRenamed("label", "l"), F.col("label").eqNullSafe(F.col("l")))
-    return joined.where((F.size("langs") > 0) & (F.col("named") != F.col("langs"))).select("doc_id", F.explode("langs").alias("lang"))
+    return found.where((F.size("langs") > 0) & (F.col("named") != F.col("langs"))).select("doc_id", F.explode("langs").alias("lang"))
