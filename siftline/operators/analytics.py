@@ -2,26 +2,85 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.operators.blocks import near, with_borders
+
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
 
-def duplicate_windows(lines: DataFrame, n: int = 3, top: int = 20) -> DataFrame:
-    """The most repeated windows of n non-blank lines: hash, places, files and the first place.
+#: Words that stay themselves when names are made equal.
+KEYWORDS = tuple(
+    "if else elif for while def class return import from try except finally with as in not and or is None True False lambda yield raise pass break continue global nonlocal del".split()
+)
+_TOKEN = re.compile(r"\w+|[^\s\w]")
+_PRIME = 1_099_511_628_211
+
+
+def _windows(n: int):
+    import xxhash
+
+    fixed = {k: xxhash.xxh3_64_intdigest(k) for k in KEYWORDS}
+
+    def token(t: str) -> int:
+        if t in fixed:
+            return fixed[t]
+        return xxhash.xxh3_64_intdigest("ID" if t.isidentifier() and t.isascii() else t)
 
-    Windows are counted by their hash in one partial aggregation; places are not paired with each other.
+    top = pow(_PRIME, n, 2**64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, at = [], []
+                for number, line in enumerate((text or "").splitlines(), 1):
+                    found = [token(t) for t in _TOKEN.findall(line)]
+                    ids += found
+                    at += [number] * len(found)
+                if len(ids) < n:
+                    continue
+                # a polynomial over the tokens before each place; a window is the difference of two
+                with np.errstate(over="ignore"):
+                    h = np.empty(len(ids) + 1, dtype=np.uint64)
+                    h[0] = acc = 0
+                    for i, x in enumerate(ids):
+                        acc = (acc * _PRIME + x) & 0xFFFFFFFFFFFFFFFF
+                        h[i + 1] = acc
+                    w = (h[n:] - h[: len(ids) - n + 1] * np.uint64(top)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(w)), pa.array(np.array(at[: len(w)], dtype=np.int32)), pa.array(w)], names=["file", "line", "hash"])
+
+    return run
+
+
+def duplicate_windows(files: DataFrame, n: int = 50, top: int = 20) -> DataFrame:
+    """(hash, places, files, first_file, first_line): the ``top`` most repeated windows of n tokens of (file, content), names made equal.
+
+    A window counts where it stands in two files, or twice in one at least n lines apart.  Every window is a class with its number of places;
+    places are counted in a partial aggregation and not paired with each other.
     """
-    t = lines.where(F.btrim("text") != "").select("file", "line_no", F.btrim("text").alias("text"))
-    w = W.partitionBy("file").orderBy("line_no")
-    parts = [F.col("text"), *[F.lead("text", i).over(w) for i in range(1, n)]]
-    t = t.withColumns({f"__{i}": p for i, p in enumerate(parts)}).where(F.col(f"__{n - 1}").isNotNull())
+    w = files.select("file", "content").mapInArrow(_windows(n), "file string, line int, hash long")
+    per_file = w.groupBy("hash", "file").agg(F.count(F.lit(1)).alias("c"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    g = per_file.groupBy("hash").agg(F.sum("c").alias("places"), F.count(F.lit(1)).alias("files"), F.min(F.struct("file", "lo")).alias("f"), F.max(F.col("hi") - F.col("lo")).alias("apart"))
+    return g.where((F.col("files") >= 2) | (F.col("apart") >= n)).orderBy(F.col("places").desc(), "f.file", "f.lo", "hash").limit(top).select(
+        "hash", "places", "files", F.col("f.file").alias("first_file"), F.col("f.lo").alias("first_line")
+    )
+
+
+def repeated_lines(lines: DataFrame, n: int = 3, top: int = 20) -> DataFrame:
+    """The most repeated windows of n neighbouring non-blank lines: hash, places, files and the first place."""
+    t = with_borders(lines.where(F.btrim("text") != "").select("file", "line_no", F.btrim("text").alias("text")), 0, n - 1)
+    parts = [F.col("text"), *[F.when(F.lead("line_no", i).over(near()) == F.col("line_no") + i, F.lead("text", i).over(near())) for i in range(1, n)]]
+    t = t.withColumns({f"__{i}": p for i, p in enumerate(parts)}).where("not __copy")
+    for i in range(1, n):
+        t = t.where(F.col(f"__{i}").isNotNull())
     t = t.select("file", "line_no", F.substring(F.sha2(F.concat_ws("\n", *[f"__{i}" for i in range(n)]), 256), 1, 16).alias("hash"))
     g = t.groupBy("hash").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("file").alias("files"), F.min(F.struct("file", "line_no")).alias("f"))
     return g.where("places >= 2").orderBy(F.col("places").desc(), "hash").limit(top).select("hash", "places", "files", F.col("f.file").alias("first_file"), F.col("f.line_no").alias("first_line"))
@@ -125,15 +184,48 @@ def lookalikes(names: DataFrame, name: str, popular: DataFrame) -> DataFrame:
     return j.groupBy("name").agg(F.min(F.struct("distance", "popular")).alias("m")).select("name", "m.popular", "m.distance")
 
 
-def risk(text: Column) -> Column:
-    """Logistic risk score of a text from counts of risky constructs; our own weights."""
-    weights = {r"(?i)\b(?:eval|exec)\b": 1.6, r"(?i)\bselect\b": 0.8, r"(?i)password|secret|token": 0.9, r"(?i)\bcatch\b": 0.4, r"(?i)\bnull\b": 0.3, r"(?i)\bhttp": 0.2}
-    z = F.lit(-2.0)
-    for pattern, w in weights.items():
-        z = z + w * F.least(F.regexp_count(text, F.lit(pattern)), F.lit(5))
+#: Weights of a function's features, and the words two of them count.
+RISK_WEIGHTS = {"calls": 0.10, "branches": 0.05, "loops": 0.08, "sensitive": 0.30, "unsafe": 0.45, "arguments": 0.02, "handles": -0.10, "length": 0.005}
+SENSITIVE_TOKENS = (
+    r"(?i)\b(?:password|secret|token|key|admin|root|exec|eval|sql|query|delete|update|insert|drop|system|cmd|shell|os\.|subprocess|pickle|yaml\.load|innerHTML|document\.write|dangerouslySetInnerHTML)\b"
+)
+UNSAFE_LIBRARIES = r"\b(?:md5|sha1|DES|ECB|PKCS1_v1_5|random\.|Math\.random|strcpy|gets|sprintf)\b"
+
+
+def risk_features(body: Column, arguments: Column) -> dict[str, Column]:
+    """The eight features of a function's body and argument list."""
+    n = lambda p: F.regexp_count(body, F.lit(p)).cast("double")
+    args = F.filter(F.split(arguments, ","), lambda a: F.btrim(a) != "")
+    return {
+        "calls": n(r"\w+\s*\("), "branches": n(r"\bif\b|\belif\b|\belse\b"), "loops": n(r"\bfor\b|\bwhile\b"), "sensitive": n(SENSITIVE_TOKENS), "unsafe": n(UNSAFE_LIBRARIES),
+        "arguments": F.size(args).cast("double"), "handles": F.when(body.rlike(r"\btry\b|\bcatch\b|\bexcept\b"), 1.0).otherwise(0.0), "length": n(r"\n"),
+    }
+
+
+def risk(body: Column, arguments: Column | None = None) -> Column:
+    """Logistic risk score of a function's body, between 0 and 1."""
+    f = risk_features(body, F.lit("") if arguments is None else arguments)
+    z = F.lit(0.0)
+    for name, w in RISK_WEIGHTS.items():
+        z = z + w * f[name]
     return 1 / (1 + F.exp(-z))
 
 
+def trigram_counts(text: Column) -> Column:
+    """Map of the character trigrams of a lower-case text to their number; shorter texts have none."""
+    low = F.lower(text)
+    n = F.greatest(F.length(low) - 2, F.lit(0))
+    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.map_from_entries(F.transform(F.array_distinct(grams), lambda g: F.struct(g, F.size(F.filter(grams, lambda x: x == g)))))
+
+
+def frequency_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two maps of trigram frequencies, 0 where one is empty."""
+    dot = F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)))
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, v: acc + v * v))
+    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
+
+
 def informativeness(confidence: Column, novelty: Column, diversity: Column) -> Column:
     """What a label would teach: half uncertainty, three tenths novelty, two tenths diversity."""
     return 0.5 * (1 - F.abs(2 * confidence - 1)) + 0.3 * novelty + 0.2 * diversity

@@ -22,10 +22,16 @@ def run_difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "k", "full").select("k", change.alias("change"))
 
 
-def merge_review(base: DataFrame, head: DataFrame) -> DataFrame:
-    """One row: new and fixed findings between two revisions and the recommendation: critical blocks, high asks for changes, else approve."""
+def merge_review(base: DataFrame, head: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """One row: new and fixed findings between two revisions and the recommendation: critical blocks, high asks for changes, else approve.
+
+    With ``changed`` (file), only new findings in those files count.
+    """
+    every = head
+    if changed is not None:
+        head = head.join(changed.select("file").distinct(), "file", "left_semi")
     new = head.join(base.select("fingerprint").distinct(), "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
-    fixed = base.join(head.select("fingerprint").distinct(), "fingerprint", "left_anti").select("fingerprint").distinct().agg(F.count(F.lit(1)).alias("fixed"))
+    fixed = base.join(every.select("fingerprint").distinct(), "fingerprint", "left_anti").select("fingerprint").distinct().agg(F.count(F.lit(1)).alias("fixed"))
     counts = new.agg(F.count(F.lit(1)).alias("new"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
     advice = F.when(F.col("critical") > 0, "block").when(F.col("high") > 0, "request_changes").otherwise("approve")
     return counts.crossJoin(fixed).withColumn("recommendation", advice)  # one row each
@@ -91,3 +97,14 @@ def tangled(changes: DataFrame, files: int = 5, folders: int = 3) -> DataFrame:
     return changes.groupBy("commit").agg(F.countDistinct("file").alias("files"), F.countDistinct(top).alias("folders")).where(
         (F.col("files") >= files) & (F.col("folders") >= folders)
     )
+
+
+def hotspots(changes: DataFrame, complexity: DataFrame, last: Column, days: int = 90, least: int = 10, complex_from: int = 15) -> DataFrame:
+    """(file, changes, complexity): files with many changes in the last days that are complex too; ``complexity`` has (file, complexity)."""
+    return churn(changes, last, days, least).join(complexity, "file").where(F.col("complexity") >= complex_from).select("file", "changes", "complexity")
+
+
+def latest_issues(issues: DataFrame, limit: int = 50) -> DataFrame:
+    """The issues seen last, a fingerprint once with its latest sight."""
+    one = issues.where("fingerprint is not null").groupBy("fingerprint").agg(F.max("last_seen").alias("last_seen"))
+    return one.orderBy(F.col("last_seen").desc_nulls_last(), "fingerprint").limit(limit)

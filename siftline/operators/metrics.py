@@ -2,42 +2,116 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BRANCHES = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
-OPERATORS = r"[-+*/%=<>!&|^~?:]+"
-OPERANDS = r"\b[A-Za-z_]\w*\b|\b\d+(?:\.\d+)?\b"
+#: What counts as a branch, an operator and an operand.
+BRANCHES = r"\b(?:if|else if|else|for|while|do|case|catch|&&|\|\||\?\s*[^:]*(?=:))\b"
+OPERATORS = (
+    r"\+|\-|\*|/|%|=|==|!=|===|!==|<|>|<=|>=|&&|\|\||!|&|\||\^|<<|>>|\?|:|\+\+|\-\-|\+=|\-=|\*=|/=|%=|\.|\bnew\b|\btypeof\b|\binstanceof\b|\bin\b"
+)
+OPERANDS = r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b|\b\d+(?:\.\d+)?\b"
 
 
 def nesting(text: Column) -> Column:
-    """Deepest nesting of braces."""
-    braces = F.regexp_extract_all(text, F.lit(r"([{}])"), F.lit(1))
+    """Deepest nesting of brackets of all three kinds; one that closes nothing takes a level below the ground."""
+    brackets = F.regexp_extract_all(text, F.lit(r"([{}\[\]()])"), F.lit(1))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    step = lambda a, b: F.struct(
-        F.greatest(F.lit(0), a["now"] + F.when(b == "{", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(b == "{", 1).otherwise(-1)).alias("most")
-    )
-    return F.aggregate(braces, start, step, lambda a: a["most"])
+
+    def step(a, b):
+        now = a["now"] + F.when(b.isin("{", "[", "("), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda a: a["most"])
+
+
+def toxicity(cyclomatic: Column, depth: Column, parameters: Column, difficulty: Column, lines: Column) -> Column:
+    """0 to 100: a blend of branches, nesting, parameters, difficulty and length."""
+    part = lambda most, x: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), x))
+    blend = part(40, (cyclomatic - 5) * 4) + part(25, depth * 6) + part(15, (parameters - 3) * 4) + part(15, difficulty / 4.0) + part(5, (lines - 50) / 10.0)
+    return F.round(F.least(F.lit(100.0), blend), 1)
+
+
+def grade(score: Column) -> Column:
+    """A to F of a toxicity."""
+    return F.when(score < 10, "A").when(score < 25, "B").when(score < 45, "C").when(score < 65, "D").when(score < 85, "E").otherwise("F")
 
 
 def code_metrics(files: DataFrame) -> DataFrame:
-    """(file, lines, cyclomatic, nesting, volume, toxicity, grade) of (file, content), all JVM-side."""
+    """(file, lines, cyclomatic, nesting, volume, difficulty, toxicity, grade) of (file, content), all JVM-side; a ``parameters`` column is optional."""
     c = F.col("content")
     ops, words = F.regexp_extract_all(c, F.lit(f"({OPERATORS})"), F.lit(1)), F.regexp_extract_all(c, F.lit(f"({OPERANDS})"), F.lit(1))
-    n, vocabulary = F.size(ops) + F.size(words), F.size(F.array_distinct(ops)) + F.size(F.array_distinct(words))
+    n1, n2, m1, m2 = F.size(F.array_distinct(ops)), F.size(F.array_distinct(words)), F.size(ops), F.size(words)
+    some = (m1 > 0) & (m2 > 0)
+    parameters = F.col("parameters") if "parameters" in files.columns else F.lit(0)
     m = files.where(c.isNotNull()).select(
-        "file", (F.regexp_count(c, F.lit(r"\n")) + 1).alias("lines"), (F.regexp_count(c, F.lit(BRANCHES)) + 1).alias("cyclomatic"), nesting(c).alias("nesting"),
-        (n * F.log2(F.greatest(vocabulary, F.lit(1)).cast("double"))).alias("volume"),
+        "file", (F.regexp_count(c, F.lit(r"\n")) + 1).alias("lines"), (F.regexp_count(c, F.lit(BRANCHES)) + 1).alias("cyclomatic"), nesting(c).alias("nesting"), parameters.alias("parameters"),
+        F.when(some, (m1 + m2) * F.log2(F.greatest(n1 + n2, F.lit(2)).cast("double"))).otherwise(0.0).alias("volume"), F.when(some, n1 / 2.0 * (m2 / F.greatest(n2, F.lit(1)))).otherwise(0.0).alias("difficulty"),
     )
-    over = lambda x, limit: F.greatest(F.lit(0.0), F.col(x) / limit - 1)
-    m = m.withColumn("toxicity", over("lines", 300.0) + over("cyclomatic", 10.0) + over("nesting", 4.0) + over("volume", 8000.0))
-    grade = F.when(F.col("toxicity") < 0.5, "A").when(F.col("toxicity") < 1.5, "B").when(F.col("toxicity") < 3, "C").when(F.col("toxicity") < 6, "D").otherwise("F")
-    return m.withColumn("grade", grade)
+    m = m.withColumn("toxicity", toxicity(F.col("cyclomatic"), F.col("nesting"), F.col("parameters"), F.col("difficulty"), F.col("lines")))
+    return m.withColumn("grade", grade(F.col("toxicity"))).drop("parameters")
+
+
+#: A comment, or a literal that stays as an empty pair of its marks; by the language's comment marks.
+_HASH = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|#[^\n]*"
+_SLASH = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|//[^\n]*"
+
+
+def stripped(content: Column, file: Column) -> Column:
+    """Text without comments and without what strings hold, line by line as it was: line ends stay, so line numbers do too.
+
+    Python's triple-quoted strings and block comments keep only their line ends.
+    """
+    from siftline.operators.scan import language_of
+
+    def only_ends(c: Column, opening: str, closing: str, body: str) -> Column:
+        # inside a block everything but line ends goes: a character with the block's end ahead and no other opening before it
+        pieces = F.split(c, opening)
+        first = F.get(pieces, F.lit(0))
+        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.concat(
+            F.regexp_replace(F.regexp_extract(p, rf"(?s)^(.*?)(?:{closing}|\z)", 1), r"[^\n]", ""), F.regexp_extract(p, rf"(?s)^.*?(?:{closing}|\z)(.*)$", 1)
+        ))
+        return F.concat(first, F.array_join(rest, ""))
+
+    language = language_of(file)
+    triple = F.split(content, '\"\"\"')
+    docless = F.array_join(F.transform(triple, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"[^\n]", "")).otherwise(p)), "")
+    empty = lambda c, p: F.regexp_replace(F.regexp_replace(c, p, "$1"), r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "''")
+    hashed = language.isin("python", "ruby", "bash", "r", "perl", "elixir", "julia")
+    return F.when(hashed, empty(docless, _HASH)).otherwise(empty(only_ends(content, r"/\*", r"\*/", "block"), _SLASH))
+
+
+def balanced_block(text: Column, start: Column) -> Column:
+    """The block in braces that begins at ``start`` (from 1), quotes and escapes honoured; empty where none begins there, and just the rest of nothing where it never ends."""
+    @F.pandas_udf("string")
+    def block(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        def one(t, at):
+            if t is None or pd.isna(at) or not 0 < at <= len(t) or t[int(at) - 1] != "{":
+                return ""
+            depth, quote, i, begin = 0, "", int(at) - 1, int(at) - 1
+            while i < len(t):
+                ch = t[i]
+                if quote:
+                    i += ch == "\\"
+                    quote = "" if ch == quote else quote
+                elif ch in "\"'`":
+                    quote = ch
+                else:
+                    depth += (ch == "{") - (ch == "}")
+                    if not depth:
+                        return t[begin : i + 1]
+                i += 1
+            return ""
+
+        return pd.Series([one(t, s) for t, s in zip(texts, starts)], dtype=object)
+
+    return block(text, start)
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
-    chars = F.array_sort(F.split(text, ""))
+    chars = F.split(text, "")
     n = F.size(chars)
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
     return F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))

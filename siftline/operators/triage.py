@@ -141,8 +141,9 @@ def calibration_bins(points: DataFrame) -> DataFrame:
 
 
 def calibrated(findings: DataFrame, bins: DataFrame) -> DataFrame:
-    """Replace confidence by its bin's accuracy where the bin has at least 5 points; at most ten bins are broadcast."""
-    b = bins.where("total >= 5").select("bin", "accuracy")
+    """Replace confidence by its bin's accuracy where the bin has at least 5 points, if there are at least 5 at all; at most ten bins are broadcast."""
+    enough = bins.agg(F.sum("total").alias("__all"))
+    b = bins.where("total >= 5").crossJoin(F.broadcast(enough)).where("__all >= 5").select("bin", "accuracy")  # one row
     out = findings.withColumn("bin", F.least(F.lit(9), F.floor(F.col("confidence") * 10)).cast("int")).join(F.broadcast(b), "bin", "left")
     return out.withColumn("confidence", F.coalesce("accuracy", "confidence")).drop("bin", "accuracy")
 
@@ -184,6 +185,17 @@ def at_strictness(findings: DataFrame, level: int) -> DataFrame:
     return findings.where(F.col("severity").isin(*STRICTNESS[min(9, max(1, level))]))
 
 
+#: Decisions that block at each strictness level; what is no block but a warning.
+BLOCKS = {level: ("block", "warn") if level == 9 else ("block",) for level in STRICTNESS}
+WARNS = ("warn",)
+
+
+def verdict_at(decision: Column, level: int) -> Column:
+    """``block``, ``warn`` or ``pass`` of a decision at a strictness level; blocking comes before warning."""
+    blocks = BLOCKS[min(9, max(1, level))]
+    return F.when(decision.isin(*blocks), "block").when(decision.isin(*WARNS), "warn").otherwise("pass")
+
+
 def with_profile(findings: DataFrame, min_severity: str, disabled: tuple[str, ...] = (), enabled: tuple[str, ...] = ()) -> DataFrame:
     """Findings of a profile: at least a severity, without disabled rules unless enabled again."""
     off = [r for r in disabled if r not in enabled]
@@ -191,6 +203,82 @@ def with_profile(findings: DataFrame, min_severity: str, disabled: tuple[str, ..
     return ranked.where(~F.col("rule_id").isin(*off)) if off else ranked
 
 
+#: The built-in profiles with the least severity, disabled rules, paths and decisions that block.
+PROFILES = {
+    "minimal": ("critical", (), (), ("block",)), "relaxed": ("high", (), (), ("block",)), "default": ("low", (), (), ("block",)), "strict": ("info", (), (), ("block", "warn")),
+    "tests": ("medium", ("lintr-line-length", "detekt-magic-number", "detekt-long-parameter-list", "detekt-too-long-method", "spotbugs-unused-param"), ("tests/**", "test_*.py", "*_test.py"), ("block",)),
+    "production": ("low", (), ("auth/**", "crypto/**", "payment/**", "pii/**"), ("block", "warn")), "legacy": ("critical", (), (), ()),
+}
+#: Profiles that are tried for a file, in order.
+BY_PATH = ("production", "tests", "legacy")
+
+
+def profile_of(name: str, custom: dict[str, dict] | None = None) -> dict:
+    """A profile with what it inherits: lists are joined, a given value counts before the parent's, ``low`` counts as not given."""
+    own = dict((custom or {}).get(name) or {})
+    if not own and name in PROFILES:
+        least, off, paths, block = PROFILES[name]
+        own = {"min_severity": least, "disabled_rules": off, "paths": paths, "block_on": block}
+    parent = profile_of(own["extends"], custom) if own.get("extends") else {}
+    least = own.get("min_severity", "low")
+    joined = lambda k: tuple(sorted(set(own.get(k, ())) | set(parent.get(k, ()))))
+    return {
+        "min_severity": parent.get("min_severity", "low") if least == "low" and parent else least, "disabled_rules": joined("disabled_rules"), "enabled_rules": joined("enabled_rules"),
+        "paths": tuple(own.get("paths", ())) or parent.get("paths", ()), "block_on": tuple(own.get("block_on", ())) or parent.get("block_on", ("block",)),
+    }
+
+
+def profile_name(file: Column, custom: dict[str, dict] | None = None) -> Column:
+    """The first profile of BY_PATH one of whose globs fits a path, else ``default``; a glob's star crosses folders."""
+    out = F.lit("default")
+    for name in reversed(BY_PATH):
+        globs = profile_of(name, custom)["paths"]
+        if globs:
+            import fnmatch
+
+            fits = "|".join(fnmatch.translate(g).replace("(?s:", "(?:").replace(r"\z", "$").replace(r"\Z", "$") for g in globs)
+            out = F.when(file.rlike(f"^(?:{fits})"), name).otherwise(out)
+    return out
+
+
+def with_profiles(findings: DataFrame, custom: dict[str, dict] | None = None) -> DataFrame:
+    """Findings under the profile of their file."""
+    name, rank = profile_name(F.col("file"), custom), severity_rank(F.col("severity"))
+    keep = F.lit(True)
+    for p in ("default", *BY_PATH):
+        chosen = profile_of(p, custom)
+        fits = rank >= severity_rank(F.lit(chosen["min_severity"]))
+        off = [r for r in chosen["disabled_rules"] if r not in chosen["enabled_rules"]]
+        if off:
+            fits = fits & ~F.coalesce(F.col("rule_id"), F.lit("")).isin(*off)
+        keep = F.when(name == p, fits).otherwise(keep)
+    return findings.where(keep)
+
+
+def without_known_false(findings: DataFrame, issues: DataFrame) -> DataFrame:
+    """Findings whose fingerprint no issue in the state false_positive has."""
+    from siftline.functions.keys import key_of, state_of
+
+    false = issues.where(state_of(F.col("state")) == "false_positive").select(key_of(F.col("fingerprint")).alias("__k")).where("__k is not null").distinct()
+    return findings.join(false, key_of(F.col("fingerprint")) == F.col("__k"), "left_anti")
+
+
+def once_per_fingerprint(findings: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The first finding per fingerprint, as a scan of changes keeps it; by a partial aggregation."""
+    order = order or [c for c in ORDER if c != "fingerprint"]
+    rest = [c for c in findings.columns if c not in (*order, "fingerprint")]
+    first = findings.groupBy("fingerprint").agg(F.min(F.struct(*order, *rest)).alias("__row"))
+    return first.select(*[F.col("fingerprint") if c == "fingerprint" else F.col("__row")[c].alias(c) for c in findings.columns])
+
+
+def merged_engines(findings: DataFrame) -> DataFrame:
+    """The first finding per (rule without the pattern engine's prefix, file, line)."""
+    rule = F.regexp_replace("rule_id", r"^L0\.(?:semgrep|yaml):", "")
+    others = [c for c in findings.columns if c not in ORDER]
+    first = findings.groupBy(rule.alias("__r"), F.col("file").alias("__f"), F.col("start_line").alias("__l")).agg(F.min(F.struct(*ORDER, *others)).alias("__row"))
+    return first.select(*[F.col("__row")[c].alias(c) for c in findings.columns])
+
+
 def with_rule_config(findings: DataFrame, config: DataFrame) -> DataFrame:
     """Apply (rule_id, active, severity_override, include, exclude): path filters are regular expressions on the path."""
     c = config.select(F.col("rule_id").alias("__r"), "active", "severity_override", "include", "exclude")
@@ -231,6 +319,22 @@ def overall(decided: DataFrame) -> DataFrame:
     return decided.agg(F.coalesce(F.max_by("decision", p), F.lit("pass")).alias("final_decision"), F.count(F.lit(1)).alias("findings"))
 
 
+#: Our own presets of a gate: most critical, high, medium and low findings (-1 for any number) and most per 1,000 lines.
+GATES = {"strict": (0, 0, 10, 50, 5.0), "balanced": (0, 5, -1, -1, 10.0), "lenient": (5, 20, -1, -1, 50.0)}
+
+
+def gate(findings: DataFrame, lines: DataFrame, preset: str = "balanced") -> DataFrame:
+    """The quality gate of a preset over as many lines as there are."""
+    loc = lines.agg(F.count(F.lit(1)).alias("loc"))
+    c = findings.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")]).crossJoin(loc)  # one row each
+    most = dict(zip(("critical", "high", "medium", "low"), GATES[preset]))
+    density = F.col("total") / F.greatest(F.lit(1.0), F.col("loc") / 1000.0)
+    ok = density <= GATES[preset][4]
+    for s, m in most.items():
+        ok = ok & (F.lit(m < 0) | (F.col(s) <= m))
+    return c.withColumns({"density": density, "passed": ok})
+
+
 def quality_gate(findings: DataFrame, loc: int, max_critical: int, max_high: int, max_medium: int = -1, max_low: int = -1, max_density: float = 10.0) -> DataFrame:
     """One row of counts by severity, density per 1,000 lines and whether every threshold holds; -1 sets no limit."""
     counts = findings.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")])
@@ -251,12 +355,41 @@ def layer_reliability(stats: DataFrame) -> DataFrame:
     return t.withColumn("reliability", F.when(mean == 0, 0.5).otherwise(mean))
 
 
+#: Words of a missing check and of what may follow from it.
+CHECK_WORDS = ("missing", "validation", "unchecked", "no_check", "nullness", "none", "guard", "precondition")
+CONSEQUENCE_WORDS = ("injection", "eval", "exec", "traversal", "xss", "ssrf", "redirect", "dereference")
+
+
+def _speaks_of(words) -> Column:
+    return F.lower(F.concat_ws(" ", "rule_id", "message")).rlike("|".join(words))
+
+
 def root_causes(findings: DataFrame, reach: int = 30) -> DataFrame:
-    """Validation findings with the consequences in the next ``reach`` lines of their file: (file, line, rule_id, consequences)."""
-    cause = findings.where(F.lower("rule_id").rlike("unescaped|from-input|literal")).select("file", F.col("start_line").alias("line"), "rule_id").distinct()
-    rest = findings.select(F.col("file").alias("__f"), F.col("start_line").alias("__l"), F.col("fingerprint").alias("__k")).distinct()
-    # both sides meet by file and block of lines, so a file with most findings is spread over its blocks
-    a = cause.withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("line") + 1) / reach), F.floor((F.col("line") + reach) / reach)))))
-    b = rest.withColumn("__b", F.floor(F.col("__l") / reach))
-    j = a.join(b, (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b")) & (F.col("__l") > F.col("line")) & (F.col("__l") <= F.col("line") + reach))
-    return j.groupBy("file", "line", "rule_id").agg(F.countDistinct("__k").alias("consequences"))
+    """Causes and what follows from them: (file, cause_line, cause, kind, findings), without regard to the order in which causes are met.
+
+    ``missing_validation``: a finding that speaks of a missing check, with the consequences in the next ``reach`` lines of its file, each of
+    which counts for the nearest check before it.  ``shared_cwe``: two or more other findings of a weakness in a file; the first is the cause.
+    ``shared_source``: two or more flows from one source in a file (findings of a taint rule; the source is a ``source`` column where there
+    is one, else the last word of the message); the first is the cause.  A finding that stands in a cluster of checks is in none of the others.
+    """
+    source = F.col("source") if "source" in findings.columns else F.regexp_extract("message", r"(\w+)\W*$", 1)
+    f = findings.where("file is not null and start_line is not null").select(
+        "file", "start_line", "fingerprint", "rule_id", "message", "cwe", _speaks_of(CHECK_WORDS).alias("check"), source.alias("source")
+    ).distinct().withColumn("follows", ~F.col("check") & _speaks_of(CONSEQUENCE_WORDS))
+    checks = f.where("check").groupBy("file", "start_line").agg(F.min("fingerprint").alias("cause"))
+    # checks and consequences meet by file and block of lines, so a file with most findings is spread over its blocks
+    a = checks.select("file", F.col("start_line").alias("cause_line"), "cause", F.explode(F.array_distinct(F.array(F.floor((F.col("start_line") + 1) / reach), F.floor((F.col("start_line") + reach) / reach)))).alias("block"))
+    b = f.where("follows").select("file", "start_line", "fingerprint", F.floor(F.col("start_line") / reach).alias("block"))
+    pairs = b.join(a, ["file", "block"]).where((F.col("start_line") > F.col("cause_line")) & (F.col("start_line") <= F.col("cause_line") + reach))
+    nearest = pairs.groupBy("file", "start_line", "fingerprint").agg(F.max(F.struct("cause_line", "cause")).alias("c")).select("file", "fingerprint", "c.cause_line", "c.cause")
+    validation = nearest.groupBy("file", "cause_line", "cause").agg(F.count(F.lit(1)).alias("findings")).select("file", "cause_line", "cause", F.lit("missing_validation").alias("kind"), "findings")
+    used = nearest.select("fingerprint").unionByName(nearest.select(F.col("cause").alias("fingerprint"))).distinct()
+    rest = f.join(used, "fingerprint", "left_anti")
+
+    def shared(rows: DataFrame, by: str, kind: str) -> DataFrame:
+        g = rows.groupBy("file", by).agg(F.min(F.struct("start_line", "fingerprint")).alias("c"), F.countDistinct("fingerprint").alias("n")).where("n >= 2")
+        return g.select("file", F.col("c.start_line").alias("cause_line"), F.col("c.fingerprint").alias("cause"), F.lit(kind).alias("kind"), (F.col("n") - 1).alias("findings"))
+
+    weakness = shared(rest.where("cwe is not null and cwe <> ''"), "cwe", "shared_cwe")
+    flows = shared(rest.where(F.lower("rule_id").contains("taint") & (F.coalesce("source", F.lit("")) != "")), "source", "shared_source")
+    return validation.unionByName(weakness).unionByName(flows)

@@ -50,10 +50,11 @@ def baseline_known(spark, sf):
     return h.against_baseline(_current(spark, sf), _baseline(spark, sf))[1].groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_BASE} select fingerprint from base anti join cur using (fingerprint)")
+@query(f"with {_BASE}, h as (select distinct {sql_key('fingerprint')} fingerprint from issue_history where {sql_key('fingerprint')} is not null) select fingerprint from h anti join cur using (fingerprint)")
 def baseline_resolved(spark, sf):
-    """Baseline entries that are no issue any more."""
-    return h.against_baseline(_current(spark, sf), _baseline(spark, sf))[2]
+    """Entries of the change feed, taken as a baseline, that are no issue any more."""
+    feed = table(spark, sf, "issue_history").select(key_of(F.col("fingerprint")).alias("fingerprint")).where("fingerprint is not null")
+    return h.against_baseline(_current(spark, sf), feed)[2]
 
 
 def _ends(spark, sf):
@@ -137,11 +138,51 @@ def _changes(spark, sf):
     return hist.where("author is not null").join(files, "f").where("file is not null").select("file", "author", "at", F.concat_ws("/", F.to_date("at").cast("string"), "author").alias("commit"))
 
 
-@query(f"with {_CHANGES} select file, count(*) changes from ch where tm > (select cast(cast(max(\"timestamp\") as date) - interval 90 day as timestamp) from issue_history) group by 1 having count(*) >= 10")
+@query(f"with {_CHANGES}, c as (select file, count(*) changes from ch where tm > (select cast(cast(max(\"timestamp\") as date) - interval 365 day as timestamp) from issue_history) group by 1 having count(*) >= 10), k as (select file, count(distinct rule_id) complexity from issues where file is not null group by 1) select file, changes, complexity from c join k using (file) where complexity >= 15")
 def churn_hotspots(spark, sf):
-    """Files with at least ten changes in the last 90 days of the feed."""
+    """Files with at least ten changes in the last year of the feed and at least fifteen kinds of issue."""
     last = table(spark, sf, "issue_history").agg(F.max("timestamp").alias("last"))
-    return h.churn(_changes(spark, sf).crossJoin(F.broadcast(last)), F.to_date("last"))  # one row
+    kinds = table(spark, sf, "issues").where("file is not null").groupBy("file").agg(F.countDistinct("rule_id").alias("complexity"))
+    return h.hotspots(_changes(spark, sf).crossJoin(F.broadcast(last)), kinds, F.to_date("last"), 365)  # one row
+
+
+@query("with k as (select snapshot_no, file, count(*) n from issue_snapshots where file is not null group by all), e as (select min(snapshot_no) lo, max(snapshot_no) hi from issue_snapshots) select a.file, a.n before, b.n now from k a join k b using (file) join e on a.snapshot_no = lo and b.snapshot_no = hi where b.n > a.n * 1.5")
+def growing_files(spark, sf):
+    """Files whose number of records grew by more than half between the first and the last snapshot."""
+    from siftline.operators import codebase as cb
+
+    sizes = lambda df: df.where("file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    old, new = _ends(spark, sf)
+    return cb.grown(sizes(old), sizes(new), "file", "n")
+
+
+@query("select fingerprint, max(last_seen) last_seen from issues where fingerprint is not null group by 1 order by last_seen desc nulls last, fingerprint limit 50")
+def latest_issues(spark, sf):
+    """The fifty issues seen last."""
+    return h.latest_issues(table(spark, sf, "issues"))
+
+
+@query("with n as (select distinct rule_id as name, message summary, file, line from issues), s as (select *, case when contains(lower(coalesce(name, '')), 'path') then 3 else 0 end + case when contains(lower(coalesce(summary, '')), 'path') then 2 else 0 end + case when contains(lower(coalesce(file, '')), 'path') then 1 else 0 end score from n) select name, file, line, score from s where score > 0 order by score desc, name nulls first, file nulls first, line nulls first limit 20")
+def graph_search(spark, sf):
+    """The twenty nodes that fit a word best."""
+    from siftline.operators import codebase as cb
+
+    nodes = table(spark, sf, "issues").select(F.col("rule_id").alias("name"), F.col("message").alias("summary"), "file", "line").distinct()
+    return cb.search(nodes, "path").select("name", "file", "line", "score")
+
+
+_NORM = "case when regexp_matches(tok, '^[A-Za-z_][A-Za-z0-9_]*$') and tok not in (" + ", ".join(f"'{k}'" for k in a.KEYWORDS) + ") then 'ID' else tok end"
+
+
+@query(f"""with {LINES_SQL}, tk as (select file, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}_]')) tok, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}_]'), 1) i from lines where regexp_matches(file, '^source_snapshots/')),
+n as (select file, line_no, {_NORM} tok, row_number() over (partition by file order by line_no, i) k, count(*) over (partition by file) m from tk), g as (select file, m, list(tok order by k) toks, list(line_no order by k) lns from n group by all),
+w as (select file, lns[s] line, array_to_string(toks[s:s + 29], chr(1)) body from (select *, unnest(range(1, m - 28)) s from g where m >= 30)),
+c as (select body, count(*) places, count(distinct file) files, min(row(file, line)) f, max(line) - min(line) apart from w group by 1), pf as (select body, max(hi - lo) apart from (select body, file, min(line) lo, max(line) hi from w group by all) group by 1)
+select places, files, f[1] first_file, f[2] first_line from c join pf using (body) where files >= 2 or pf.apart >= 30 order by places desc, first_file, first_line limit 20""")
+def duplicate_tokens(spark, sf):
+    """The twenty most repeated windows of thirty tokens of source texts; the SQL compares the windows themselves."""
+    docs = table(spark, sf, "documents").where("source = 'source_snapshots'").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
+    return a.duplicate_windows(docs, 30).select("places", "files", "first_file", "first_line")
 
 
 @query(f"with {_CHANGES}, f as (select file, arg_min(author, row(tm, author)) first_author, count(*) n from ch group by 1), o as (select file, author, count(*) own from ch group by all) select f.file, first_author, n, own, round(own / n, 6) as share from f join o on f.file = o.file and f.first_author = o.author where n > 8 and own / n < 0.4")
@@ -239,13 +280,13 @@ def debounce_sessions(spark, sf):
     return s.sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours")
 
 
-_DOCLINES = f"{LINES_SQL}, t as (select file, line_no, trim(text, ' ') as text from lines where trim(text, ' ') <> ''), w as (select file, line_no, text, lead(text, 1) over (partition by file order by line_no) l1, lead(text, 2) over (partition by file order by line_no) l2 from t)"
+_DOCLINES = f"{LINES_SQL}, t as (select file, line_no, trim(text, ' ') as text from lines where trim(text, ' ') <> ''), w as (select x.file, x.line_no, x.text, y.text l1, z.text l2 from t x left join t y on x.file = y.file and y.line_no = x.line_no + 1 left join t z on x.file = z.file and z.line_no = x.line_no + 2)"
 
 
-@query(f"with {_DOCLINES} select substr(sha256(text || chr(10) || l1 || chr(10) || l2), 1, 16) hash, count(*) places, count(distinct file) files, arg_min(file, row(file, line_no)) first_file, arg_min(line_no, row(file, line_no)) first_line from w where l2 is not null group by 1 having count(*) >= 2 order by places desc, hash limit 20")
+@query(f"with {_DOCLINES} select substr(sha256(text || chr(10) || l1 || chr(10) || l2), 1, 16) hash, count(*) places, count(distinct file) files, arg_min(file, row(file, line_no)) first_file, arg_min(line_no, row(file, line_no)) first_line from w where l1 is not null and l2 is not null group by 1 having count(*) >= 2 order by places desc, hash limit 20")
 def dup_line_windows(spark, sf):
     """The twenty most repeated windows of three lines."""
-    return a.duplicate_windows(lines(spark, sf))
+    return a.repeated_lines(lines(spark, sf))
 
 
 @query("with q as (select vec_id, embedding from embeddings where vec_id % 100 = 0), p as (select q.vec_id as query, e.vec_id neighbour, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) c from q join embeddings e on q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query order by c desc, neighbour) as rank from p) select query, neighbour, round(c, 5) cosine, rank from r where rank <= 5")
@@ -275,8 +316,18 @@ def typosquat_levenshtein(spark, sf):
     return a.lookalikes(table(spark, sf, "issue_batches").select(low.alias("rule")), "rule", popular)
 
 
-_DEPS = [("maven", "core", "1.2.9"), ("maven", "core", "1.10.0"), ("maven", "web", "2.0"), ("pip", "core", "0.9"), ("pip", "net", "3.1.4")]
-_ADV = [("V-1", "maven", "core", "<1.3"), ("V-2", "maven", "core", "1.2-1.11"), ("V-3", "maven", "web", "<=2.0"), ("V-4", "pip", "net", "3.1.4"), ("V-5", "pip", "core", "<0.9")]
+_ADV = [("V-1", "python", "path-escape", "<1.3"), ("V-2", "java", "path-escape", "1.2-1.11"), ("V-3", "python", "query-text-concat", "<=2.0"), ("V-4", "javascript", "number-unnamed", "3.1.4"), ("V-5", "java", "maybe-missing", "<0.9"), ("V-6", "java", "loop-of-queries", "1.0-3.5"), ("V-7", "python", "catch-everything", "<2.4")]
+_DEPS_SQL = "dp as (select distinct regexp_extract(rule_id, '^([a-z]+)-', 1) ecosystem, regexp_replace(rule_id, '^[a-z]+-', '') as name, cast(line % 4 as varchar) || '.' || cast(line % 13 as varchar) || case when line % 3 = 0 then '.' || cast(line % 5 as varchar) else '' end as version from issues where regexp_matches(rule_id, '^[a-z]+-[a-z-]+$') and line is not null)"
+
+
+def _deps(spark, sf):
+    """(ecosystem, name, version): rules as packages, with a version from their lines."""
+    n = F.col("line")
+    version = F.concat((n % 4).cast("string"), F.lit("."), (n % 13).cast("string"), F.when(n % 3 == 0, F.concat(F.lit("."), (n % 5).cast("string"))).otherwise(""))
+    rows = table(spark, sf, "issues").where(F.col("rule_id").rlike("^[a-z]+-[a-z-]+$") & n.isNotNull())
+    return rows.select(F.regexp_extract("rule_id", "^([a-z]+)-", 1).alias("ecosystem"), F.regexp_replace("rule_id", "^[a-z]+-", "").alias("name"), version.alias("version")).distinct()
+
+
 def _numbers(c: str) -> str:
     return f"list_transform(regexp_extract_all({c}, '\\d+'), lambda x: cast(x as integer))"
 
@@ -288,18 +339,23 @@ _IN_RANGE = f"""case when starts_with(spec, '<=') then {_numbers('version')} <=
   else {_numbers('version')} = {_numbers('spec')} end"""
 
 
-@query(f"with d(ecosystem, name, version) as (values {', '.join(map(str, _DEPS))}), v(id, ecosystem, name, spec) as (values {', '.join(map(str, _ADV))}) select id, ecosystem, name, version from d join v using (ecosystem, name) where {_IN_RANGE}")
+@query(f"with {_DEPS_SQL}, v(id, ecosystem, name, spec) as (values {', '.join(map(str, _ADV))}) select id, ecosystem, name, version from dp join v using (ecosystem, name) where {_IN_RANGE}")
 def version_range_join(spark, sf):
     """Dependencies in the affected range of an advisory."""
-    deps = spark.createDataFrame(_DEPS, "ecosystem string, name string, version string")
     adv = spark.createDataFrame(_ADV, "id string, ecosystem string, package string, affected_versions string")
-    return a.vulnerable(deps, adv).select("id", "ecosystem", "name", "version")
+    return a.vulnerable(_deps(spark, sf), adv).select("id", "ecosystem", "name", "version")
 
 
-@query(f"with {LINES_SQL} select doc_id, round(1 / (1 + exp(-(-2.0 + 1.6 * least(5, len(regexp_extract_all(text, '(?i)\\b(?:eval|exec)\\b'))) + 0.8 * least(5, len(regexp_extract_all(text, '(?i)\\bselect\\b'))) + 0.9 * least(5, len(regexp_extract_all(text, '(?i)password|secret|token'))) + 0.4 * least(5, len(regexp_extract_all(text, '(?i)\\bcatch\\b'))) + 0.3 * least(5, len(regexp_extract_all(text, '(?i)\\bnull\\b'))) + 0.2 * least(5, len(regexp_extract_all(text, '(?i)\\bhttp')))))), 6) risk from documents where text is not null")
+_COUNT = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+_RISK = " + ".join(f"{w} * {_COUNT(p)}" for w, p in (
+    (a.RISK_WEIGHTS["calls"], r"\w+\s*\("), (a.RISK_WEIGHTS["branches"], r"\bif\b|\belif\b|\belse\b"), (a.RISK_WEIGHTS["loops"], r"\bfor\b|\bwhile\b"), (a.RISK_WEIGHTS["sensitive"], a.SENSITIVE_TOKENS),
+    (a.RISK_WEIGHTS["unsafe"], a.UNSAFE_LIBRARIES), (a.RISK_WEIGHTS["length"], r"\n")))
+
+
+@query(f"select doc_id, round(1 / (1 + exp(-({_RISK} + {a.RISK_WEIGHTS['handles']} * case when regexp_matches(text, '\\btry\\b|\\bcatch\\b|\\bexcept\\b') then 1 else 0 end))), 6) risk from documents where text is not null and doc_kind = 'source'")
 def risk_logit(spark, sf):
-    """Logistic risk score of every text."""
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.round(a.risk(F.col("text")), 6).alias("risk"))
+    """Logistic risk score of every source text, taken as one body."""
+    return table(spark, sf, "documents").where("text is not null and doc_kind = 'source'").select("doc_id", F.round(a.risk(F.col("text")), 6).alias("risk"))
 
 
 @query(f"with {FINDINGS_SQL}, n as (select rule_id, count(*) n from findings group by 1), e as (select file, count(distinct rule_id) d from findings group by 1), x as (select distinct fingerprint, round(0.5 * (1 - abs(2 * confidence - 1)) + 0.3 / n.n + 0.2 * least(1.0, e.d / 50.0), 6) info from findings f join n using (rule_id) join e on e.file = f.file) select fingerprint, info from x order by info desc, fingerprint limit 20")
@@ -432,16 +488,25 @@ def resolution_notes(spark, sf):
     return table(spark, sf, "issues").where("resolution_note is not null and trim(resolution_note) <> ''").groupBy(F.col("resolution_note").alias("note"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"with {FINDINGS_SQL} select engine, count(*) results, count(distinct rule_id) rules from findings group by 1")
 def sarif_nested(spark, sf):
-    """Nested report document per engine, one row per rule with its results."""
-    return sarif(findings(spark, sf))
+    """Report documents per engine, with the number of their results and rules."""
+    doc = F.from_json("report", "runs array<struct<tool struct<driver struct<rules array<struct<id string>>>>, results array<struct<ruleId string>>>>")
+    d = sarif(findings(spark, sf)).select("engine", doc["runs"][0].alias("r"))
+    return d.select("engine", F.size("r.results").alias("n"), F.explode("r.tool.driver.rules.id").alias("rule"), F.col("r.results").alias("rs")).groupBy("engine", "rs").agg(
+        F.max("n").alias("n"), F.collect_set("rule").alias("rules")
+    ).groupBy("engine").agg(F.sum("n").alias("results"), F.size(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
 
 
-@query()
+@query(f"with {_DEPS_SQL} select ecosystem, count(*) components from dp group by 1")
 def sbom_json(spark, sf):
-    """Component list as JSON."""
-    return sbom(spark.createDataFrame(_DEPS, "ecosystem string, name string, version string"))
+    """Component lists as JSON documents, with the number of their components."""
+    from siftline.report import spdx
+
+    n = lambda c, f: F.size(F.from_json(c, f"{f} array<struct<name string>>")[f])
+    boms = sbom(_deps(spark, sf)).groupBy("ecosystem").agg(F.sum(n("bom", "components")).alias("components"))
+    lists = spdx(_deps(spark, sf)).groupBy("ecosystem").agg(F.sum(n("spdx", "packages")).alias("packages"))
+    return boms.join(lists, "ecosystem").where("components = packages").select("ecosystem", "components")
 
 
 _SOURCES = [

@@ -30,57 +30,12 @@ def any_hit(rules) -> str:
     return " union all ".join(f"select file, line_no, '{r.rule_id}' rule_id, '{r.severity}' severity, cast({r.confidence} as double) confidence from lines where regexp_matches(text, {text(r)})" for r in rules)
 
 
-def pii_rules():
-    return [r for r in d.PII if r.rule_id != "ssn"]
-
-
 @query(f"with {LINES_SQL} select file, count(*) lines, cast(sum(length(text)) as bigint) chars from lines group by file")
 def lines_explode(spark, sf):
     """Line source: lines and characters per file."""
     return lines(spark, sf).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
-_VALUES = " union all ".join(f"select file, line_no, '{r.rule_id}' rule_id, unnest(list_distinct(regexp_extract_all(text, {text(r)}))) as value from lines" for r in pii_rules())
-
-
-@query(f"with {LINES_SQL} select rule_id pii_type, count(*) n, count(distinct file) files from ({_VALUES}) group by 1")
-def scan_pii(spark, sf):
-    """Personal data: every distinct match in a line, by type."""
-    hits = scan.all_matches(lines(spark, sf), pii_rules())
-    return hits.groupBy(F.col("rule_id").alias("pii_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
-
-
-@query()
-def scan_pii_ssn(spark, sf):
-    """Personal numbers whose pattern needs look-ahead, which the SQL engine's patterns lack."""
-    hits = scan.all_matches(lines(spark, sf), [d.PII[0]])
-    return hits.select("file", "line_no", d.mask(F.col("value"), F.col("rule_id")).alias("masked"))
-
-
-_MASK = """case when length(value) <= 4 then repeat('*', length(value))
-  when rule_id = 'email' and contains(value, '@') then repeat('*', instr(value, '@') - 1) || substr(value, instr(value, '@'))
-  when contains(rule_id, 'credit_card') then repeat('*', length(value) - 4) || right(value, 4)
-  else left(value, 2) || repeat('*', length(value) - 4) || right(value, 2) end"""
-
-
-@query(f"with {LINES_SQL} select file, line_no, rule_id, {_MASK} masked from ({_VALUES})")
-def pii_mask(spark, sf):
-    """Masked display form of every personal value."""
-    hits = scan.all_matches(lines(spark, sf), pii_rules())
-    return hits.select("file", "line_no", "rule_id", d.mask(F.col("value"), F.col("rule_id")).alias("masked"))
-
-
-_CONF = "case rule_id " + " ".join(f"when '{r.rule_id}' then {r.confidence}" for r in d.PII) + " end"
-
-
-@query(f"with {LINES_SQL} select rule_id pii_type, case when {_CONF} >= 0.8 then 'high' when {_CONF} >= 0.5 then 'medium' else 'low' end band, count(*) n from ({_VALUES}) group by all")
-def pii_stats_by_type_band(spark, sf):
-    """Counts of personal data by type and confidence band."""
-    band = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
-    hits = scan.all_matches(lines(spark, sf), pii_rules())
-    return hits.groupBy(F.col("rule_id").alias("pii_type"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _rules_query(name, rules, doc):
     @query(f"with {LINES_SQL} select file, line_no, rule_id, severity, confidence from ({any_hit(rules)})")
     def run(spark, sf):
@@ -90,29 +45,7 @@ def _rules_query(name, rules, doc):
     Q[name], SQL[name] = Q.pop("run"), SQL.pop("run")
 
 
-_rules_query("scan_secrets", d.SECRETS, "Secret material, one hit per line and rule.")
-_rules_query("scan_config", d.CONFIG, "Risky settings, one hit per line and rule.")
-_rules_query("scan_infrastructure", d.INFRASTRUCTURE, "Risky infrastructure definitions, one hit per line and rule.")
 _rules_query("scan_code", d.CODE, "Risky code constructs, one hit per line and rule.")
-_rules_query("scan_malicious", d.MALICIOUS, "Malicious behaviour, one hit per line and rule.")
-_rules_query("scan_policy", d.POLICY, "Policy violations, one hit per line and rule.")
-
-
-@query(
-    f"with {LINES_SQL} select rule_id, count(*) n from (select case " + " ".join(f"when regexp_matches(text, {text(r)}) then '{r.rule_id}'" for r in d.LOGS) + " end rule_id from lines) where rule_id is not null group by 1"
-)
-def log_first_match(spark, sf):
-    """Log lines classified by the first rule that fits."""
-    return scan.first_match(lines(spark, sf), d.LOGS).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"with {LINES_SQL} select file, line_no, fn, case fn " + " ".join(f"when '{k}' then {v}" for k, v in d.C_CALLS.items()) + f" end as risk from (select file, line_no, unnest(list_distinct(regexp_extract_all(text, '{d.C_PATTERN}', 1))) as fn from lines)")
-def scan_c_calls(spark, sf):
-    """Dangerous C calls: one alternation of all names, one hit per line and function."""
-    from siftline.schema import lookup
-
-    found = lines(spark, sf).where(F.col("text").rlike(d.C_PATTERN)).withColumn("fn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(d.C_PATTERN), F.lit(1)))))
-    return found.select("file", "line_no", "fn", lookup(F.col("fn"), d.C_CALLS, 0).alias("risk"))
 
 
 @query(" union all ".join(f"select doc_id, '{k}' rule_id from documents where text is not null and not contains(lower(text), '{v}')" for k, v in d.HEADERS.items()))
@@ -121,18 +54,6 @@ def missing_headers(spark, sf):
     return scan.absent(table(spark, sf, "documents").select("doc_id", "text"), "text", d.HEADERS).select("doc_id", "rule_id")
 
 
-_HOT = " union all ".join(f"select file, line_no, '{c}' category, '{w}' word from lines where contains(lower(text), '{w}')" for c, ws in d.HOTSPOTS.items() for w in ws)
-
-
-@query(f"with {LINES_SQL} select category, word, count(*) n, count(distinct file) files from ({_HOT}) group by all")
-def hotspot_substring(spark, sf):
-    """Substring table against lines."""
-    pairs = [(c, w) for c, ws in d.HOTSPOTS.items() for w in ws]
-    low = F.lower("text")
-    hit = F.explode(F.array_compact(F.array(*[F.when(low.contains(w), F.struct(F.lit(c).alias("category"), F.lit(w).alias("word"))) for c, w in pairs])))
-    return lines(spark, sf).select("file", hit.alias("h")).groupBy("h.category", "h.word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
-
-
 _MULTI = [scan.Rule("fenced-code", "(?s)```.*?```"), scan.Rule("two-dividers", r"(?s)\n---\n.*\n---\n"), scan.Rule("quoted-thread", r"(?s)\n> .*\n> ")]
 
 
@@ -142,9 +63,6 @@ def document_regex(spark, sf):
     return scan.document_hits(table(spark, sf, "documents").select("doc_id", "text"), "text", _MULTI).select("doc_id", "rule_id", "matches")
 
 
-_SYN = r"(?i)(review|scan)\w*:\s*(\S+)"
-
-
 @query(f"with {LINES_SQL} select file, count(*) n, max(length(text)) longest, count(*) filter (where length(text) > 120) long_lines, count(*) filter (where trim(text) = '') blank_lines from lines group by file")
 def file_metrics(spark, sf):
     """Size metrics per file."""

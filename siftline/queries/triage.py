@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import bayes, fuzzy
-from siftline.functions.keys import key_of, sql_key
+from siftline.functions.keys import key_of, sql_key, sql_state
 from siftline.operators import detectors as d
 from siftline.operators import triage as t
 from siftline.queries.base import FEEDBACK_SQL, FINDINGS_SQL, LINES_SQL, feedback, findings, lines, table
@@ -59,12 +59,6 @@ _SUP = f"""
 )"""
 
 
-@query(f"with {LINES_SQL} select file, line_no as line, case when regexp_matches(text, '(?i)note:\\s*ignore\\b(?:\\s*\\[([^\\]]+)\\])?(?:\\s*--\\s*(.*))?$') then 'plain' when regexp_matches(text, '(?i)noqa:\\s*note=(\\S+)') then 'noqa' else 'pylint' end kind from lines where regexp_matches(text, '(?i)note:\\s*ignore\\b(?:\\s*\\[([^\\]]+)\\])?(?:\\s*--\\s*(.*))?$') or regexp_matches(text, '(?i)noqa:\\s*note=(\\S+)') or regexp_matches(text, '(?i)pylint:\\s*disable=note-(\\S+)')")
-def suppression_comments(spark, sf):
-    """Inline suppression comments in lines, by syntax."""
-    return t.suppressions(lines(spark, sf), "note").select("file", "line", F.when(F.col("rule_id").isNull() | F.col("reason").isNotNull(), "plain").otherwise("noqa").alias("kind"))
-
-
 _BAND = "from findings f {} (select file, line as sl from ast_findings where category = 'config' union all select file, line + 1 from ast_findings where category = 'config') s on f.file = s.file and f.start_line = s.sl"
 
 
@@ -337,16 +331,78 @@ def cve_enrich(spark, sf):
     return t.enriched(findings(spark, sf), known).groupBy("fingerprint").agg(F.min(F.array_join("known", ",")).alias("known"))
 
 
-@query(f"with {FINDINGS_SQL}, c as (select distinct file, start_line, rule_id from findings where regexp_matches(lower(rule_id), 'unescaped|from-input|literal') and file is not null and start_line is not null) select c.file, c.start_line as line, c.rule_id, count(distinct f.fingerprint) consequences from c join findings f on c.file = f.file and f.start_line > c.start_line and f.start_line <= c.start_line + 30 group by all")
+_SAYS = "lower(concat_ws(' ', rule_id, message))"
+
+
+@query(f"""with {FINDINGS_SQL}, f as (select distinct file, start_line, fingerprint, rule_id, message, cwe, regexp_matches({_SAYS}, '{'|'.join(t.CHECK_WORDS)}') chk, regexp_matches({_SAYS}, '{'|'.join(t.CONSEQUENCE_WORDS)}') fol, regexp_extract(message, '(\\w+)\\W*$', 1) src from findings where file is not null and start_line is not null),
+c as (select file, start_line cl, min(fingerprint) cause from f where chk group by all), p as (select f.file, f.fingerprint, max(row(cl, cause)) c from f join c on f.file = c.file and f.start_line > cl and f.start_line <= cl + 30 where fol and not chk group by all),
+v as (select file, c[1] cause_line, c[2] cause, 'missing_validation' kind, count(*) findings from p group by all), used as (select fingerprint u from p union select c[2] from p), r as (select * from f where fingerprint not in (select u from used)),
+w as (select file, arg_min(start_line, row(start_line, fingerprint)) cause_line, arg_min(fingerprint, row(start_line, fingerprint)) cause, 'shared_cwe' kind, count(distinct fingerprint) - 1 findings from r where cwe is not null and cwe <> '' group by file, cwe having count(distinct fingerprint) >= 2),
+x as (select file, arg_min(start_line, row(start_line, fingerprint)) cause_line, arg_min(fingerprint, row(start_line, fingerprint)) cause, 'shared_source' kind, count(distinct fingerprint) - 1 findings from r where contains(lower(rule_id), 'taint') and src <> '' group by file, src having count(distinct fingerprint) >= 2)
+select * from v union all select * from w union all select * from x""")
 def root_causes(spark, sf):
-    """Causes with the findings in the following 30 lines of their file."""
+    """Causes and the number of findings that follow from them, by three heuristics."""
     return t.root_causes(findings(spark, sf))
 
 
+
 @query(f"with {FINDINGS_SQL} select fingerprint, confidence from findings where confidence between 0.3 and 0.7 group by all")
 def uncertain_findings(spark, sf):
     """Findings of middling confidence."""
     return findings(spark, sf).where(F.col("confidence").between(0.3, 0.7)).select("fingerprint", "confidence").distinct()
 
 
+@query(f"select item_id, {sql_key('fingerprint')} fingerprint from issue_batches where {sql_key('fingerprint')} is not null and {sql_key('fingerprint')} not in (select {sql_key('fingerprint')} from issues where {sql_state('state')} = 'false_positive' and {sql_key('fingerprint')} is not null)")
+def known_false_suppressed(spark, sf):
+    """Delivered findings that no false positive of the issue store names."""
+    items = table(spark, sf, "issue_batches").select("item_id", key_of(F.col("fingerprint")).alias("fingerprint")).where("fingerprint is not null")
+    return t.without_known_false(items, table(spark, sf, "issues"))
+
+
+@query(f"with k as (select {sql_key('fingerprint')} fingerprint, item_id, rule_id, line from issue_batches where {sql_key('fingerprint')} is not null) select fingerprint, item_id, rule_id, line from k qualify row_number() over (partition by fingerprint order by item_id) = 1")
+def dedup_by_fingerprint(spark, sf):
+    """The first delivery of every fingerprint."""
+    items = table(spark, sf, "issue_batches").select(key_of(F.col("fingerprint")).alias("fingerprint"), "item_id", "rule_id", "line").where("fingerprint is not null")
+    return t.once_per_fingerprint(items, ["item_id"])
+
+
+_TWO = f"{FINDINGS_SQL}, two as (select layer, case when hash_ then 'L0.semgrep:' else 'L0.yaml:' end || r rule_id, file, start_line, message, fingerprint, severity from (select *, substr(rule_id, 9) r, unnest([true, false]) hash_ from findings where engine = 'yaml'))"
+
+
+@query(f"with {_TWO}, d as (select * from two qualify row_number() over (partition by regexp_replace(rule_id, '^L0\\.(semgrep|yaml):', ''), file, start_line order by {_ORDER}) = 1) select rule_id, file, start_line, message, severity from d")
+def merge_engines(spark, sf):
+    """Two pattern engines' findings as one: the first per rule, file and line."""
+    f = findings(spark, sf).where("engine = 'yaml'").withColumn("r", F.expr("substring(rule_id, 9)"))
+    two = f.withColumn("p", F.explode(F.array(F.lit("L0.semgrep:"), F.lit("L0.yaml:")))).withColumn("rule_id", F.concat("p", "r")).drop("p", "r")
+    return t.merged_engines(two).select("rule_id", "file", "start_line", "message", "severity")
+
+
+@query(f"with {_INPUT}, {fis_sql('inp')}, l(level) as (select unnest(range(1, 10))), v as (select level, case when decision = 'block' or (level = 9 and decision = 'warn') then 'block' when decision = 'warn' then 'warn' else 'pass' end verdict from fis, l) select cast(level as int) level, verdict, count(*) n from v group by all")
+def verdict_by_level(spark, sf):
+    """What blocks and what warns at each strictness level."""
+    counts = _decided(spark, sf).groupBy("decision").agg(F.count(F.lit(1)).alias("c"))
+    ways = F.array(*[F.struct(F.lit(k).alias("level"), t.verdict_at(F.col("decision"), k).alias("verdict")) for k in range(1, 10)])
+    return counts.select(F.explode(ways).alias("v"), "c").groupBy("v.level", "v.verdict").agg(F.sum("c").alias("n"))
+
+
+_GLOBS = {"production": "^(?:auth/.*|crypto/.*|payment/.*|pii/.*|billing/.*)$", "tests": "^(?:tests/.*|test_.*\\.py|.*_test\\.py|gateway/.*)$", "legacy": "^.*/legacy/.*$"}
+_CUSTOM = {
+    "production": {"min_severity": "low", "paths": ["auth/**", "crypto/**", "payment/**", "pii/**", "billing/**"]}, "tests": {"extends": "relaxed", "paths": ["tests/**", "test_*.py", "*_test.py", "gateway/**"], "disabled_rules": ["L0.yaml.python-import-idle"]},
+    "legacy": {"min_severity": "critical", "paths": ["*/legacy/*"]},
+}
+
+
+@query(f"with {FINDINGS_SQL}, p as (select *, case {' '.join(f'when regexp_matches(file, {chr(39)}{g}{chr(39)}) then {chr(39)}{n}{chr(39)}' for n, g in _GLOBS.items())} else 'default' end profile from findings), k as (select * from p where case profile when 'production' then severity <> 'info' when 'tests' then severity in ('high', 'critical') and rule_id <> 'L0.yaml.python-import-idle' when 'legacy' then severity = 'critical' else severity <> 'info' end) select profile, severity, count(*) n from k group by all")
+def profiles_by_path(spark, sf):
+    """Findings under the profile of their file, one of which inherits from another."""
+    kept = t.with_profiles(findings(spark, sf), _CUSTOM)
+    return kept.groupBy(t.profile_name(F.col("file"), _CUSTOM).alias("profile"), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {FINDINGS_SQL}, {LINES_SQL}, l as (select count(*) loc from lines), c as (select count(*) total, {_SEVS} from findings) select c.*, loc, round(total / greatest(1.0, loc / 1000.0), 6) density, critical <= 0 and high <= 5 and total / greatest(1.0, loc / 1000.0) <= 10.0 passed from c, l")
+def gate_over_lines(spark, sf):
+    """The balanced gate over as many lines as there are."""
+    return t.gate(findings(spark, sf), lines(spark, sf)).withColumn("density", F.round("density", 6))
+
+
 QUERIES = Q

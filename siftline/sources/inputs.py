@@ -15,7 +15,7 @@ _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """(diff, file, line, kind, text): added, removed and context lines of unified diffs in (diff, content), with new line numbers.
+    """(diff, file, line, kind, text, hunk, start, lines): added, removed and context lines of unified diffs in (diff, content), with new line numbers and their hunk.
 
     Headers are carried forward over the lines of their diff; a removed line has the number of the line after it.
     """
@@ -23,22 +23,29 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     w = W.partitionBy("diff").orderBy("line_no")
     t = F.col("text")
     rows = rows.withColumns({
-        "file": F.last(F.when(t.startswith("+++ "), F.regexp_replace(F.substring(t, 5, 10_000), r"^b/", "")), ignorenulls=True).over(w),
+        "file": F.last(F.when(t.startswith("+++ "), F.regexp_replace(t, r"^\+\+\+ (?:b/)?", "")), ignorenulls=True).over(w),
         "hunk": F.last(F.when(t.rlike(_HUNK), F.col("line_no")), ignorenulls=True).over(w),
         "start": F.last(F.when(t.rlike(_HUNK), F.regexp_extract(t, _HUNK, 1).cast("int")), ignorenulls=True).over(w),
+        "lines": F.last(F.when(t.rlike(_HUNK), F.coalesce(F.nullif(F.regexp_extract(t, _HUNK, 2), F.lit("")).cast("int"), F.lit(1))), ignorenulls=True).over(w),
     })
     head = t.startswith("+++ ") | t.startswith("--- ") | t.startswith("diff ") | t.startswith("index ") | t.rlike(_HUNK)
     body = rows.where(F.col("hunk").isNotNull() & ~head)
     inside = W.partitionBy("diff", "hunk").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(t.startswith("-"), 0).otherwise(1)).over(inside), F.lit(0))
     kind = F.when(t.startswith("+"), "added").when(t.startswith("-"), "removed").otherwise("context")
-    return body.select("diff", "file", (F.col("start") + before).cast("int").alias("line"), kind.alias("kind"), F.expr("substring(text, 2)").alias("text"))
+    return body.select(
+        "diff", "file", (F.col("start") + before).cast("int").alias("line"), kind.alias("kind"), F.expr("substring(text, 2)").alias("text"), "hunk", "start", "lines"
+    )
 
 
 def hunks(diffs: DataFrame) -> DataFrame:
-    """(diff, file, first_line, last_line, added, removed): one row per changed file region that touches each other."""
-    d = diff_lines(diffs).where("kind <> 'context'")
-    return d.groupBy("diff", "file").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"))
+    """(diff, file, first_line, last_line, added, removed): one row per hunk, with the range of new lines its header names."""
+    d = diff_lines(diffs)
+    g = d.groupBy("diff", "file", "hunk").agg(
+        F.min("start").alias("first_line"), F.min(F.col("start") + F.greatest(F.col("lines") - 1, F.lit(0))).alias("last_line"),
+        F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"),
+    )
+    return g.drop("hunk")
 
 
 def enclosing_function(places: DataFrame, functions: DataFrame) -> DataFrame:
@@ -102,9 +109,57 @@ def poetry_lock(files: DataFrame) -> DataFrame:
     return _by_pattern(files, r"(?s)\[\[package\]\]\s*name\s*=\s*\"([^\"]+)\"\s*version\s*=\s*\"([^\"]+)\"", "pip", "g1", "g2")
 
 
+def pyproject(files: DataFrame) -> DataFrame:
+    """Dependencies listed in the project table of pyproject.toml."""
+    block = F.regexp_extract("content", r"(?s)\[project\].*?\bdependencies\s*=\s*\[(.*?)\n?\]\s*(?:\n|$)", 1)
+    items = F.explode(F.regexp_extract_all(block, F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1)))
+    p = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:[=~<>!^]+\s*([0-9][A-Za-z0-9.*+-]*))?"
+    rows = files.where("content is not null").select("file", items.alias("item"))
+    return rows.select("file", F.lower(F.regexp_extract("item", p, 1)).alias("name"), F.nullif(F.regexp_extract("item", p, 2), F.lit("")).alias("version"), F.lit("pip").alias("ecosystem")).where("name <> ''")
+
+
+def pipfile_lock(files: DataFrame) -> DataFrame:
+    """Default and development packages of Pipfile.lock."""
+    package = "map<string, struct<version: string>>"
+    maps = F.from_json("content", f"`default` {package}, develop {package}")
+    rows = files.select("file", F.explode(F.array(maps["default"], maps["develop"])).alias("m")).where("m is not null").select("file", F.explode("m").alias("name", "p"))
+    return rows.select("file", F.lower("name").alias("name"), F.regexp_replace("p.version", r"^[=~<>!^ ]+", "").alias("version"), F.lit("pip").alias("ecosystem"))
+
+
+def package_lock(files: DataFrame) -> DataFrame:
+    """Packages of package-lock.json, in the form by path (version 2 on) or by name (version 1)."""
+    entry = "map<string, struct<version: string>>"
+    maps = F.from_json("content", f"packages {entry}, dependencies {entry}")
+    both = F.when(maps["packages"].isNotNull(), maps["packages"]).otherwise(maps["dependencies"])
+    rows = files.select("file", F.explode(both).alias("path", "p")).where("path <> '' and p.version is not null")
+    name = F.regexp_replace("path", r"^(?:.*/)?node_modules/", "")
+    return rows.select("file", name.alias("name"), F.col("p.version").alias("version"), F.lit("npm").alias("ecosystem"))
+
+
+def yarn_lock(files: DataFrame) -> DataFrame:
+    return _by_pattern(files, r"(?m)^\"?(@?[^@\s\"]+)@[^\n]*:\n\s+version:? \"?([^\"\s]+)\"?", "npm", "g1", "g2")
+
+
+def go_sum(files: DataFrame) -> DataFrame:
+    return _by_pattern(files, r"(?m)^(\S+) v(\S+?)(?:/go\.mod)? h1:", "go", "g1", "g2")
+
+
+def gemfile_lock(files: DataFrame) -> DataFrame:
+    return _by_pattern(files, r"(?m)^    ([A-Za-z0-9_.-]+) \(([0-9][^)]*)\)", "gem", "g1", "g2")
+
+
+def composer_lock(files: DataFrame) -> DataFrame:
+    package = "array<struct<name: string, version: string>>"
+    lists = F.from_json("content", f"packages {package}, `packages-dev` {package}")
+    rows = files.select("file", F.explode(F.concat(F.coalesce(lists["packages"], F.array()), F.coalesce(lists["packages-dev"], F.array()))).alias("p"))
+    return rows.select("file", F.col("p.name").alias("name"), F.regexp_replace("p.version", "^v", "").alias("version"), F.lit("composer").alias("ecosystem"))
+
+
 MANIFESTS = {
     "requirements.txt": requirements, "package.json": package_json, "pom.xml": pom, "build.gradle": gradle, "go.mod": go_mod, "Cargo.toml": cargo,
     "Gemfile": gemfile, "composer.json": composer, "poetry.lock": poetry_lock, "Cargo.lock": poetry_lock,
+    "pyproject.toml": pyproject, "Pipfile.lock": pipfile_lock, "package-lock.json": package_lock, "yarn.lock": yarn_lock, "go.sum": go_sum, "Gemfile.lock": gemfile_lock,
+    "composer.lock": composer_lock, "build.gradle.kts": gradle,
 }
 
 
@@ -112,7 +167,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     """(file, name, version, ecosystem) of every known manifest and lock file among (file, content)."""
     out = None
     for suffix, parse in MANIFESTS.items():
-        part = parse(files.where(F.col("file").endswith(suffix))).distinct()
+        part = parse(files.where(F.element_at(F.split("file", "/"), -1) == suffix)).distinct()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -132,10 +187,14 @@ def coverage_go(files: DataFrame) -> DataFrame:
 
 
 def coverage_jacoco(files: DataFrame) -> DataFrame:
-    """(file, covered, total) of XML reports with line counters per source file."""
-    p = r"(?s)<sourcefile name=\"([^\"]+)\">.*?<counter type=\"LINE\" missed=\"(\d+)\" covered=\"(\d+)\"/>.*?</sourcefile>"
-    m = F.explode(F.arrays_zip(*[F.regexp_extract_all("content", F.lit(p), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)]))
-    return files.select(m.alias("m")).select(F.col("m.g1").alias("file"), F.col("m.g3").cast("int").alias("covered"), (F.col("m.g2").cast("int") + F.col("m.g3").cast("int")).alias("total"))
+    """(file, covered, total) of XML reports: the LINE counter of each source file; one without such a counter has no row."""
+    counter = "struct<_type: string, _missed: int, _covered: int>"
+    schema = f"package array<struct<sourcefile: array<struct<_name: string, counter: array<{counter}>>>>>"
+    report = F.from_xml(F.regexp_replace("content", r"<!DOCTYPE[^>]*>", ""), schema)
+    rows = files.where("content is not null").select(F.explode(report["package"]).alias("p")).select(F.explode("p.sourcefile").alias("s"))
+    line = F.get(F.filter("s.counter", lambda c: c["_type"] == "LINE"), F.lit(0))
+    rows = rows.select(F.col("s._name").alias("file"), line.alias("c")).where("c is not null")
+    return rows.select("file", F.col("c._covered").alias("covered"), (F.col("c._covered") + F.col("c._missed")).alias("total"))
 
 
 def coverage_istanbul(files: DataFrame) -> DataFrame:
@@ -162,37 +221,30 @@ def rules_of(text: str) -> list[Rule]:
         severity = str(r.get("severity", "medium")).lower()
         out.append(Rule(
             str(r["id"]), m.group(1) if m else pattern, alias.get(severity, severity), message=r.get("message", ""), cwe=str((r.get("metadata") or {}).get("cwe", "")),
-            ignore_case=bool(m and "i" in m.group(2)), languages=tuple(r.get("languages") or ()),
+            ignore_case=bool(m and "i" in m.group(2)), languages=tuple(x for x in r.get("languages") or () if x not in ("generic", "multi", "any")),
+            paths=tuple((r.get("paths") or {}).get("include") or ()), skips=tuple((r.get("paths") or {}).get("exclude") or ()),
         ))
     return out
 
 
-#: Place holders of the rule language and what they match.
-PLACEHOLDERS = {"$STRING": r"(?:\"[^\"]*\"|'[^']*')", "$NUMBER": r"\d+(?:\.\d+)?", "$IDENT": r"[A-Za-z_]\w*", "$CALL": r"[A-Za-z_][\w.]*\s*\([^)]*\)", "...": r".*?"}
+#: Place holders of the rule language and what they match; everything else in a pattern is a regular expression.
+PLACEHOLDERS = {"$STRING": r"['\"][^'\"]*['\"]", "$IDENT": r"\w+", "$META": r"(\w+)", "...": r".*?"}
 
 
 def dsl_regex(pattern: str) -> str:
-    """Regular expression of a rule-language pattern: place holders, other ``$NAME`` as an expression, blanks as any blanks."""
-    out, i = "", 0
-    while i < len(pattern):
-        held = next((k for k in PLACEHOLDERS if pattern.startswith(k, i)), None)
-        name = re.match(r"\$[A-Z_]+", pattern[i:])
-        if held:
-            out, i = out + PLACEHOLDERS[held], i + len(held)
-        elif name:
-            out, i = out + r"[^,;()]+?", i + len(name.group())
-        elif pattern[i].isspace():
-            out, i = out + r"\s*", i + len(re.match(r"\s+", pattern[i:]).group())
-        else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return out
+    """Regular expression of a rule-language pattern."""
+    import functools
+
+    return functools.reduce(lambda p, kv: p.replace(*kv), PLACEHOLDERS.items(), pattern)
 
 
 def dsl_matches(lines: DataFrame, rule_id: str, pattern: str) -> DataFrame:
     """(…, rule_id, column, match): the first match of a rule-language pattern per line, with its column."""
     rx = dsl_regex(pattern)
     m = F.regexp_substr("text", F.lit(rx))
-    return lines.where(F.col("text").rlike(rx)).select(*lines.columns, F.lit(rule_id).alias("rule_id"), F.regexp_instr("text", F.lit(rx)).alias("column"), m.alias("match"))
+    # the match's first place is not always where its text first occurs, so the part before it is measured
+    before = F.length(F.regexp_extract("text", rf"^(.*?)(?:{rx})", 1))
+    return lines.where(F.col("text").rlike(rx)).select(*lines.columns, F.lit(rule_id).alias("rule_id"), (before + 1).alias("column"), m.alias("match"))
 
 
 def state_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

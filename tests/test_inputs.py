@@ -27,12 +27,23 @@ def test_globs(spark):
     assert [(r["m"], r["s"]) for r in got] == [(True, False), (True, False), (False, False), (False, True)]
 
 
+def test_what_is_scanned(spark):
+    paths = ["a/x.py", "a/x.bin", "build/x.py", "Dockerfile.prod", "b/siftline-report.json", ".siftline/x.json", "gen/x.generated.go", "docs/y.go", "a/docs/y.go"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    globs = files.ignore_globs("# no\n\ndocs/\n*.generated.go\n")
+    assert globs == ["**/docs/**", "**/*.generated.go"]
+    assert [r["p"] for r in df.where(files.scannable(F.col("p"), globs)).collect()] == ["a/x.py", "Dockerfile.prod"]
+    assert files.workspaces(["packages/a", "packages/b", "apps/x", "other"], ["packages/*", "apps/x"], ["**/b/**"]) == ["apps/x", "packages/a"] and files.workspaces(["a"], [], []) == ["."]
+
+
 def test_diff(spark):
     text = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n keep\n-old\n+new\n+more\n keep\n@@ -10 +11,2 @@\n+end\n"
     d = inputs.diff_lines(spark.createDataFrame([("d", text)], "diff string, content string"))
     assert [(r["line"], r["kind"], r["text"]) for r in d.orderBy("line", "kind").collect()] == [
         (1, "context", "keep"), (2, "added", "new"), (2, "removed", "old"), (3, "added", "more"), (4, "context", "keep"), (11, "added", "end"),
     ]
+    h = inputs.hunks(spark.createDataFrame([("d", text)], "diff string, content string")).orderBy("first_line").collect()
+    assert [(r["file"], r["first_line"], r["last_line"], r["added"], r["removed"]) for r in h] == [("x.py", 1, 4, 2, 1), ("x.py", 11, 12, 1, 0)]
     f = spark.createDataFrame([("x.py", "outer", 1, 20), ("x.py", "inner", 2, 4)], "file string, name string, line int, end_line int")
     got = inputs.enclosing_function(d.where("kind = 'added'").select("file", "line"), f)
     assert {(r["line"], r["function"]) for r in got.collect()} == {(2, "inner"), (3, "inner"), (11, "outer")}
@@ -47,6 +58,13 @@ def test_diff(spark):
     ("Cargo.toml", 'serde = "1.0"\ntokio = { version = "1.5", features = [] }\n', {("serde", "1.0"), ("tokio", "1.5")}),
     ("Gemfile", "gem 'rails', '~> 6.1'\ngem \"rake\"\n", {("rails", "6.1"), ("rake", None)}),
     ("composer.json", '{"require": {"php": ">=7", "a/b": "^3.1"}}', {("a/b", "3.1")}),
+    ("pyproject.toml", '[project]\nname = "p"\ndependencies = [\n  "Flask>=2.0",\n  "plain",\n]\n[tool.x]\n', {("flask", "2.0"), ("plain", None)}),
+    ("Pipfile.lock", '{"default": {"Flask": {"version": "==2.0"}}, "develop": {"pytest": {"version": "==8.1"}}}', {("flask", "2.0"), ("pytest", "8.1")}),
+    ("package-lock.json", '{"packages": {"": {"version": "1"}, "node_modules/a": {"version": "1.2"}, "node_modules/a/node_modules/@s/b": {"version": "3"}}}', {("a", "1.2"), ("@s/b", "3")}),
+    ("yarn.lock", 'a@^1.0, a@^1.1:\n  version "1.2.3"\n\n"@s/b@^2":\n  version "2.1"\n', {("a", "1.2.3"), ("@s/b", "2.1")}),
+    ("go.sum", "github.com/x/y v1.2.3 h1:abc=\ngithub.com/x/y v1.2.3/go.mod h1:def=\n", {("github.com/x/y", "1.2.3")}),
+    ("Gemfile.lock", "GEM\n  specs:\n    rails (6.1.4)\n      rack (>= 2)\n", {("rails", "6.1.4")}),
+    ("composer.lock", '{"packages": [{"name": "a/b", "version": "v1.2"}], "packages-dev": [{"name": "c/d", "version": "2"}]}', {("a/b", "1.2"), ("c/d", "2")}),
     ("poetry.lock", '[[package]]\nname = "x"\nversion = "0.3"\n', {("x", "0.3")}),
 ])
 def test_manifests(spark, name, text, want):
@@ -57,7 +75,7 @@ def test_manifests(spark, name, text, want):
 def test_coverage_reports(spark):
     py = '{"files": {"a.py": {"summary": {"covered_lines": 8, "num_statements": 10}}}}'
     go = "mode: set\na.go:1.1,2.2 3 1\na.go:3.1,4.2 2 0\n"
-    xml = '<sourcefile name="A.java"><counter type="LINE" missed="1" covered="4"/></sourcefile>'
+    xml = '<!DOCTYPE report PUBLIC "x" "y"><report name="r"><package name="p"><sourcefile name="N.java"><counter type="BRANCH" missed="7" covered="9"/></sourcefile><sourcefile name="A.java"><line nr="1"/><counter type="BRANCH" missed="8" covered="8"/><counter type="LINE" missed="1" covered="4"/></sourcefile></package></report>'
     js = '{"a.js": {"s": {"0": 1, "1": 0}}}'
     got = [tuple(f(one(spark, "r", t)).collect()[0]) for f, t in ((inputs.coverage_python, py), (inputs.coverage_go, go), (inputs.coverage_jacoco, xml), (inputs.coverage_istanbul, js))]
     assert got == [("a.py", 8, 10), ("a.go", 3, 5), ("A.java", 4, 5), ("a.js", 1, 2)]
@@ -67,13 +85,18 @@ def test_rule_files_and_language(spark):
     rules = inputs.rules_of("- {id: a, pattern: 'x(', severity: ERROR}\n- {id: b, pattern-regex: '/foo/i'}\n- {id: c, pattern-either: [{pattern: p1}, {pattern-regex: p2}]}\n- {id: d, message: none}\n")
     assert [(r.rule_id, r.pattern, r.severity, r.ignore_case) for r in rules] == [("a", "x(", "high", False), ("b", "foo", "medium", True), ("c", "(?:p1)|(?:p2)", "medium", False)]
     lines = spark.createDataFrame([("f", 1, "  run( 'abc' , x1)"), ("f", 2, "run(abc, x)")], "file string, line_no int, text string")
-    got = inputs.dsl_matches(lines, "r", "run( $STRING , $IDENT )").collect()
-    assert [(r["line_no"], r["column"]) for r in got] == [(1, 3)]
+    got = inputs.dsl_matches(lines, "r", r"run\( $STRING , $IDENT\)").collect()
+    assert [(r["line_no"], r["column"], r["match"]) for r in got] == [(1, 3, "run( 'abc' , x1)")]
+    assert inputs.dsl_regex("$META = f(...)") == r"(\w+) = f(.*?)"
+    more = spark.createDataFrame([("f", 1, "returnx"), ("f", 2, "return x")], "file string, line_no int, text string")
+    assert [r["line_no"] for r in inputs.dsl_matches(more, "r", "return x").collect()] == [2]
 
 
 def test_metrics(spark):
     m = metrics.code_metrics(one(spark, "a.js", "function f(a) {\n  if (a && b) { while (x) { y(); } }\n}\n")).collect()[0]
-    assert (m["cyclomatic"], m["nesting"], m["grade"]) == (4, 3, "A")
+    assert (m["cyclomatic"], m["nesting"], m["grade"]) == (3, 4, "C")
+    low = metrics.code_metrics(one(spark, "b.js", "x = 1;")).collect()[0]
+    assert (low["cyclomatic"], low["nesting"], low["toxicity"], low["grade"]) == (1, 0, 0.1, "A")
     e = spark.createDataFrame([("aaaa",), ("abab",), ("abcd",)], "t string").select(metrics.entropy(F.col("t")).alias("e")).collect()
     assert [round(r["e"], 6) for r in e] == [0.0, 1.0, 2.0]
     lines = spark.createDataFrame([("a", 1, "x = 'A9fk3LmQ0zX7bT2vR8sW'"), ("a", 2, "x = 'aaaaaaaaaaaaaaaaaaaaaaaa'"), ("b", 1, "f'{x}'"), ("c", 1, "'%s' % x")], "file string, line_no int, text string")
@@ -130,4 +153,28 @@ def test_report_parts_hold_all_results(spark):
     rows = [("e", f"p{i % 7}", f"r{i}", "low", "m", "f", i) for i in range(50)]
     df = spark.createDataFrame(rows, "engine string, fingerprint string, rule_id string, severity string, message string, file string, start_line int")
     docs = sarif(df, results_per_part=20).collect()
-    assert len(docs) > 1 and sum(len(json.loads(r["report"])["run"]["results"]) for r in docs) == 50
+    runs = [json.loads(r["report"])["runs"][0] for r in docs]
+    assert len(docs) > 1 and sum(len(r["results"]) for r in runs) == 50
+    assert {x["id"] for r in runs for x in r["tool"]["driver"]["rules"]} == {f"r{i}" for i in range(50)}
+    more = df.withColumns({"source_line": F.when(F.col("start_line") == 3, 1), "failed": F.when(F.col("start_line") == 4, "timed out")})
+    run = [json.loads(r["report"])["runs"][0] for r in sarif(more).collect()][0]
+    flow = [x["codeFlows"] for x in run["results"] if "codeFlows" in x]
+    assert len(flow) == 1 and [p["location"]["physicalLocation"]["region"]["startLine"] for p in flow[0][0]["threadFlows"][0]["locations"]] == [1, 3]
+    assert len(run["results"]) == 49 and run["invocations"][0] == {"executionSuccessful": False, "toolExecutionNotifications": [{"level": "error", "message": {"text": "timed out"}}]}
+
+
+def test_other_sinks(spark, tmp_path):
+    import json
+
+    from siftline import report
+
+    deps = spark.createDataFrame([("pip", "a", "1", "MIT"), ("pip", "a", "1", "MIT"), ("pip", "b", None, None)], "ecosystem string, name string, version string, licence string")
+    bom = json.loads(report.sbom(deps).collect()[0]["bom"])
+    assert bom["bomFormat"] == "CycloneDX" and [(c["name"], c["version"]) for c in bom["components"]] == [("a", "1"), ("b", "latest")] and bom["components"][0]["licenses"] == [{"license": {"name": "MIT"}}]
+    doc = json.loads(report.spdx(deps).collect()[0]["spdx"])
+    assert doc["spdxVersion"] == "SPDX-2.3" and [p["licenseDeclared"] for p in sorted(doc["packages"], key=lambda p: p["name"])] == ["MIT", "NOASSERTION"]
+    rows = [("e", f"p{i}", f"r{i}", s, "<m>", "f", i) for i, s in enumerate(["low", "critical", "info"])]
+    df = spark.createDataFrame(rows, "engine string, fingerprint string, rule_id string, severity string, message string, file string, start_line int")
+    page = report.html(df, most=2)
+    assert page.count("<tr class") == 2 and page.index("r1") < page.index("r0") and "&lt;m&gt;" in page and "info: 1" in page
+    assert len(report.save_all(df, str(tmp_path / "out"))) == 3 and (tmp_path / "out/report.html").exists()
