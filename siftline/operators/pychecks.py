@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from siftline.operators.pysource import MOST_BYTES, _dotted
+from siftline.operators.pysource import _dotted
 
 SCHEMA = "file string, rule_id string, start_line int, severity string, confidence double, message string, category string, cwe string"
 #: Calls that may return nothing, that open and that close a resource, and names that guard or act.
@@ -142,10 +142,8 @@ def checks(file: str, source: str | None) -> list[tuple]:
     if source is None:
         return []
     try:
-        if len(source) > MOST_BYTES:
-            raise ValueError("too large")
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [(file, "parse-error", getattr(e, "lineno", 0) or 0, "info", 1.0, type(e).__name__, "correctness", "")]
     out = []
     for node in ast.walk(tree):

@@ -325,12 +325,13 @@ def dataflow_flows(spark, sf):
     return dataflow.flows(files_of(code(spark, sf)))
 
 
-_DENSE_SQL = "dense as (select string_split(file, '/')[1] file, line_no % 997 line_no, min(text) as text from code group by 1, 2)"
+_DENSE_SQL = "dense as (select string_split(file, '/')[1] file, line_no % 101 line_no, min(text) as text from code where contains(text, 'delete/') or contains(text, 'updateData') group by 1, 2)"
 
 
 def _dense(spark, sf) -> DataFrame:
-    """The made lines of a top folder as one file of 997 lines."""
-    return code(spark, sf).groupBy(F.element_at(F.split("file", "/"), 1).alias("file"), (F.col("line_no") % 997).alias("line_no")).agg(F.min("text").alias("text"))
+    """The made lines of two kinds in a top folder as one short file, so that they lie near each other."""
+    some = F.col("text").contains("delete/") | F.col("text").contains("updateData")
+    return code(spark, sf).where(some).groupBy(F.element_at(F.split("file", "/"), 1).alias("file"), (F.col("line_no") % 101).alias("line_no")).agg(F.min("text").alias("text"))
 
 
 @query(f"""with {CODE_SQL}, {_DENSE_SQL}, u as (select file, line_no from dense where regexp_matches(text, {_text(cb.URL_OF_DELETION)})), w as (select file, line_no from dense where regexp_matches(text, {_text(cb.UPDATE_WRAPPER)}))

@@ -8,7 +8,6 @@ from siftline.functions.keys import key_of, sql_key, sql_squeezed, sql_state, sq
 from siftline.operators import analytics as a
 from siftline.operators import graphs as g
 from siftline.operators import history as h
-from siftline.operators import pysource
 from siftline.operators import sequences as s
 from siftline.queries.base import FEEDBACK_SQL, FINDINGS_SQL, LINES_SQL, feedback, findings, lines, table
 from siftline.report import sbom, sarif
@@ -509,57 +508,6 @@ def sbom_json(spark, sf):
     return boms.join(lists, "ecosystem").where("components = packages").select("ecosystem", "components")
 
 
-_SOURCES = [
-    ("app/views.py", "import os\nfrom app import store\n\ndef show(request):\n    name = request.get('name')\n    query = 'select ' + name\n    return run(query)\n\ndef run(text):\n    return store.execute(text)\n"),
-    ("app/store.py", "def execute(text):\n    if text is None:\n        raise ValueError\n    for t in text:\n        print(t)\n    return eval(text)\n\ndef unused(a, b=1):\n    return a and b\n"),
-    ("app/broken.py", "def f(:\n"),
-]
-
-
-def _python_sources(spark, sf):
-    """(file, content): all documents of kind source, and the small sources kept in this module."""
-    d = table(spark, sf, "documents").where("doc_kind = 'source'")
-    return d.select(F.concat(F.lit("documents/"), "doc_id").alias("file"), F.col("text").alias("content")).unionByName(spark.createDataFrame(_SOURCES, "file string, content string"))
-
-
-@query()
-def python_facts(spark, sf):
-    """Facts of all source documents and of small sources kept in this module: functions, calls, flows, errors."""
-    return pysource.python_facts(_python_sources(spark, sf))
-
-
-@query()
-def python_dead_code(spark, sf):
-    """Functions of those sources that nothing calls."""
-    facts = python_facts(spark, sf)
-    calls = facts.where("kind = 'call'").select(F.element_at(F.split("name", r"\."), -1).alias("callee"))
-    return g.unreferenced(facts.where("kind = 'function'").select("name", "file", "line"), calls)
-
-
-@query()
-def python_call_graph(spark, sf):
-    """Calls of those sources with the function they mean."""
-    facts = python_facts(spark, sf)
-    calls = facts.where("kind = 'call'").select("file", F.col("scope").alias("caller"), F.element_at(F.split("name", r"\."), -1).alias("callee"), "line")
-    return g.bind_calls(calls, facts.where("kind = 'function'").select("name", "file", "line"))
-
-
-@query()
-def python_taint(spark, sf):
-    """Flows from request parameters to evaluating calls across those files."""
-    from siftline.operators.pyflow import taint_of
-
-    return taint_of(python_facts(spark, sf))
-
-
-@query()
-def python_checks(spark, sf):
-    """Defects of those sources found by the parser."""
-    from siftline.operators import pychecks
-
-    return pychecks.python_checks(_python_sources(spark, sf))
-
-
 @query("select lower(trim(severity)) severity, count(*) n from issues where severity is not null group by 1")
 def severity_spelling(spark, sf):
     """Issues by trimmed severity."""

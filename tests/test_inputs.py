@@ -94,7 +94,7 @@ def test_rule_files_and_language(spark):
 
 def test_metrics(spark):
     m = metrics.code_metrics(one(spark, "a.js", "function f(a) {\n  if (a && b) { while (x) { y(); } }\n}\n")).collect()[0]
-    assert (m["cyclomatic"], m["nesting"], m["grade"]) == (3, 4, "C")
+    assert (m["cyclomatic"], m["nesting"], m["grade"]) == (3, 4, "B")
     low = metrics.code_metrics(one(spark, "b.js", "x = 1;")).collect()[0]
     assert (low["cyclomatic"], low["nesting"], low["toxicity"], low["grade"]) == (1, 0, 0.1, "A")
     e = spark.createDataFrame([("aaaa",), ("abab",), ("abcd",)], "t string").select(metrics.entropy(F.col("t")).alias("e")).collect()

@@ -3,17 +3,14 @@ import random
 from pyspark.sql import functions as F
 
 from siftline.operators import analytics
-from siftline.queries import records
-
-SOURCE = "def show(request):\n    name = request.get('name')\n    return eval(name)\n\ndef lonely():\n    return show(1)\n"
-
+from siftline.queries import python, records
 
 def test_python_queries_read_the_source_documents(spark, tmp_path):
-    docs = [(1, SOURCE, "source"), (2, "def f(:", "source"), (3, SOURCE, "page"), (4, None, "source")]
+    docs = [(1, "def show(request):\n    return eval(request)\n", "source"), (2, "def f(:", "source"), (3, "def f(:", "page"), (4, None, "source")]
     spark.createDataFrame(docs, "doc_id long, text string, doc_kind string").write.parquet(f"{tmp_path}/documents.parquet")
-    q = {k: {r["file"] for r in records.QUERIES[k](spark, str(tmp_path)).collect() if r["file"].startswith("documents/")} for k in ("python_facts", "python_checks", "python_dead_code", "python_call_graph")}
-    assert q["python_facts"] == q["python_checks"] == {"documents/1", "documents/2"}
-    assert q["python_dead_code"] == q["python_call_graph"] == {"documents/1"}
+    spark.createDataFrame([("a/b.py", 7, "msg")], "file string, line int, message string").write.parquet(f"{tmp_path}/issues.parquet")
+    assert [(r["file"], r["detail"]) for r in python.QUERIES["python_errors"](spark, str(tmp_path)).collect()] == [("documents/2", "SyntaxError")]
+    assert {r["file"] for r in python.facts(spark, str(tmp_path)).collect()} == {"documents/1", "documents/2", "a/b/0.py"}
 
 
 def test_graph_queries_over_whole_tables_agree_with_brute_force(spark, tmp_path):
