@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.keys import sql_key, sql_squeezed
 from siftline.llm import consensus, encoding, history_dedup, language, matching, mixing
 from siftline.runtime import spread, work_dir
 
@@ -38,6 +39,25 @@ def p5_labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.Consensus(table(spark, sf_dir, "feedback_entries"), work_dir(spark, "consensus")).annotators()
 
 
+def p5_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each labeler's latest verdict on each key."""
+    labels = consensus.latest_labels(table(spark, sf_dir, "feedback_entries"))
+    kind = F.get(F.array(*[F.lit(x) for x in consensus.LABELS]), F.col("label"))
+    return labels.select(F.col("item").alias("finding_key"), F.col("annotator").alias("labeler"), kind.alias("kind"))
+
+
+def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch rows found to repeat a finding that were delivered before in equal form."""
+    issues, batches = table(spark, sf_dir, "issues"), table(spark, sf_dir, "issue_batches")
+    form = ["rule_id", "file", "line", "message"]
+    digest = F.md5(F.to_json(F.struct(*form)))
+    known = issues.select(digest.alias("d")).distinct()
+    rows = batches.select("item_id", digest.alias("d"))
+    first = rows.groupBy("d").agg(F.min("item_id").alias("first"))
+    equal = rows.join(first, "d").join(known.withColumn("old", F.lit(True)), "d", "left").where("old or item_id > first").select("item_id").distinct()
+    return p3_found(spark, sf_dir).join(equal, "item_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the pattern scanner and findings of the tree analyser about the same defect."""
     return p7_confidence(spark, sf_dir).select("hit_id", "ast_id")
@@ -56,6 +76,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(texts(spark, sf_dir))
 
 
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of what the ids of every document decode to."""
+    return encoding.decoded_digests(encoding.encode_corpus(texts(spark, sf_dir)))
+
+
+def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable distinct texts per source with a target."""
+    units = mixing.units(texts(spark, sf_dir), table(spark, sf_dir, "mix_targets"), work_dir(spark, "mix"))
+    return units.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first_doc"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
     units = mixing.units(texts(spark, sf_dir), targets, work_dir(spark, "mix"))
@@ -93,5 +124,22 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "segment_no", "s.lang", "s.confidence", "s.sentences", "s.chars")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_items, p5_labelers, p7_found, p7_confidence, p8_ids, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    p3_found, p3_copies, p5_found, p5_items, p5_labelers, p5_latest, p7_found, p7_confidence, p8_ids, p8_roundtrip, p9_mix, p9_shares, p9_units, p10_found, p10_documents, p10_segments
+)}
+
+_KIND = sql_squeezed("kind")
+SQL: dict[str, str] = {
+    "p3_copies": """
+with a as (select item_id, rule_id, file, line, message from issue_batches), k as (select distinct rule_id, file, line, message from issues)
+select distinct a.item_id from a where exists (select 1 from k where k.rule_id is not distinct from a.rule_id and k.file is not distinct from a.file and k.line is not distinct from a.line and k.message is not distinct from a.message)
+or exists (select 1 from a b where b.item_id < a.item_id and b.rule_id is not distinct from a.rule_id and b.file is not distinct from a.file and b.line is not distinct from a.line and b.message is not distinct from a.message)""",
+    "p5_latest": f"""
+with l as (
+  select {sql_key('finding_key')} finding_key, {sql_key('labeler')} labeler, labeled_at, entry_id,
+    case when {_KIND} in ('tp', 'truepositive') then 'tp' when {_KIND} in ('fp', 'falsepositive') then 'fp' when {_KIND} in ('fn', 'falsenegative') then 'fn' end kind from feedback_entries
+), o as (select * from l where finding_key is not null and labeler is not null and kind is not null)
+select finding_key, labeler, kind from o qualify row_number() over (partition by finding_key, labeler order by labeled_at desc nulls last, entry_id desc, case kind when 'tp' then 0 when 'fp' then 1 else 2 end desc) = 1""",
+    "p8_roundtrip": "select doc_id, sha256(coalesce(text, '')) digest from documents",
+    "p9_units": "select source, count(distinct text) texts, min(doc_id) first_doc from documents where text is not null and text <> '' and source in (select source from mix_targets) group by 1",
+}

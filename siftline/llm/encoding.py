@@ -339,3 +339,18 @@ def token_counts(docs: DataFrame, text_column: str = "text", vocabulary: str | N
     chosen = docs.select(*names, F.col(text_column))
     types = dict(docs.dtypes)
     return chosen.mapInArrow(count, ", ".join([*(f"{n} {types[n]}" for n in names), "h binary, tokens long"]))
+
+
+def decoded_digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, digest): the sha256 of the bytes that a document's ids decode to, for checks of an encoded corpus."""
+    path = vocabulary or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        enc = encoder(path)
+        for batch in batches:
+            digests = [hashlib.sha256(enc.decode_bytes(ids)).hexdigest() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests)], names=["doc_id", "digest"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, digest string")

@@ -11,7 +11,8 @@ goes to the language that codes it shortest, and the trees are counted again.
 
 A text is cut into sentences; comment and quotation marks before a line are no part of it, pieces of lines that
 are code or logs are none (finished sentences before and after them and in comments behind code are), and names,
-paths and numbers inside a sentence are left out of the score.  A sentence's confidence is its language's share of 2^-bits.  Neighbouring sentences of one language make a segment.
+paths and numbers inside a sentence are left out of the score.  A sentence that no language explains is in none of them (``other``,
+confidence 0).  Otherwise a sentence's confidence is its language's share of 2^-bits.  Neighbouring sentences of one language make a segment.
 
 The sample is at most SAMPLE documents of at most SAMPLE_CHARS characters per language, chosen by a hash of
 doc_id; everything else runs over all texts, whole, without a shuffle.
@@ -40,6 +41,9 @@ ORDER = 4
 SAMPLE, SAMPLE_CHARS = 300, 20_000
 CLEANINGS = 2
 SURE = 0.9
+#: Bits a byte from which even the best language explains a sentence hardly better than no model does (8 bits); known languages stay far below.
+STRANGE = 6.5
+OTHER = "other"
 LEAST_WORDS = 3
 KEPT_SENTENCES = 200_000
 
@@ -223,7 +227,8 @@ class ContextTrees:
         p = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -500))
         p /= p.sum(axis=1, keepdims=True)
         best = bits.argmin(axis=1)
-        return [(self.names[b], float(p[i, b])) for i, b in enumerate(best)]
+        strange = bits.min(axis=1) > STRANGE * np.array([max(1, len(t.encode())) for t in texts])
+        return [(OTHER, 0.0) if strange[i] else (self.names[b], float(p[i, b])) for i, b in enumerate(best)]
 
 
 def label_language(label: Column) -> Column:

@@ -30,7 +30,7 @@ def made(seed, n):
         message = r.choice(["In {}: bad thing.", "{}(): bad thing", "Bad thing (function {})"]).format(name)
         rule = r.choice(["python-path-escape", "PYTHON-PATH-ESCAPE", "yaml:python.path_escape", "python-log-forging"])
         file = r.choice(["a/b/hot.py", "/builds/w1/A/b/hot.py", "x\\y\\other.py"])
-        rows.append((i, i * 7 // n, rule, file, r.choice([None, *range(1, 120)]), message, "x"))
+        rows.append((i, i * 3 // n, rule, file, r.choice([None, *range(1, 120)]), message, "x"))
     return rows
 
 
@@ -48,7 +48,7 @@ def test_agrees_with_brute_force_however_batches_are_delivered(spark):
     h, b = spark.createDataFrame(history, COLUMNS), spark.createDataFrame(rows, COLUMNS)
     want = brute(history, rows)
     assert 20 < len(want) < 190
-    for some in (b, b.selectExpr("item_id", "batch_no div 3 batch_no", "rule_id", "file", "line", "message")):
+    for some in (b, b.selectExpr("item_id", "batch_no div 2 batch_no", "rule_id", "file", "line", "message")):
         got = [r[0] for r in history_dedup.repeated_items(h, some, work_dir(spark, "t")).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
@@ -80,7 +80,7 @@ def test_agrees_with_brute_force_on_names_with_two_and_three_typing_errors(spark
     for i in range(240):
         name = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(9))[: r.randrange(4, 19)]
         for name in (name, mistyped(r, name, r.randrange(1, 4))):
-            rows.append((len(rows), i // 40, "python-path-escape", f"a/f{i % 60}.py", r.randrange(1, 60), f"In {name}: bad thing.", "x"))
+            rows.append((len(rows), i // 120, "python-path-escape", f"a/f{i % 60}.py", r.randrange(1, 60), f"In {name}: bad thing.", "x"))
     want = brute([], rows)
     assert len(want) > 50
     got = history_dedup.repeated_items(spark.createDataFrame([], COLUMNS), spark.createDataFrame(rows, COLUMNS), work_dir(spark, "t"))
@@ -106,7 +106,7 @@ def test_another_process_goes_on_with_the_index_and_buckets_split(spark, monkeyp
     history_dedup.HistoryIndex(spark, path, 2).accept(spark.createDataFrame(history, COLUMNS))
     monkeypatch.setattr(history_dedup, "BUCKET_ROWS", 160)  # the store has to be spread over more buckets
     found, buckets = set(), []
-    for n in range(7):
+    for n in range(3):
         index = history_dedup.HistoryIndex(spark, path, 2)
         found |= {r[0] for r in index.screen(b.where(f"batch_no = {n}"), "item_id").collect()}
         buckets.append(index.parts[-1]["buckets"])

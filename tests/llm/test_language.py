@@ -91,3 +91,9 @@ def test_reports_missing_wrong_and_partial_labels(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], COLUMNS)
     assert language.mislabelled(language.found_languages(language.segments(none, language.train(none)))).collect() == []
+
+
+def test_a_language_that_is_not_known_is_none_of_them():
+    trees = language.ContextTrees({"en": ["the rule checks that all values are there before the file is stored"] * 3, "de": ["die regel prüft dass alle werte da sind bevor die datei gespeichert wird"] * 3})
+    got = trees.classify(["the rule checks that the file is there", "reguła sprawdza czy wszystkie wartości są obecne", ""])
+    assert got[0][0] == "en" and got[0][1] > 0.9 and got[1] == (language.OTHER, 0.0)
