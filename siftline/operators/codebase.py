@@ -227,3 +227,51 @@ def relations_of(name: Column) -> Column:
     """Relations that a function's results should keep, by its name, in the order of the table."""
     out = [F.when(F.lower(name).contains(word), F.lit(r)) for word, rs in RELATIONS.items() for r in rs]
     return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+PROTOTYPE = r"^\s*(?:extern\s+)?([A-Za-z_][\w\s]*?[\s*]+)(\w+)\s*\(([^()]*)\)\s*;"
+
+
+def prototypes(lines: DataFrame) -> DataFrame:
+    """(function, position, type): parameters of C functions that header lines declare, without their names."""
+    t = F.col("text")
+    rows = lines.where(t.rlike(PROTOTYPE)).select(F.regexp_extract(t, PROTOTYPE, 2).alias("function"), F.posexplode(F.split(F.regexp_extract(t, PROTOTYPE, 3), r"\s*,\s*")).alias("position", "p"))
+    kind = F.regexp_replace(F.regexp_replace(F.btrim("p"), r"\b\w+$", ""), r"\bconst\b|\s+", "")
+    return rows.select("function", "position", F.when(kind == "", F.btrim("p")).otherwise(kind).alias("type")).where("type not in ('', 'void')").distinct()
+
+
+def foreign_arguments(declared: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file, line, function, position, given, type): constants passed to foreign functions whose declared parameter is of another kind."""
+    given = facts.where("kind = 'constant'").select("file", "line", F.element_at(F.split("name", r"\."), -1).alias("function"), "position", F.col("detail").alias("given"))
+    kind = F.when(F.col("given").rlike(r"^['\"]"), "text").when(F.col("given").rlike(r"^-?\d+$"), "whole").when(F.col("given").rlike(r"^-?\d*\.\d+$"), "real").when(F.col("given") == "None", "null")
+    want = F.when(F.col("type").rlike(r"^char\*$"), "text").when(F.col("type").contains("*"), "pointer").when(F.col("type").rlike(r"^(?:float|double)$"), "real").otherwise("whole")
+    j = given.join(declared, ["function", "position"]).withColumns({"a": kind, "b": want})
+    fine = (F.col("a") == F.col("b")) | ((F.col("a") == "whole") & (F.col("b") == "real")) | ((F.col("a") == "null") & F.col("b").isin("text", "pointer")) | ((F.col("a") == "text") & (F.col("b") == "pointer"))
+    return j.where(F.col("a").isNotNull() & ~fine).select("file", "line", "function", "position", "given", "type").distinct()
+
+
+#: Kinds of repair that messages of changes name; our own selection, the first that fits counts.
+REPAIRS = {
+    "injection": r"(?i)inject|unescaped|sanitiz", "null": r"(?i)\bnull\b|\bnone\b|missing value", "bounds": r"(?i)overflow|out of (?:range|bounds)|off.by.one", "race": r"(?i)\brace\b|deadlock|concurren", "leak": r"(?i)\bleak|not closed|unclosed",
+    "access": r"(?i)permission|authoriz|access check", "secret": r"(?i)secret|password|credential", "crash": r"(?i)crash|exception|traceback", "other": r"(?i)\bfix(?:es|ed)?\b|\bbug\b|\brepair",
+}
+
+
+def repair_kind(message: Column) -> Column:
+    """Kind of repair a change's message names, null for none."""
+    out = F.lit(None).cast("string")
+    for kind, p in reversed(list(REPAIRS.items())):
+        out = F.when(message.rlike(p), kind).otherwise(out)
+    return out
+
+
+def line_form(text: Column) -> Column:
+    """A line with its literals and numbers made equal: what a rule mined from it would look for."""
+    plain = F.regexp_replace(F.regexp_replace(F.btrim(text), r"'[^']*'|\"[^\"]*\"|`[^`]*`", r"\$STRING"), r"\b\d+(?:\.\d+)?\b", r"\$NUMBER")
+    return F.regexp_replace(plain, r"\s+", " ")
+
+
+def mined_from_repairs(changes: DataFrame, least: int = 2) -> DataFrame:
+    """(kind, form, changes): forms of lines that at least ``least`` repairs removed, from (change, message, removed)."""
+    rows = changes.select("change", repair_kind(F.col("message")).alias("kind"), line_form(F.col("removed")).alias("form")).where("kind is not null and length(form) >= 4")
+    return rows.groupBy("kind", "form").agg(F.countDistinct("change").alias("changes")).where(F.col("changes") >= least)

@@ -203,6 +203,32 @@ def document_hits(texts: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     return texts.withColumn("__hit", F.explode(hits)).select(*texts.columns, "__hit.*")
 
 
+def vetoed_matches(files: DataFrame, rules: list[Rule], veto: str, around: int = 500) -> DataFrame:
+    """(file, line, rule_id, severity, confidence): matches in (file, content) near which, within so many characters, nothing fits the veto.
+
+    Places in a text are needed, so batches of texts are searched by the workers; one file's text is looked at as a whole.
+    """
+    import re
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, against = [(r, re.compile(r.regex(), re.M)) for r in rules], re.compile(veto)
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for r, p in found if text else ():
+                    for m in p.finditer(text):
+                        if not against.search(text, max(0, m.start() - around), m.end() + around):
+                            rows.append((file, text.count("\n", 0, m.start()) + 1, r.rule_id, r.severity, r.confidence))
+            columns = list(zip(*rows)) or [[]] * 5
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "line", "rule_id", "severity", "confidence"])
+
+    return files.select("file", "content").mapInArrow(run, "file string, line int, rule_id string, severity string, confidence double")
+
+
 #: Patterns that match nearly everything, with the reason.
 BROAD = (
     (r"^\.\*\??$", "matches everything"),

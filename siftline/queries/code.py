@@ -26,7 +26,7 @@ _EXT = {"python": "py", "javascript": "js", "typescript": "ts", "go": "go", "jav
 
 
 def _of_rules() -> list[tuple[str, str]]:
-    tables = (d.SECRETS, d.MINI_SAST, d.LOGS, d.LOG_SOURCES, d.CONFIG, d.INFRASTRUCTURE, d.POLICY, d.QUALITY, d.FAMILIES, [d.OVERFLOW])
+    tables = (d.SECRETS, d.MINI_SAST, d.LOGS, d.LOG_SOURCES, d.CONFIG, d.INFRASTRUCTURE, d.POLICY, d.QUALITY, d.FAMILIES, d.MORE, [d.OVERFLOW])
     out = []
     for rules in tables:
         for r in rules:
@@ -61,6 +61,9 @@ SAMPLES: list[tuple[str, str]] = [
     # missing patches
     ("py", "d§ = yaml.load(text)"), ("py", "d§ = yaml.full_load(text)"), ("py", "t§ = paramiko.Transport(host)"), ("js", "o§ = defaultsDeep(a, b)"), ("js", "f§ = _.template(t)"), ("java", "new BeanWrapperImpl(b§);"), ("java", "InvokerTransformer t§;"),
     ("java", "HttpInvokerServiceExporter e§;"), ("java", "JakartaMultiPartRequest r§;"),
+    # tests before use, and business risks
+    ("java", "if (f§.exists()) { f§.delete(); }"), ("js", "if (fs.existsSync(p§)) { fs.unlinkSync(p§); }"), ("java", "if (!m§.containsKey(k)) { m§.put(k, v); }"), ("js", "try { f§() } catch (e) { return { error: e }; }"), ("java", "try { l§.lock(); f(); } finally { }"),
+    ("js", "useEffect(() => { f§() }, [{a: 1}])"), ("js", "amount = req.body.amount§"), ("js", "refundOrder§(order)"), ("java", "balance -= cost§;"), ("js", "rows.deleteMany(§)"),
     # comments and blanks
     ("py", "# note § of a run"), ("py", "# another note §"), ("py", ""), ("js", "// note §"), ("java", "/* note § */"), ("py", "x§ = 'A9fk3LmQ0zX7bT2vR8sW'"), ("py", "label§ = 'repeated literal'"), ("py", "other§ = 'repeated literal'"),
 ]
@@ -141,12 +144,13 @@ _rules_query("scan_malicious", d.MALICIOUS, "Malicious behaviour in Python, one
 _rules_query("scan_policy", d.POLICY, "Policy violations, one hit per line and rule.")
 _rules_query("scan_quality", plain(d.QUALITY), "Marks of poor code by language.")
 _rules_query("scan_families", plain(d.FAMILIES), "One defect in several languages.")
+_rules_query("scan_more", plain(d.MORE), "Concurrency, cryptography and script rules.")
 
 
 @query()
 def scan_with_lookaround(spark, sf):
     """Rules whose patterns look around, which the SQL engine's patterns lack."""
-    rules = [r for r in (*d.CONFIG, *d.INFRASTRUCTURE, *d.QUALITY, *d.FAMILIES) if r not in plain([r])]
+    rules = [r for r in (*d.CONFIG, *d.INFRASTRUCTURE, *d.QUALITY, *d.FAMILIES, *d.MORE) if r not in plain([r])]
     return scan.line_hits(code(spark, sf), rules).select("file", "line_no", "rule_id", "severity", "confidence")
 
 
@@ -442,4 +446,49 @@ def risky_messages(spark, sf):
     return table(spark, sf, "issues").agg(*[F.count_if(t_.rlike(r.regex())).alias(r.rule_id) for r in d.RISKY_MESSAGES])
 
 
+@query(f"with {CODE_SQL}, f as (select file, line_no // 2000 b, string_agg(text, chr(10) order by line_no, text) content from code group by all) " + " union all ".join(f"select file, cast(b as int) block, '{r.rule_id}' rule_id from f where regexp_matches(content, {_text(r.pattern)})" for r in d.ACROSS_LINES))
+def scan_across_lines(spark, sf):
+    """Patterns that span lines, per stretch of a file."""
+    hits = scan.document_hits(files_of(code(spark, sf)), "content", d.ACROSS_LINES)
+    return hits.select("file", F.col("block").cast("int").alias("block"), "rule_id")
+
+
+@query()
+def scan_blocks(spark, sf):
+    """Infrastructure definitions that lack something in a block, by line, and business risks that nothing near them vetoes."""
+    files = files_of(code(spark, sf))
+    blocks = scan.vetoed_matches(files, d.INFRASTRUCTURE_BLOCKS, r"(?!)")
+    return blocks.unionByName(scan.vetoed_matches(files, d.BUSINESS, d.BUSINESS_VETOES)).select("file", "line", "rule_id")
+
+
+@query(f"with {_CALLS_SQL}, adv(id, fns) as (values ('A-1', ['yaml.load', 'yaml.unsafe_load']), ('A-2', ['never.called']), ('A-3', null), ('A-4', ['statement.executeQuery'])), c as (select distinct file, line_no, name from code where k <= 2), n as (select id, count(*) places from (select id, unnest(fns) fn from adv) a join c on c.name = a.fn group by 1) select adv.id, places is not null or fns is null reachable, coalesce(places, 0) places from adv left join n using (id)")
+def reachable_advisories(spark, sf):
+    """Advisories whose functions lines call."""
+    adv = spark.createDataFrame([("A-1", ["yaml.load", "yaml.unsafe_load"]), ("A-2", ["never.called"]), ("A-3", None), ("A-4", ["statement.executeQuery"])], "id string, functions array<string>")
+    return cb.reachable_advisories(adv, pack_code(spark, sf))
+
+
+_REPAIR = "case " + " ".join(f"when regexp_matches(message, '{p}') then '{k}'" for k, p in cb.REPAIRS.items()) + " end"
+_LITERALS = "'[^']*'|\"[^\"]*\"|`[^`]*`"
+_FORM = f"regexp_replace(regexp_replace(regexp_replace(trim(removed), {_text(_LITERALS)}, '$STRING', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '$NUMBER', 'g'), '\\s+', ' ', 'g')"
+
+
+@query(f"with {CODE_SQL}, ch as (select i.fingerprint as change, i.resolution_note || ' ' || i.message message, c.text removed from issues i join code c on regexp_replace(i.file, '\\.[A-Za-z]+$', '') = regexp_replace(c.file, '\\.[A-Za-z]+$', '') and i.line = c.line_no where i.resolution_note is not null), k as (select change, {_REPAIR} kind, {_FORM} form from ch) select kind, form, count(distinct change) changes from k where kind is not null and length(form) >= 4 group by all having count(distinct change) >= 2")
+def mined_repairs(spark, sf):
+    """Forms of lines that several resolved issues stand for."""
+    stem = lambda c: F.regexp_replace(c, r"\.[A-Za-z]+$", "")
+    issues = table(spark, sf, "issues").where("resolution_note is not null").select(F.col("fingerprint").alias("change"), F.concat_ws(" ", "resolution_note", "message").alias("message"), stem(F.col("file")).alias("stem"), F.col("line").alias("line_no")).where("message is not null")
+    lines = code(spark, sf).select(stem(F.col("file")).alias("stem"), "line_no", F.col("text").alias("removed"))
+    return cb.mined_from_repairs(issues.join(lines, ["stem", "line_no"]))
+
+
+@query("select fingerprint, resolved_at, case when resolved_at < timestamp '2026-07-01' - interval 90 day then 'to_review' else state end status, last_seen >= timestamp '2026-07-01' - interval 7 day fresh from issues where resolved_at is not null")
+def decay_and_expiry(spark, sf):
+    """Reviews that are too old, and rows that a cache would still hold, at the day of the export."""
+    now = F.to_timestamp(F.lit("2026-07-01"))
+    rows = table(spark, sf, "issues").where("resolved_at is not null").select("fingerprint", "resolved_at", F.col("state").alias("status"), F.col("resolved_at").alias("reviewed_at"), "last_seen")
+    out = metrics.decayed_hotspots(rows, now)
+    return out.select("fingerprint", "resolved_at", "status", (F.col("last_seen") >= now - F.expr("interval 7 days")).alias("fresh"))
+
+
 QUERIES = Q

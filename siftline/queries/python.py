@@ -162,4 +162,17 @@ def python_protocols(spark, sf):
     return pyrules.protocol_uses(facts(spark, sf))
 
 
+_HEADER = ["int root_§(const char *name, double x);", "extern double plain_§(int a, char *b);", "void wipe_§(void);"]
+
+
+@query(f"with {_PLACES} select 'plain_' || line as \"function\", file, 1 as position, '2' given, 'char*' as type from p where k = 9 and line % 2 = 0 union all select 'root_' || line, file, 0, '-1', 'char*' from p where k = 12 and line % 2 = 0")
+def python_foreign_arguments(spark, sf):
+    """Constants of another kind than a header declares; every second place has a declaration."""
+    from siftline.operators import codebase as cb
+
+    places = table(spark, sf, "issues").where("line is not null and file is not null and message is not null and line % 2 = 0").select("line").distinct()
+    header = places.select(F.explode(F.array(*[F.replace(F.lit(h), F.lit("§"), F.col("line").cast("string")) for h in _HEADER])).alias("text"))
+    return cb.foreign_arguments(cb.prototypes(header), facts(spark, sf)).select("function", "file", "position", "given", "type")
+
+
 QUERIES = Q

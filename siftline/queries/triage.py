@@ -310,7 +310,7 @@ def quality_gate(spark, sf):
 
 def _seed_sql() -> str:
     cwe = lambda i: " ".join(f"when upper(coalesce(cwe, '')) = '{c}' then {repr(s[i]) if i == 0 else s[i]}" for c, s in d.SEEDS.items())
-    word = lambda i: " ".join("when " + " or ".join(f"contains(lower(rule_id || ' ' || message), '{w.lower()}')" for w in s[2]) + f" then {repr(s[i]) if i == 0 else s[i]}" for s in d.SEEDS.values())
+    word = lambda i: " ".join("when " + " or ".join(f"contains(lower(rule_id || ' ' || message), '{w.lower().replace(chr(39), chr(39) * 2)}')" for w in s[2]) + f" then {repr(s[i]) if i == 0 else s[i]}" for s in d.SEEDS.values())
     return f"case {cwe(0)} {word(0)} end seed, least(1.0, confidence + coalesce(0.1 * case {cwe(1)} {word(1)} end, 0.0)) conf2"
 
 

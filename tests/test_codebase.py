@@ -191,3 +191,19 @@ def test_whole_scan(spark):
     assert (review["new"], review["fixed"], review["recommendation"]) == (1, 0, "request_changes")
     none = spark.createDataFrame([], LINE)
     assert pipeline.full_scan(none, detectors.MINI_SAST).count() == 0
+
+
+def test_foreign_arguments_repairs_and_vetoes(spark):
+    header = spark.createDataFrame([("int put(const char *name, double x, int n);",), ("extern void none(void);",), ("int call(struct s *p);",), ("x = 1;",), (None,)], "text string")
+    declared = codebase.prototypes(header)
+    assert {tuple(r) for r in declared.collect()} == {("put", 0, "char*"), ("put", 1, "double"), ("put", 2, "int"), ("call", 0, "structs*")}
+    facts = spark.createDataFrame([("a.py", "constant", "lib.put", 1, p, v) for p, v in ((0, "'a'"), (0, "3"), (1, "2"), (1, "'b'"), (2, "1.5"), (2, "-4"), (0, "None"))] + [("a.py", "constant", "call", 2, 0, "7")], "file string, kind string, name string, line int, position int, detail string")
+    got = {(r["function"], r["position"], r["given"]) for r in codebase.foreign_arguments(declared, facts).collect()}
+    assert got == {("put", 0, "3"), ("put", 1, "'b'"), ("put", 2, "1.5"), ("call", 0, "7")}
+    changes = [("c1", "fix SQL injection", "run('select 1')"), ("c2", "unescaped input", "run(\"select 22\")"), ("c3", "new feature", "run('x')"), ("c4", "fixes bug", "ab"), ("c5", None, "run('x')"), ("c6", "fix bug", None)]
+    mined = codebase.mined_from_repairs(spark.createDataFrame(changes, "change string, message string, removed string")).collect()
+    assert [tuple(r) for r in mined] == [("injection", "run($STRING)", 2)]
+    files = spark.createDataFrame([("a.js", "refundAll(x)\n" + "y" * 600 + "\ncheckOwner(x)\nrefundOne(x)"), ("b.js", None), ("c.js", "")], "file string, content string")
+    assert [(r["file"], r["line"], r["rule_id"]) for r in scan.vetoed_matches(files, detectors.BUSINESS, detectors.BUSINESS_VETOES).collect()] == [("a.js", 1, "refund-without-check")]
+    tf = spark.createDataFrame([("a.tf", 'x\nresource "aws_kms_key" "k" {\n}\n'), ("b.tf", 'resource "aws_kms_key" "k" {\n enable_key_rotation = true\n}')], "file string, content string")
+    assert [(r["file"], r["line"], r["rule_id"]) for r in scan.vetoed_matches(tf, detectors.INFRASTRUCTURE_BLOCKS, "(?!)").collect()] == [("a.tf", 2, "TF-AWS-KMS-ROTATION")]
