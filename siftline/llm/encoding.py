@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.skew import hot_keys, salted_join
@@ -46,11 +46,26 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return os.path.join(root, name)
 
 
+def ship_vocabulary(spark: SparkSession, path: str) -> str:
+    """Send a rank file of the driver to the executors, once per context, so that they need no copy at the same place."""
+    sent = getattr(spark.sparkContext, "_siftline_vocabularies", None)
+    if sent is None:
+        sent = spark.sparkContext._siftline_vocabularies = set()
+    if path not in sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return path
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The tokenizer of a rank file, one per Python worker."""
+    """The tokenizer of a rank file, one per Python worker; where the path does not exist the file that was sent is read."""
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -294,7 +309,7 @@ def encode_corpus(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A chunk shared by documents of one task is encoded once, within a bounded cache; nothing is shuffled.
     """
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(_in_place_of(vocabulary or vocabulary_path()), "doc_id long, ids array<int>")
+    return chosen.mapInArrow(_in_place_of(ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())), "doc_id long, ids array<int>")
 
 
 def encode_corpus_once(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -302,7 +317,7 @@ def encode_corpus_once(docs: DataFrame, work: str, id_column: str = "doc_id", te
 
     For tokenizers so slow that moving ids costs less than encoding a chunk once per task.
     """
-    path = vocabulary or vocabulary_path()
+    path = ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     full = texts.where("text is not null and text <> ''")
     counted = (
@@ -325,7 +340,7 @@ def encode_corpus_once(docs: DataFrame, work: str, id_column: str = "doc_id", te
 
 def token_counts(docs: DataFrame, text_column: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, the text's 128-bit hash and its number of tokens, in one pass without a shuffle."""
-    path = vocabulary or vocabulary_path()
+    path = ship_vocabulary(docs.sparkSession, vocabulary or vocabulary_path())
     names = list(keep or [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +358,7 @@ def token_counts(docs: DataFrame, text_column: str = "text", vocabulary: str | N
 
 def decoded_digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, digest): the sha256 of the bytes that a document's ids decode to, for checks of an encoded corpus."""
-    path = vocabulary or vocabulary_path()
+    path = ship_vocabulary(encoded.sparkSession, vocabulary or vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
