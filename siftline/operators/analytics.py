@@ -17,6 +17,60 @@ from siftline.operators.blocks import near, with_borders
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
 
+#: Rows on which cells are fitted at most, and rows of a cell that are compared in one block.
+SAMPLE, CELL_BLOCK = 20_000, 4096
+
+
+class CellIndex:
+    """Vectors in cells around centres: every row lies in the cell of its nearest centre, and a query looks into the ``probes`` cells nearest to it.
+
+    The centres are fitted on at most SAMPLE rows chosen by a hash of the key; every row is indexed.  A cell is compared in blocks, so one with
+    most rows is many tasks.  Recall against ``nearest`` is tested to be at least 0.9.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, vector: str, cells: int, rounds: int = 12):
+        self.rows, self.key, self.vector = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"), key, vector
+        some = self.rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+        data = self._unit(np.array([r["v"] for r in some], dtype=float)) if some else np.zeros((0, 1))
+        self.centres = data[np.linspace(0, len(data) - 1, min(cells, len(data))).astype(int)] if len(data) else data
+        for _ in range(rounds if len(data) else 0):
+            at = (data @ self.centres.T).argmax(axis=1)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, at, data)
+            full = np.bincount(at, minlength=len(self.centres)) > 0
+            self.centres[full] = self._unit(sums[full])
+
+    @staticmethod
+    def _unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+    def _placed(self, rows: DataFrame, n: int) -> DataFrame:
+        """Rows with each of their ``n`` nearest cells."""
+        centres, unit = self.centres, self._unit
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.argsort(-(unit(np.stack(b["v"].to_numpy())) @ centres.T), axis=1, kind="stable")[:, :n]
+                    k = near.shape[1]
+                    yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), k), "v": [v for v in b["v"] for _ in range(k)], "cell": near.ravel()})
+
+        return rows.mapInPandas(run, "id long, v array<double>, cell int")
+
+    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """(query, neighbour, cosine, rank) for queries of the indexed key and vector."""
+        asked = queries.select(F.col(self.key).alias("id"), F.col(self.vector).cast("array<double>").alias("v")).where("v is not null")
+        if not len(self.centres):
+            return asked.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).where("false")
+
+        def blocks(df: DataFrame, size: int, p: str) -> DataFrame:
+            b = df.withColumn("b", F.floor(F.monotonically_increasing_id() / size)).groupBy("cell", "b").agg(F.collect_list(F.struct("id", "v")).alias("items"))
+            return b.select("cell", F.col("items.id").alias(f"{p}ids"), F.flatten("items.v").alias(f"{p}flat"))
+
+        pairs = blocks(self._placed(asked, probes), QUERY_BLOCK, "q").join(blocks(self._placed(self.rows, 1), CELL_BLOCK, "r"), "cell").drop("cell")
+        return _best(pairs, k)
+
+
 #: Words that stay themselves when names are made equal.
 KEYWORDS = tuple(
     "if else elif for while def class return import from try except finally with as in not and or is None True False lambda yield raise pass break continue global nonlocal del".split()
@@ -98,7 +152,11 @@ def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
         return b.select(F.col("b").alias(f"{p}b"), F.col("items.id").alias(f"{p}ids"), F.flatten("items.v").cast("array<double>").alias(f"{p}flat"))
 
     pairs = blocks(rows.where(is_query), QUERY_BLOCK, "q").crossJoin(blocks(rows, ROW_BLOCK, "r"))  # of blocks, not of rows
+    return _best(pairs, k)
+
 
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """(query, neighbour, cosine, rank) from pairs of blocks (qids, qflat, rids, rflat): a pair is one matrix product, from which only the k best per query go on."""
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for qids, qflat, rids, rflat in zip(batch["qids"], batch["qflat"], batch["rids"], batch["rflat"]):
@@ -118,7 +176,7 @@ def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) ->
                 })
                 yield out[np.isfinite(out["cosine"])]
 
-    found = pairs.mapInPandas(product, "query long, neighbour long, cosine double")
+    found = pairs.select("qids", "qflat", "rids", "rflat").mapInPandas(product, "query long, neighbour long, cosine double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -294,6 +294,15 @@ def embedding_cosine_topk(spark, sf):
     return a.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5).withColumn("cosine", F.round("cosine", 5))
 
 
+@query()
+def embedding_indexed_topk(spark, sf):
+    """The five nearest vectors of every hundredth vector by the cell index, with whether the exact search has them too."""
+    rows = table(spark, sf, "embeddings")
+    exact = a.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5).select("query", "neighbour", F.lit(True).alias("exact"))
+    found = a.CellIndex(rows, "vec_id", "embedding", 32).search(rows.where("vec_id % 100 = 0"), 5, 12)
+    return found.join(exact, ["query", "neighbour"], "left").select("query", "neighbour", F.round("cosine", 5).alias("cosine"), "rank", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 _TRI = "list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))"
 
 
@@ -417,19 +426,22 @@ def _trade_nodes(spark, sf, name, key, kind):
     return table(spark, sf, name).where(F.col(key).isNotNull()).select(F.concat(F.lit(kind), key).alias("node"))
 
 
-@query()
+_TRADE = "nc as (select distinct c_nationkey n, c_custkey c from customer where c_nationkey is not null and c_custkey is not null), co as (select distinct o_custkey c, o_orderkey o from orders where o_custkey is not null and o_orderkey is not null), op as (select distinct l_orderkey o, l_partkey p from lineitem where l_orderkey is not null and l_partkey is not null)"
+
+
+@query(f"with {_TRADE}, l1 as (select distinct n, c from nc join nation on n_nationkey = n), l2 as (select distinct n, o from l1 join co using (c)), l3 as (select distinct n, p from l2 join op using (o)) select 'n' || n_nationkey as \"start\", 'n' || n_nationkey node, 0 hops from nation union all select 'n' || n, 'c' || c, 1 from l1 union all select 'n' || n, 'o' || o, 2 from l2 union all select 'n' || n, 'p' || p, 3 from l3")
 def trade_reach(spark, sf):
     """Customers, orders and parts within three steps of every nation, over the whole tables."""
     return g.reach(_trade_nodes(spark, sf, "nation", "n_nationkey", "n"), _trade_edges(spark, sf), 3)
 
 
-@query()
+@query(f"with {_TRADE}, x as (select p, o from op join (select distinct p_partkey p from part) using (p)), y as (select distinct p, c from x join co using (o)), z as (select distinct p, n from y join nc using (c)), k as (select p, count(*) k from (select p, o from x union all select p, c from y union all select p, n from z) group by 1) select 'p' || p as \"start\", k affected, case when k > 10 then 'high' when k > 3 then 'medium' else 'low' end risk from k")
 def trade_blast_radius(spark, sf):
     """Orders, customers and nations within three steps against the edges of every part, as a risk."""
     return g.blast_radius(_trade_nodes(spark, sf, "part", "p_partkey", "p"), _trade_edges(spark, sf))
 
 
-@query()
+@query(f"with {_TRADE} select distinct 'n' || n source, 'p' || p sink, 3 hops from nc join nation on n_nationkey = n and n_regionkey = 0 join co using (c) join op using (o) join part on p_partkey = p and p % 4 = 0 where o not in (select o_orderkey from orders where o_orderstatus = 'F')")
 def trade_taint(spark, sf):
     """Every fourth part that a nation of region 0 reaches through orders that are not finished."""
     n = table(spark, sf, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))

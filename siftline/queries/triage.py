@@ -9,7 +9,7 @@ from siftline.functions.keys import key_of, sql_key, sql_state
 from siftline.operators import detectors as d
 from siftline.operators import triage as t
 from siftline.queries.base import FEEDBACK_SQL, FINDINGS_SQL, LINES_SQL, feedback, findings, lines, table
-from siftline.schema import DECISION_PRIORITY, SEVERITIES, SEVERITY_SCORE
+from siftline.schema import DECISION_PRIORITY, SEVERITIES, SEVERITY_SCORE, lookup
 
 Q: dict = {}
 SQL: dict = {}
@@ -121,11 +121,15 @@ def fp_filter(spark, sf):
     return left.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("total_confidence"))
 
 
-_POINTS = f"{FEEDBACK_SQL}, points as (select ((entry_id * 37) % 100) / 100.0 confidence, kind = 'tp' correct from feedback)"
+_POINTS = f"{FEEDBACK_SQL}, sv as (select {sql_key('fingerprint')} k, min(case lower(trim(severity)) {' '.join(f"when '{x}' then cast({v} as double)" for x, v in SEVERITY_SCORE.items())} else 0.5 end) c from issues where {sql_key('fingerprint')} is not null group by 1), points as (select c confidence, f.kind = 'tp' correct from feedback_entries e join feedback f using (entry_id) join sv on sv.k = {sql_key('e.finding_key')})"
 
 
 def _points(spark, sf):
-    return feedback(spark, sf).select(((F.col("entry_id") * 37) % 100 / F.lit(100.0)).alias("confidence"), (F.col("kind") == "tp").alias("correct"))
+    """What the severity of an issue promised, against the verdicts on it."""
+    score = F.min(F.coalesce(lookup(F.lower(F.btrim("severity", F.lit(" "))), SEVERITY_SCORE), F.lit(0.5)))
+    issues = table(spark, sf, "issues").groupBy(key_of(F.col("fingerprint")).alias("k")).agg(score.alias("confidence")).where("k is not null")
+    keys = table(spark, sf, "feedback_entries").select("entry_id", key_of(F.col("finding_key")).alias("k"))
+    return keys.join(feedback(spark, sf).select("entry_id", "kind"), "entry_id").join(issues, "k").select("confidence", (F.col("kind") == "tp").alias("correct"))
 
 
 @query(f"with {_POINTS} select cast(least(9, floor(confidence * 10)) as integer) bin, count(*) total, count(*) filter (where correct) correct, round(count(*) filter (where correct) / count(*), 6) accuracy from points group by 1")

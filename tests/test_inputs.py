@@ -140,6 +140,20 @@ def test_nearest_agrees_with_brute_force(spark):
         assert order[r["rank"] - 1] == r["neighbour"]
 
 
+def test_the_cell_index_finds_nearly_what_brute_force_finds(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    m = np.concatenate([r.normal(size=8) * 2 + r.normal(size=(90, 8)) for _ in range(8)] + [np.tile(r.normal(size=8), (60, 1))])
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(m)] + [(9999, None, "x")], "vec_id long, e array<double>, v string").repartition(3)
+    exact = {(x["query"], x["neighbour"]) for x in analytics.nearest(df.drop("v"), "vec_id", "e", F.col("vec_id") % 50 == 0, 5).collect()}
+    index = analytics.CellIndex(df, "vec_id", "e", 16)
+    got = [(x["query"], x["neighbour"]) for x in index.search(df.where("vec_id % 50 = 0"), 5, 6).collect()]
+    assert len(got) == len(set(got)) and len(exact & set(got)) / len(exact) >= 0.9
+    none = df.where("false")
+    assert analytics.CellIndex(none, "vec_id", "e", 4).search(df, 3, 2).count() == 0
+
+
 def test_sequences(spark):
     ev = spark.createDataFrame([("k", 1, "open"), ("k", 2, "close"), ("k", 3, "read"), ("k", 4, "open"), ("k", 5, "read")], "k string, t int, a string")
     assert [r["t"] for r in sequences.used_after_close(ev, "k", ["t"], F.col("a") == "open", F.col("a") == "close").collect()] == [3]
