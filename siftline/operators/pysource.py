@@ -21,7 +21,7 @@ BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.BoolOp
 #: Decorators that state a contract, and names of values that are never negative.
 CONTRACTS = ("pre", "post", "ensure", "invariant")
 NON_NEGATIVE = frozenset("count size length amount price quantity age index total balance width height depth limit offset".split())
-_PROMISE = re.compile(r"\b(\w+)\b[^.\n]{0,30}?\bmust (?:be|not be) (positive|negative|None|not None|non-null|greater than zero)")
+_PROMISE = re.compile(r"\b(\w+)\s+must (?:be (positive|negative|not None|non-null|greater than zero)|not be (None|null)\b)")
 _PARAM, _RAISES = re.compile(r":param (?:\w+ )?(\w+):"), re.compile(r":raises? (\w+):")
 
 
@@ -122,7 +122,7 @@ def _of_function(file: str, inner: str, node: ast.FunctionDef) -> Iterator[tuple
             if i < 5 and isinstance(t, ast.Compare) and isinstance(t.left, ast.Name) and isinstance(t.ops[0], ast.Is) and isinstance(t.comparators[0], ast.Constant) and t.comparators[0].value is None:
                 yield (file, "guard", inner, t.left.id, s.lineno, s.lineno, i, "not-none")
     doc = ast.get_docstring(node) or ""
-    for name, what in _PROMISE.findall(doc):
+    for name, what, _ in _PROMISE.findall(doc):
         kind = "positive" if what in ("positive", "greater than zero") else "negative" if what == "negative" else "not-none"
         yield (file, "promise", inner, name, node.lineno, node.lineno, 0, kind)
     for name in _PARAM.findall(doc):
