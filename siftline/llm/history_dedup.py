@@ -415,15 +415,19 @@ class HistoryIndex:
             return known.select("c", "n", F.col("ord").alias("first"))
         few = asked <= MOST_SENT
         sent = F.broadcast if few else lambda df: df
-        pairs = None
+        # read only the buckets that have positives; a part of fewer buckets holds them in what was split; parts of one layout are one scan
+        layouts: dict[tuple[str, int], list[str]] = {}
         for p in parts:
-            # read only the buckets that have positives; a part of fewer buckets holds them in what was split
-            own = sorted({b % p["buckets"] for b in touched})
-            store = self.spark.read.schema(PRINTS + ", bucket int").parquet(f"{self.path}/{p['name']}/{p['prints']}")
-            if len(own) < p["buckets"]:
-                store = store.where(F.col("bucket").isin(own))
-            store = store.select("f", F.col("cid").alias("o_cid"))
-            pairs = store if pairs is None else pairs.unionByName(store)
+            layouts.setdefault((p["prints"], p["buckets"]), []).append(f"{self.path}/{p['name']}/{p['prints']}")
+        pairs = None
+        for (name, size), paths in layouts.items():
+            own = sorted({b % size for b in touched})
+            for some in [paths] if name != "prints" else [[x] for x in paths]:
+                store = self.spark.read.schema(PRINTS + ", bucket int").parquet(*some)
+                if len(own) < size:
+                    store = store.where(F.col("bucket").isin(own))
+                store = store.select("f", F.col("cid").alias("o_cid"))
+                pairs = store if pairs is None else pairs.unionByName(store)
         pairs = pairs.join(sent(positive.select("f", "cid")), "f").where("cid <> o_cid").select("cid", "o_cid").distinct()
         asking = known.select("cid", "ord", "line", "name")
         pairs = pairs.join(F.broadcast(asking) if few else asking, "cid")  # no more classes than fingerprints
