@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 100
 #: From this number of rules on a scan searches for all of them in one pass.
-MANY = 120
+MANY = 24
 
 #: Languages by file extension.
 LANGUAGES = {
