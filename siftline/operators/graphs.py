@@ -38,11 +38,14 @@ def blast_radius(changed: DataFrame, calls: DataFrame, depth: int = 3) -> DataFr
 
 
 def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """Calls with the function they mean: of equal names one in the same file before others, then the first by file and line."""
-    f = functions.select(F.col("name").alias("callee"), F.col("file").alias("callee_file"), F.col("line").alias("callee_line"))
-    j = calls.join(f, "callee")
-    best = F.min(F.struct((F.col("callee_file") != F.col("file")).alias("other"), "callee_file", "callee_line"))
-    return j.groupBy("file", "caller", "callee", "line").agg(best.alias("b")).select("file", "caller", "callee", "line", "b.callee_file", "b.callee_line")
+    """Calls with the function they mean: of equal names one in the same file before others, then the first by file and line.
+
+    A call meets one row per name and one per name and file, however many files define the name.
+    """
+    own = functions.groupBy(F.col("name").alias("callee"), "file").agg(F.min(F.struct(F.col("file").alias("callee_file"), F.col("line").alias("callee_line"))).alias("own"))
+    first = own.groupBy("callee").agg(F.min("own").alias("first"))
+    j = calls.select("file", "caller", "callee", "line").distinct().join(first, "callee").join(own, ["callee", "file"], "left")
+    return j.withColumn("b", F.coalesce("own", "first")).select("file", "caller", "callee", "line", "b.callee_file", "b.callee_line")
 
 
 def tainted(sources: DataFrame, sinks: DataFrame, flows: DataFrame, sanitised: DataFrame, depth: int = 8) -> DataFrame:

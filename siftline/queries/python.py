@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftline.operators import graphs as g
 from siftline.operators import pychecks, pyrules, pysource
 from siftline.queries.base import table
+from siftline.runtime import materialise, work_dir
 
 Q: dict = {}
 SQL: dict = {}
@@ -100,7 +101,8 @@ def python_dead_code(spark, sf):
 @query(f"with {_PLACES}, roots as (select line, min(file) f from p where k = 12 group by 1), own as (select file, line from p where k = 12) select 'bad_' || line caller, 'root_' || line callee, file, file callee_file from own union all select 'drop_' || line, 'plain_' || line, p.file, case when exists (select 1 from p q where q.file = p.file and q.line = p.line and q.k = 0) then p.file else (select min(file) from p q where q.line = p.line and q.k = 0) end from p where k = 9 and exists (select 1 from p q where q.line = p.line and q.k = 0) union all select 'chain_' || line, 'wipe_all', file, file from p where k = 15")
 def python_call_graph(spark, sf):
     """Calls with the function they mean: one in the same file before others."""
-    f = facts(spark, sf).where("file not like 'documents/%'")
+    f = pysource.python_facts(sources(spark, sf), ("call", "function")).where("file not like 'documents/%'")
+    f = materialise(f.select("kind", "file", "scope", "name", "line"), work_dir(spark, "calls"))  # sources are parsed once
     calls = f.where("kind = 'call'").select("file", F.col("scope").alias("caller"), F.element_at(F.split("name", r"\."), -1).alias("callee"), "line")
     return g.bind_calls(calls, f.where("kind = 'function'").select("name", "file", "line")).select("caller", "callee", "file", "callee_file")
 
