@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 from siftline.runtime import materialise, work_dir
 
 
-def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(start, node, hops): nodes within ``depth`` steps of every start, with their least number of steps."""
+def reach(starts: DataFrame, edges: DataFrame, depth: int, through: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(start, node, hops): nodes within ``depth`` steps of every start, with their least number of steps.
+
+    ``through`` holds tables (src, via) and (via, dst): a step also leads from src to every dst of its via.  A start follows a via once, and
+    the product of both tables is never made.
+    """
     spark = edges.sparkSession
     path = work_dir(spark, "reach")
     e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct()
     seen = materialise(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)), f"{path}/0")
-    frontier = seen
+    frontier, passed = seen, None
     for d in range(1, depth + 1):
-        step = frontier.join(e, F.col("node") == F.col("__src")).select("start", F.col("__dst").alias("node")).distinct()
-        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(d))
+        step = frontier.join(e, F.col("node") == F.col("__src")).select("start", F.col("__dst").alias("node"))
+        if through:
+            via = frontier.join(through[0].select(F.col("src").alias("__src"), "via"), F.col("node") == F.col("__src")).select("start", "via").distinct()
+            via = materialise(via.join(passed, ["start", "via"], "left_anti") if passed is not None else via, f"{path}/via{d}")
+            passed = passed.unionByName(via) if passed is not None else via
+            step = step.unionByName(via.join(through[1].select("via", "dst"), "via").select("start", F.col("dst").alias("node")))
+        new = step.distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(d))
         frontier = materialise(new, f"{path}/{d}")
         if frontier.isEmpty():
             break
@@ -48,10 +57,14 @@ def bind_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return j.withColumn("b", F.coalesce("own", "first")).select("file", "caller", "callee", "line", "b.callee_file", "b.callee_line")
 
 
-def tainted(sources: DataFrame, sinks: DataFrame, flows: DataFrame, sanitised: DataFrame, depth: int = 8) -> DataFrame:
-    """(source, sink, hops): sinks within ``depth`` flow steps of a source, not through sanitised nodes."""
-    clean = flows.join(sanitised.select(F.col("node").alias("dst")), "dst", "left_anti")
-    r = reach(sources, clean, depth)
+def tainted(sources: DataFrame, sinks: DataFrame, flows: DataFrame, sanitised: DataFrame, depth: int = 8, through: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(source, sink, hops): sinks within ``depth`` flow steps of a source, not through sanitised nodes; ``through`` as for ``reach``."""
+    clean = lambda t: t.join(sanitised.select(F.col("node").alias("dst")), "dst", "left_anti")
+    edges = clean(flows)
+    if through:  # every round reads them, so they are cleaned once
+        path = work_dir(flows.sparkSession, "tainted")
+        edges, through = materialise(edges, f"{path}/edges"), (through[0], materialise(clean(through[1]), f"{path}/out"))
+    r = reach(sources, edges, depth, through)
     return r.join(sinks.select("node").distinct(), "node").where("hops > 0").select(F.col("start").alias("source"), F.col("node").alias("sink"), "hops")
 
 

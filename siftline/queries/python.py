@@ -110,9 +110,9 @@ def python_call_graph(spark, sf):
 @query(f"with {_PLACES} select distinct file || ':run_' || line || ':request' source, 'sink:' || file || ':eval' sink, 2 hops from p where k = 10")
 def python_taint(spark, sf):
     """Flows from request parameters to evaluating calls across the files."""
-    from siftline.operators.pyflow import taint_of
+    from siftline.operators import pyflow
 
-    return taint_of(facts(spark, sf).where("file not like 'documents/%'"))
+    return pyflow.taint_of(pysource.python_facts(sources(spark, sf), pyflow.KINDS).where("file not like 'documents/%'"))
 
 
 @query(f"with {_PLACES} select file, 'told_' || line as scope, x.problem, x.name from p, (values ('documented only', 'b')) x(problem, name) where k = 11")
